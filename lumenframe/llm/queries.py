@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module of this package that defines the function of that name.
 MODULES = {
+    "op1_repair_tokens": "token_shards",
+    "op2_context_mixing": "lm_score",
     "op5_near_dup": "near_dup",
 }
 ORACLE_SQL: dict[str, str] = {}
