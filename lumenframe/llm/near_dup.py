@@ -4,8 +4,8 @@ Every text gets ``trees`` labels of MinHash values. Sorting by a label puts text
 prefixes side by side; a region is a run of texts that share ``depth`` values of one label, and the
 depth follows from the threshold so that a pair at the threshold misses all trees with probability
 below ``miss``. Regions are cut deeper where texts share more of the label. Texts are first confirmed
-against the most central text of the deepest region they share, and what is then still apart within
-any region is confirmed pair by pair. No bucket is capped.
+against the most central text of the regions they share, and what is then still apart within any
+region is confirmed pair by pair, after filters on set size and 1-bit MinHash. No bucket is capped.
 
 Null or empty texts have an empty shingle set and link with nothing. Equal shingle sets are one class
 from the start (ties and repeated rows included), so exact copies never meet pairwise. Rows without a
@@ -29,8 +29,13 @@ from lumenframe.plans.staging import Staged
 TREES = 24
 DEEPER = 2
 SALT = 0x5EED
-#: Bits of 1-bit MinHash kept for the native filter, and the standard deviations it allows.
-BITS, SIGMAS = 128, 5.0
+#: Bits of 1-bit MinHash kept for the native filters (the first two words of them beside every label),
+#: and the standard deviations below the threshold that a filter lets pass.
+BITS, SIGMAS = 512, 4.5
+WORDS = BITS // 64
+BIT_COLUMNS = [f"b{k}" for k in range(WORDS)]
+#: Most bits of the table that tells which texts may be needed; beyond it more texts are read, none fewer.
+SIEVE_BITS = 1 << 27
 
 
 def forest_depth(threshold: float, trees: int = TREES, miss: float = 1e-5) -> int:
@@ -42,7 +47,8 @@ def forest_depth(threshold: float, trees: int = TREES, miss: float = 1e-5) -> in
 
 
 def _signer(width: int, trees: int, depth: int):
-    mults = K.seeds(trees * (depth + DEEPER), SALT)
+    used = trees * (depth + DEEPER)
+    mults = K.seeds(max(used, BITS), SALT)
     salts = K.seeds(trees, SALT + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +56,7 @@ def _signer(width: int, trees: int, depth: int):
             for lo, hi, _, sh in K.shingled(batch.column(1), width):
                 sig = sh.minima(mults)
                 n = hi - lo
-                lab = sig.reshape(n, trees, depth + DEEPER).astype(np.uint64)
+                lab = sig[:, :used].reshape(n, trees, depth + DEEPER).astype(np.uint64)
                 key = np.broadcast_to(salts, (n, trees)).copy()
                 keys = []
                 for d in range(depth + DEEPER):
@@ -63,18 +69,37 @@ def _signer(width: int, trees: int, depth: int):
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(k.view(np.int64).ravel()), trees).cast(pa.list_(pa.int64())) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(sizes), pa.array(digests, pa.binary()), *lists, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
-                    ["doc_id", "n", "digest", "shallow", "deep", "b1", "b2"],
+                    [batch.column(0).slice(lo, n), pa.array(sizes), pa.array(digests, pa.binary()), *lists, *(pa.array(bits[:, k].copy()) for k in range(WORDS))],
+                    ["doc_id", "n", "digest", "shallow", "deep", *BIT_COLUMNS],
                 )
 
     return sign
 
 
-def _setter(width: int):
+def _sieve(ids: DataFrame):
+    """A broadcast bit table of bounded size over hashed ids: what it denies is in none of them."""
+    n = ids.count()
+    bits = 1 << min(max(10, (16 * n).bit_length()), SIEVE_BITS.bit_length() - 1)
+    spot = _spot(bits).alias("spot")
+    words = ids.select(spot).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("mask")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    return bits, ids.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool) if bits <= 1 << 20 else table)
+
+
+def _spot(bits: int, column: str = "id"):
+    return F.expr(f"pmod(xxhash64({column}), {bits}L)")
+
+
+def _setter(width: int, sieve):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sieve.value
         for batch in batches:
-            for lo, hi, _, sh in K.shingled(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sh.sets()], pa.binary())], ["id", "shingles"])
+            spot = batch.column(2).to_numpy()
+            may = table[spot] if table.dtype == bool else (table[spot >> 6] >> (spot & 63)) & 1 == 1
+            few = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(pa.array(may))
+            for lo, hi, _, sh in K.shingled(few.column(1), width):
+                yield pa.RecordBatch.from_arrays([few.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sh.sets()], pa.binary())], ["id", "shingles"])
 
     return sets
 
@@ -111,8 +136,10 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int, width: int =
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     dealt = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / block)).alias("part"), "b")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = Staged(docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(_setter(width), "id long, shingles binary"), "sets")
+    ids = Staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids").df
+    bits, sieve = _sieve(ids)
+    built = docs.where("doc_id is not null").select("doc_id", "text", _spot(bits, "doc_id").alias("spot")).mapInArrow(_setter(width, sieve), "id long, shingles binary")
+    sets = Staged(built.join(ids, "id", "left_semi"), "sets")
     owners = dealt.select("a", "part").distinct().join(sets.df, F.col("a") == F.col("id")).select("a", "part", F.lit(0).alias("kind"), F.col("id").alias("b"), "shingles")
     others = dealt.join(sets.df, F.col("b") == F.col("id")).select("a", "part", F.lit(1).alias("kind"), "b", "shingles")
     rows = owners.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
@@ -121,39 +148,45 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int, width: int =
     return out.df
 
 
+def _may(x: str, y: str, percent: int, words: int):
+    """Native filter: sizes allow the threshold, and 1-bit MinHash agrees within SIGMAS of it."""
+    bits, p = 64 * words, (1 + percent / 100) / 2
+    most = int(bits * (1 - p) + SIGMAS * (bits * p * (1 - p)) ** 0.5) + 1
+    apart = sum((F.bit_count(F.col(f"{x}b{k}").bitwiseXOR(F.col(f"{y}b{k}"))) for k in range(words)), F.lit(0))
+    return (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * percent) & (apart <= most)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string)."""
     percent = round(threshold * 100)
     depth = forest_depth(percent / 100, trees)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = Staged(docs.mapInArrow(_signer(width, trees, depth), "doc_id long, n long, digest binary, shallow array<long>, deep array<long>, b1 long, b2 long"), "sig").df
+    base = Staged(docs.mapInArrow(_signer(width, trees, depth), "doc_id long, n long, digest binary, shallow array<long>, deep array<long>, " + ", ".join(f"{b} long" for b in BIT_COLUMNS)), "sig").df
     reps = Staged(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes").df
     heads = base.join(reps, (base.digest == reps.digest) & (base.doc_id == reps.rep), "left_semi")
-    labels = heads.select(F.col("doc_id").alias("id"), "n", "b1", "b2", F.explode(F.arrays_zip("shallow", "deep")).alias("k")).select("id", "n", "b1", "b2", "k.shallow", "k.deep")
+    labels = heads.select(F.col("doc_id").alias("id"), "n", "b0", "b1", F.explode(F.arrays_zip("shallow", "deep")).alias("k")).select("id", "n", "b0", "b1", "k.shallow", "k.deep")
     region = labels.groupBy("shallow").agg(F.count("*").alias("size")).where("size > 1")
     near = Staged(labels.join(region, "shallow"), "regions").df
 
     central = near.groupBy("id").agg(F.sum("size").alias("weight"))
     known = Staged(near.join(central, "id"), "central").df
-    face = F.struct("weight", (-F.col("id")).alias("order"), "id", "n", "b1", "b2")
-    first = known.groupBy("shallow").agg(F.max(face).alias("top")).withColumn("is_deep", F.lit(0))
-    inner = known.groupBy("deep").agg(F.max(face).alias("top"), F.count("*").alias("c")).where("c > 1").drop("c").withColumn("is_deep", F.lit(1))
-    offers = known.join(first, "shallow").select("id", "n", "b1", "b2", "is_deep", "top").union(known.join(inner, "deep").select("id", "n", "b1", "b2", "is_deep", "top"))
-    offers = offers.where("id <> top.id").groupBy("id", "n", "b1", "b2").agg(F.max(F.struct("is_deep", "top")).alias("best")).select("id", "n", "b1", "b2", "best.top")
-
-    p = (1 + percent / 100) / 2
-    most = int(BITS * (1 - p) + SIGMAS * (BITS * p * (1 - p)) ** 0.5) + 1
-    may = lambda x, y: (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2"))) <= most)
-    stars = Staged(offers.where(may(lambda c: F.col(c), lambda c: F.col(f"top.{c}"))).select(F.col("top.id").alias("a"), F.col("id").alias("b")), "stars").df
+    face = F.struct("weight", (-F.col("id")).alias("order"), "id", "n", "b0", "b1")
+    first = known.groupBy("shallow").agg(F.max(face).alias("top"))
+    inner = known.groupBy("deep").agg(F.max(face).alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
+    offers = known.join(first, "shallow").select("id", "n", "b0", "b1", "top").union(known.join(inner, "deep").select("id", "n", "b0", "b1", "top"))
+    offers = offers.where((F.col("id") != F.col("top.id")) & _may("", "top.", percent, 2))
+    stars = Staged(offers.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b")), "stars").df
     links = confirm_pairs(stars, docs, percent, width)
     so_far = connected_components(links)
 
-    now = near.join(so_far, "id", "left").select("shallow", "id", "n", "b1", "b2", F.coalesce("component", "id").alias("comp"))
+    now = near.join(so_far, "id", "left").select("shallow", "id", F.coalesce("component", "id").alias("comp"))
     split = now.groupBy("shallow").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shallow")
-    open_ = Staged(now.join(split, "shallow", "left_semi"), "open").df
+    faces = heads.select(F.col("doc_id").alias("id"), "n", F.col("shallow").alias("keys"), *BIT_COLUMNS)
+    open_ = Staged(now.join(split, "shallow", "left_semi").join(faces, "id"), "open").df
     x, y = open_.alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.shallow") == F.col("y.shallow")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    rest = Staged(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest").df
+    once = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.array_position("x.keys", F.col("x.shallow"))
+    apart = x.join(y, (F.col("x.shallow") == F.col("y.shallow")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x.", "y.", percent, WORDS) & once)
+    rest = Staged(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "rest").df
     more = confirm_pairs(rest, docs, percent, width)
 
     comps = connected_components(links.union(more))
