@@ -31,7 +31,7 @@ DEEPER = 2
 SALT = 0x5EED
 #: Bits of 1-bit MinHash kept for the native filters (the first two words of them beside every label),
 #: and the standard deviations below the threshold that a filter lets pass.
-BITS, SIGMAS = 512, 4.5
+BITS, SIGMAS = 1024, 4.5
 WORDS = BITS // 64
 BIT_COLUMNS = [f"b{k}" for k in range(WORDS)]
 #: Most bits of the table that tells which texts may be needed; beyond it more texts are read, none fewer.

@@ -9,6 +9,8 @@ MODULES = {
     "op1_repair_tokens": "token_shards",
     "op2_context_mixing": "lm_score",
     "op5_near_dup": "near_dup",
+    "op8_curriculum_mix": "mixing",
+    "op9_quality": "quality",
 }
 ORACLE_SQL: dict[str, str] = {}
 
