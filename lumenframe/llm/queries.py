@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import importlib
 
+from lumenframe.llm import decontaminate
+
 #: Query name -> module of this package that defines the function of that name.
 MODULES = {
     "op1_repair_tokens": "token_shards",
     "op2_context_mixing": "lm_score",
     "op5_near_dup": "near_dup",
+    "op6_decontaminate": "decontaminate",
     "op8_curriculum_mix": "mixing",
     "op9_quality": "quality",
+    "op10_chunk_dedup": "chunk_dedup",
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
 
 
 def queries() -> dict:
