@@ -12,6 +12,7 @@ MODULES = {
     "op2_context_mixing": "lm_score",
     "op5_near_dup": "near_dup",
     "op6_decontaminate": "decontaminate",
+    "op7_vector_dedup": "vector_dedup",
     "op8_curriculum_mix": "mixing",
     "op9_quality": "quality",
     "op10_chunk_dedup": "chunk_dedup",
