@@ -10,6 +10,8 @@ from lumenframe.llm import decontaminate
 MODULES = {
     "op1_repair_tokens": "token_shards",
     "op2_context_mixing": "lm_score",
+    "op3_host_text": "html_text",
+    "op4_chat_windows": "chat",
     "op5_near_dup": "near_dup",
     "op6_decontaminate": "decontaminate",
     "op7_vector_dedup": "vector_dedup",
