@@ -36,7 +36,7 @@ SEGMENT, STEP = 2048, 32
 START_WEIGHT, RATE, OFFSET_RATE = 0.42, 0.02, 0.02
 SCALE = 16.0
 END_BYTE = 0xFF
-HEAD = 1 << 20
+HEAD = 1 << 19
 END_TOKEN = 0x0E4D
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -232,6 +232,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words, K.U(END_TOKEN)).view(np.int64)), pa.array(np.append(counts, hi - lo).astype(np.int64))], ["word", "c"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in (0, 1)], ["word", "c"])
+
+
+def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all words above the least count that leaves at most HEAD of them."""
+    held, least = 0, 1
+    for row in sorted(words.groupBy("c").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
+        least = row["c"] + 1 if held + row["n"] > HEAD else row["c"]
+        held += row["n"]
+        if held > HEAD:
+            break
+    packed = words.where(F.col("c") >= least).mapInArrow(_pack, "word binary, c binary").collect()
+    keys, counts = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), np.int64) for k in ("word", "c"))
+    return keys.view(np.uint64), counts
+
+
 def _scorer(model, base: float):
     loaded: list = []
 
@@ -271,8 +289,8 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
     learn = docs.where(f"coalesce({training}, true)")
     words = Staged(learn.select("text").mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words").df
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = words.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    model = spark.sparkContext.broadcast((learn_logits(learn), head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)))
+    keys, counts = _head(words)
+    model = spark.sparkContext.broadcast((learn_logits(learn), keys, counts))
     base = float(np.log10(total["n"] + total["v"] + 1))
 
     kind = "row long, n_tokens long, known long, base double, bits double, n_bytes long, tail array<long>"
@@ -281,7 +299,7 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
     ids.mapInArrow(_scorer(model, base), kind).write.parquet(path)
     scored = spark.read.schema(kind).parquet(path)
     out = scored.select(F.col("row").alias("doc_id"), "n_tokens", F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), "base", "bits", "n_bytes")
-    if total["v"] > HEAD:
+    if total["v"] > len(keys):
         tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
         extra = tail.join(words, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
         dup = scored.groupBy("row").agg(F.count("*").alias("copies"))
