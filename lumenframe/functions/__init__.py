@@ -1,0 +1 @@
+"""Column functions: casts, keys, geometry, vectors, images."""
