@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import area, iou
 from lumenframe.operators.reports import with_prf
+from lumenframe.plans.groups import solve_groups
 
 IOU = 0.5
 
@@ -32,7 +33,6 @@ def greedy_matches(predictions: DataFrame, truth: DataFrame, least: float = IOU)
     rows = predictions.select("image", "det", "score").join(offers, ["image", "det"], "left")
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "det"], ascending=False)
         taken: set[int] = set()
         hits = []
         for offers in part["offers"]:
@@ -43,7 +43,7 @@ def greedy_matches(predictions: DataFrame, truth: DataFrame, least: float = IOU)
         return pd.DataFrame({"image": part["image"], "det": part["det"], "score": part["score"], "matched": hits})
 
     kind = f"image {predictions.schema['image'].dataType.simpleString()}, det {predictions.schema['det'].dataType.simpleString()}, score double, matched boolean"
-    busy = rows.where("offers is not null").groupBy("image").applyInPandas(match, kind)
+    busy = solve_groups(rows.where("offers is not null"), ["image"], [F.desc("score"), F.desc("det")], match, kind)
     idle = rows.where("offers is null").select("image", "det", F.col("score").cast("double"), F.lit(False).alias("matched"))
     return busy.union(idle)
 
