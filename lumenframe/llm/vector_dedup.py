@@ -89,39 +89,60 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for side, parts in enumerate(lists):
         for at, near in parts:
             graph[at, side * DEGREE : (side + 1) * DEGREE] = near
+    graph.sort(axis=1)
+    graph[:, 1:][graph[:, 1:] == graph[:, :-1]] = -1
     return graph, np.array(medoids[:MEDOIDS] if len(medoids) <= MEDOIDS else np.array(medoids)[_spread(len(medoids), MEDOIDS, 9)])
 
 
+def _meet(q, x, seen, row, col):
+    """Similarities of pairs not seen before, which are marked as seen."""
+    seen[row, col] = True
+    return np.einsum("ij,ij->i", q[row], x[col])
+
+
 def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, member) with a similarity of ``least`` or more that the graph search meets."""
     nq, n = len(q), len(x)
-    seen = np.zeros((nq, n), bool)
-    sims = np.full((nq, n), -2, np.float32)
-    grown = np.zeros((nq, n), bool)
-    start = np.unique(medoids)
+    seen, start = np.zeros((nq, n), bool), np.unique(medoids)
+    width = max(beam, len(start))
+    held, near = np.full((nq, width), -2, np.float32), np.zeros((nq, width), np.int64)
+    done = np.ones((nq, width), bool)
     seen[:, start] = True
-    sims[:, start] = q @ x[start].T
-    live = np.arange(nq)
+    held[:, : len(start)], near[:, : len(start)], done[:, : len(start)] = q @ x[start].T, start, False
+    r, c = np.nonzero(held >= least)
+    rows, cols, live = [r], [near[r, c]], np.arange(nq)
     while len(live):
-        open_ = np.where(grown[live], np.float32(-4), sims[live])
-        width = min(beam, n)
-        floor = np.partition(sims[live], n - width, axis=1)[:, n - width]
-        best = open_.argmax(1)
-        value = open_[np.arange(len(live)), best]
-        go = (value > -2) & ((value >= floor) | (value >= least))
+        best = np.where(done[live], np.float32(-4), held[live]).argmax(1)
+        go = ~done[live, best]
         live, best = live[go], best[go]
         if not len(live):
             break
-        grown[live, best] = True
-        near = graph[best]
-        ok = near >= 0
-        row = np.repeat(live, near.shape[1])[ok.ravel()]
-        col = near.ravel()[ok.ravel()]
-        new = ~seen[row, col]
-        row, col = row[new], col[new]
-        seen[row, col] = True
-        sims[row, col] = np.einsum("ij,ij->i", q[row], x[col])
-    return np.nonzero(sims >= least)
+        done[live, best] = True
+        ring = graph[near[live, best]]
+        fresh = (ring >= 0) & ~seen[live[:, None], ring]
+        at, k = np.nonzero(fresh)
+        row, col = live[at], ring[at, k]
+        new = np.full(ring.shape, -2, np.float32)
+        new[at, k] = sim = _meet(q, x, seen, row, col)
+        rows.append(row[sim >= least])
+        cols.append(col[sim >= least])
+        every, names, was = np.concatenate([held[live], new], 1), np.concatenate([near[live], np.maximum(ring, 0)], 1), np.concatenate([done[live], ~fresh], 1)
+        top = np.argpartition(-every, width - 1, axis=1)[:, :width]
+        held[live], near[live], done[live] = (np.take_along_axis(m, top, 1) for m in (every, names, was))
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    out = [(row, col)]
+    while len(row):  # everything within the range opens its own neighbours
+        grown = []
+        for lo in range(0, len(row), 16384):
+            ring = graph[col[lo : lo + 16384]]
+            at, k = np.nonzero((ring >= 0) & ~seen[row[lo : lo + 16384][:, None], ring])
+            flat = np.unique(row[lo : lo + 16384][at] * n + ring[at, k])
+            a, b = flat // n, flat % n
+            hit = _meet(q, x, seen, a, b) >= least
+            grown.append((a[hit], b[hit]))
+        row, col = (np.concatenate(p) for p in zip(*grown, strict=True))
+        out.append((row, col))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
 def _unit(threshold: float):
