@@ -34,11 +34,16 @@ CONTEXTS = 3
 BLOCK = 1 << 13
 SEGMENT, STEP = 2048, 32
 START_WEIGHT, RATE, OFFSET_RATE = 0.42, 0.02, 0.02
+LANES = 128
 SCALE = 16.0
 END_BYTE = 0xFF
 HEAD = 1 << 19
 END_TOKEN = 0x0E4D
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_BYTE = np.arange(256, dtype=np.uint32)
+_STEPS = [((_BYTE >> np.uint32(8 - j)) | np.uint32(1 << j)) * _A for j in range(8)]
+_BITS = [(_BYTE >> np.uint32(7 - j)) & np.uint32(1) for j in range(8)]
+_SIGNS = np.stack([2.0 * x - 1 for x in _BITS], 1).astype(np.float32)
 
 
 def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,55 +60,65 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def context_hashes(b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """A uint32 hash for each byte and context, of what stands before the byte in its text."""
-    n = len(b)
-    pos = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    past, back = [], b.astype(np.uint32)
+    n, heads = len(b), at[:-1]
+    wide, past = b.astype(np.uint32), []
     for k in range(1, 5):
         x = np.zeros(n, np.uint32)
-        x[k:] = back[:-k]
-        x[pos < k] = 0
+        x[k:] = wide[:-k]
+        for j in range(k):  # nothing of the text before
+            x[np.minimum(heads + j, at[1:] - 1)] = 0
         past.append(x)
-    two = past[0] | (past[1] << np.uint32(8))
-    four = two | (past[2] << np.uint32(16)) | (past[3] << np.uint32(24))
-    opens = (pos == 0) | K._SPACE[past[0].astype(np.uint8)]
-    start = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    for k in range(2, 5):  # a text shorter than k bytes: its later bytes were not cleared above
+        past[k - 1][at[1:] - 1] *= np.diff(at) > k
+    two = past[1] << np.uint32(8)
+    two |= past[0]
+    four = (past[2] << np.uint32(16)) | (past[3] << np.uint32(24))
+    four |= two
+    opens = K._SPACE[b]
+    starts = np.unique(np.concatenate([heads, np.flatnonzero(opens[:-1]) + 1]))
     power, inverse = K.powers(n + 1)
     sums = np.zeros(n + 1, K.U)
     np.cumsum((b.astype(K.U) + K.U(1)) * power[:n], out=sums[1:])
-    word = K.mix((sums[:n] - sums[start]) * inverse[start]) >> K.U(32)
+    run = np.diff(np.append(starts, n))
+    word = sums[:n] - np.repeat(sums[starts], run)
+    word *= np.repeat(inverse[starts], run)
+    word = K.mix(word) >> K.U(32)
     return [two * _A, (four ^ (four >> np.uint32(15))) * _A + np.uint32(0x51), word.astype(np.uint32)]
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    x = (context + node * _A) * _B
-    x ^= x >> np.uint32(15)
-    return (x * _A) >> np.uint32(32 - SLOT_BITS)
+def slots(context: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Slots of a context's hash at a tree node; ``step`` is the node times _A."""
+    x = context + step
+    x *= _B
+    x >>= np.uint32(32 - SLOT_BITS)
+    return x
 
 
 def decisions(b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place, tree node, bit) of each of a byte's eight decisions."""
-    wide = b.astype(np.uint32)
+    """(place, tree node times _A, bit) of each of a byte's eight decisions."""
     for j in range(8):
-        yield j, (wide >> np.uint32(8 - j)) | np.uint32(1 << j), (wide >> np.uint32(7 - j)) & np.uint32(1)
+        yield j, _STEPS[j][b], _BITS[j][b]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's bit counts, in blocks of slots: (block, counts)."""
-    counts = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int32)
+    counts = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
     seen = False
     for batch in batches:
         data, offsets = K.text_buffers(batch.column(0))
-        for lo, hi in K.row_slices(offsets):
+        for lo, hi in K.row_slices(offsets, 1 << 20):
             b, at = byte_stream(data, offsets[lo : hi + 1])
-            ctx = context_hashes(b, at)
-            for _, node, bit in decisions(b):
-                for c in range(CONTEXTS):
-                    counts[c] += np.bincount(slots(ctx[c], node) * np.uint32(2) + bit, minlength=2 << SLOT_BITS).astype(np.int32)
+            ctx, places = context_hashes(b, at), list(decisions(b))
+            for c in range(CONTEXTS):
+                spots = np.empty((8, len(b)), np.int64)
+                for j, step, bit in places:
+                    np.add(slots(ctx[c], step) << np.uint32(1), bit, out=spots[j], casting="unsafe")
+                counts[c] += np.bincount(spots.ravel(), minlength=2 << SLOT_BITS)
             seen = True
     if seen:
         for i, part in enumerate(counts.reshape(-1, 2 * BLOCK)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], ["block", "counts"])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +155,11 @@ def learn_logits(training: DataFrame) -> np.ndarray:
 def score_bits(b: np.ndarray, at: np.ndarray, logits: np.ndarray) -> np.ndarray:
     """Bits of each text of a byte stream under the mixed model."""
     n, ctx = len(b), context_hashes(b, at)
-    x = np.empty((n, CONTEXTS, 8), np.int8)
-    y = np.empty((n, 8), bool)
-    for j, node, bit in decisions(b):
+    x = np.empty((CONTEXTS, n, 8), np.int8)
+    y = _SIGNS[b]
+    for j, step, _ in decisions(b):
         for c in range(CONTEXTS):
-            x[:, c, j] = logits[c][slots(ctx[c], node)]
-        y[:, j] = bit
+            x[c, :, j] = logits[c].take(slots(ctx[c], step))
     size = np.diff(at)
     parts = -(-size // SEGMENT)
     doc = np.repeat(np.arange(len(size)), parts)
@@ -155,7 +169,7 @@ def score_bits(b: np.ndarray, at: np.ndarray, logits: np.ndarray) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     begin, length, doc = begin[order], length[order], doc[order]
     lanes = len(begin)
-    w = np.full((lanes, CONTEXTS + 1, 8), START_WEIGHT, np.float32)
+    w = np.full((lanes, CONTEXTS + 1, 8), START_WEIGHT / SCALE, np.float32)
     w[:, CONTEXTS] = 0
     offset = np.zeros((lanes, 2, 8), np.float32)
     bits = np.zeros(lanes)
@@ -163,27 +177,45 @@ def score_bits(b: np.ndarray, at: np.ndarray, logits: np.ndarray) -> np.ndarray:
         k = int(np.searchsorted(-length, -t, "left"))
         if not k:
             break
-        for lo in range(0, k, 256):
-            s = slice(lo, min(lo + 256, k))
-            inside = t + np.arange(STEP) < length[s, None]
-            at_ = np.minimum(begin[s, None] + t + np.arange(STEP), n - 1)
-            z = x[at_].astype(np.float32)
-            z *= np.float32(1 / SCALE)
-            truth = y[at_]
-            mixed = np.einsum("lscj,lcj->lsj", z, w[s, :CONTEXTS]) + w[s, CONTEXTS][:, None, :]
-            sign = mixed > 0
-            fine = mixed + np.where(sign, offset[s, 1][:, None, :], offset[s, 0][:, None, :])
-            np.clip(fine, -11, 11, out=fine)
-            p = 1 / (1 + np.exp(-fine))
-            loss = -np.log2(np.where(truth, p, 1 - p))
-            loss[~inside] = 0
+        for lo in range(0, k, LANES):
+            s = slice(lo, min(lo + LANES, k))
+            at_ = begin[s, None] + t + np.arange(STEP)
+            cut = t + STEP > length[s.stop - 1]
+            if cut:
+                inside = (t + np.arange(STEP) < length[s, None])[:, :, None].astype(np.float32)
+                np.minimum(at_, n - 1, out=at_)
+            z = [x[c].take(at_, 0).astype(np.float32) for c in range(CONTEXTS)]
+            truth = y.take(at_, 0)
+            mixed = z[0] * w[s, 0][:, None]
+            for c in range(1, CONTEXTS):
+                mixed += z[c] * w[s, c][:, None]
+            mixed += w[s, CONTEXTS][:, None]
+            sign = (mixed > 0).astype(np.float32)
+            mixed += sign * offset[s, 1][:, None]
+            mixed += offset[s, 0][:, None]
+            mixed *= truth
+            np.maximum(mixed, -11, out=mixed)
+            np.minimum(mixed, 11, out=mixed)
+            np.negative(mixed, out=mixed)
+            miss = np.exp(mixed, out=mixed)
+            odds = miss + 1
+            err = miss
+            err /= odds
+            err *= truth
+            loss = np.log(odds, out=odds)
+            if cut:
+                loss *= inside
+                err *= inside
             bits[s] += loss.sum((1, 2), dtype=np.float64)
-            err = truth - p
-            err[~inside] = 0
-            w[s, :CONTEXTS] += RATE * np.einsum("lsj,lscj->lcj", err, z)
-            w[s, CONTEXTS] += RATE * err.sum(1)
-            offset[s, 1] += OFFSET_RATE * np.where(sign, err, 0).sum(1)
-            offset[s, 0] += OFFSET_RATE * np.where(sign, 0, err).sum(1)
+            for c in range(CONTEXTS):
+                z[c] *= err
+                w[s, c] += (RATE / SCALE**2) * z[c].sum(1)
+            sign *= err
+            total, upper = err.sum(1), sign.sum(1)
+            w[s, CONTEXTS] += RATE * total
+            offset[s, 0] += OFFSET_RATE * (total - upper)
+            offset[s, 1] += OFFSET_RATE * (2 * upper - total)
+    bits /= np.log(2)
     return np.bincount(doc, weights=bits, minlength=len(size))
 
 
@@ -238,14 +270,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of all words above the least count that leaves at most HEAD of them."""
+    """Hashes and counts of the end token and of all words above the least count that leaves at most HEAD."""
     held, least = 0, 1
     for row in sorted(words.groupBy("c").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
         least = row["c"] + 1 if held + row["n"] > HEAD else row["c"]
         held += row["n"]
         if held > HEAD:
             break
-    packed = words.where(F.col("c") >= least).mapInArrow(_pack, "word binary, c binary").collect()
+    packed = words.where((F.col("c") >= least) | (F.col("word") == END_TOKEN)).mapInArrow(_pack, "word binary, c binary").collect()
     keys, counts = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), np.int64) for k in ("word", "c"))
     return keys.view(np.uint64), counts
 
@@ -260,7 +292,7 @@ def _scorer(model, base: float):
         logits, head = loaded
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
-            for lo, hi in K.row_slices(offsets):
+            for lo, hi in K.row_slices(offsets, 1 << 18):
                 words, n = K.Words(data, offsets[lo : hi + 1]), hi - lo
                 doc = np.repeat(np.arange(n), words.counts)
                 c = head.find(words.hash)
@@ -272,8 +304,8 @@ def _scorer(model, base: float):
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(words.hash[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(words.counts.astype(np.int64) + 1), pa.array(known + (end[0] > 0)), pa.array(sums - (words.counts + 1) * base), pa.array(bits), pa.array(np.diff(at)), tail],
-                    ["row", "n_tokens", "known", "base", "bits", "n_bytes", "tail"],
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(words.counts.astype(np.int64) + 1), pa.array(known + (end[0] > 0)), pa.array(sums - (words.counts + 1) * base), pa.array(bits), pa.array(np.diff(at)), tail],
+                    ["row", "key", "n_tokens", "known", "base", "bits", "n_bytes", "tail"],
                 )
 
     return score
@@ -293,18 +325,19 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
     model = spark.sparkContext.broadcast((learn_logits(learn), keys, counts))
     base = float(np.log10(total["n"] + total["v"] + 1))
 
-    kind = "row long, n_tokens long, known long, base double, bits double, n_bytes long, tail array<long>"
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = "row long, key long, n_tokens long, known long, base double, bits double, n_bytes long, tail array<long>"
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     path = new_path(spark, "scored")
     ids.mapInArrow(_scorer(model, base), kind).write.parquet(path)
     scored = spark.read.schema(kind).parquet(path)
-    out = scored.select(F.col("row").alias("doc_id"), "n_tokens", F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), "base", "bits", "n_bytes")
+    out = scored.select(F.col("row").alias("doc_id"), "key", "n_tokens", F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), "base", "bits", "n_bytes")
     if total["v"] > len(keys):
-        tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-        extra = tail.join(words, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
-        dup = scored.groupBy("row").agg(F.count("*").alias("copies"))
-        out = out.join(extra.join(dup, "row").select(F.col("row").alias("doc_id"), (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("gain") / F.col("copies")).alias("gain")), "doc_id", "left")
-        out = out.withColumn("n_known", F.col("n_known") + F.coalesce("more", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("gain", F.lit(0.0))).drop("more", "gain")
+        tail = scored.where(F.size("tail") > 0).select("key", F.explode("tail").alias("word")).groupBy("key", "word").agg(F.count("*").alias("k"))
+        extra = tail.join(words, "word").groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
+        copies = scored.groupBy("key").agg(F.count("*").alias("copies"))  # equal rows share a key, and their words were counted together
+        each = extra.join(copies, "key").select("key", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("gain") / F.col("copies")).alias("gain"))
+        out = out.join(each, "key", "left")
+        out = out.withColumn("n_known", F.col("n_known") + F.coalesce("more", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("gain", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), (F.col("bits") * float(-np.log10(2))).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
 
 

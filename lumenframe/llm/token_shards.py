@@ -82,7 +82,7 @@ def load_pieces(path: str) -> Pieces:
 def repair(ids: np.ndarray, vocab: int = VOCAB, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): pairs seen ``least`` times or more are replaced, most frequent first.
 
-    Each round counts all adjacent pairs and replaces, left to right, those within a factor of two of the
+    Each round counts all adjacent pairs and replaces, left to right, those within a factor of eight of the
     most frequent. Rules are rows (left, right); rule i is symbol ``vocab + i``.
     """
     s, rules = ids.astype(np.uint16), []
@@ -95,7 +95,7 @@ def repair(ids: np.ndarray, vocab: int = VOCAB, least: int = 4) -> tuple[np.ndar
         top = int(counts.max())
         if top < least:
             break
-        hit = np.flatnonzero(counts >= max(least, (top + 1) // 2))
+        hit = np.flatnonzero(counts >= max(least, (top + 7) // 8))
         if len(hit) > room:
             hit = np.sort(hit[np.argsort(-counts[hit], kind="stable")[:room]])
         chosen = ordered[cuts[hit]]
