@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from lumenframe.plans.staging import Staged
 
 RUN, COVERED = 8, 0.7
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 BROADCAST_HOSTS = 50_000
 
 # Element names and attribute words of HTML.
@@ -56,7 +57,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-_HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _marks(attrs: str) -> tuple[set[str], bool]:
@@ -166,28 +167,35 @@ def page_blocks(page: str | None) -> tuple[list[str], list[int]]:
     return texts, states
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+
+def _page_rows(page: str | None) -> list[dict]:
+    """A page's blocks; where it has an article, all others count as boilerplate regions."""
+    texts, states = page_blocks(page)
+    if MAIN in states:
+        states = [MAIN if x == MAIN else REGION for x in states]
+    return [{"text": t, "state": x} for t, x in zip(texts, states, strict=True)]
+
+
+BLOCK_ROWS = "host string, bucket long, page_id long, url string, blocks array<struct<text:string,state:int>>, again array<long>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
+    kind = pa.list_(pa.struct([("text", pa.string()), ("state", pa.int32())]))
     for batch in batches:
-        hosts, blocks, keys, sizes = [], [], [], []
-        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            texts, states = page_blocks(page)
-            if MAIN in states:
-                states = [MAIN if x == MAIN else REGION for x in states]
-            rows = [{"text": t, "state": x} for t, x in zip(texts, states, strict=True)]
-            hosts.append(host_of(url))
-            blocks.append(rows)
-            keys.append([digest(r["text"].encode()) - (1 << 63) for r in rows if r["state"] == FREE])
-            sizes.append(sum(len(r["text"]) for r in rows))
-        kind = pa.list_(pa.struct([("text", pa.string()), ("state", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts), pa.array(blocks, kind), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["page_id", "url", "host", "blocks", "digests", "size"]
-        )
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            blocks = pa.array([_page_rows(p) for p in part.column(4).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], blocks, pa.nulls(part.num_rows, pa.list_(pa.int64()))], ["host", "bucket", "page_id", "url", "blocks", "again"])
+
+
+def _free_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[_digest(b["text"]) for b in _page_rows(p) if b["state"] == FREE] for p in batch.column(4).to_pylist()]
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(5).take(at), pa.array([d for f in found for d in f], pa.int64())], ["host", "bucket", "key", "digest"])
 
 
 def repeated_runs(stream: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -218,7 +226,9 @@ def repeated_runs(stream: np.ndarray, page: np.ndarray, run: int = RUN) -> np.nd
 
 def _host_bucket(key, table):
     """Texts of a bucket's pages, and how many characters of what goes the repeated runs cover."""
-    pages, known = table.column("blocks").to_pylist(), table.column("again").to_pylist()
+    again = {d for ds in table.column("again").to_pylist() if ds for d in ds}
+    table = table.filter(pa.compute.is_valid(table.column("blocks")))
+    pages = table.column("blocks").to_pylist()
     ids: dict[str, int] = {}
     tokens, counts, owner = [], [], []
     for p, blocks in enumerate(pages):
@@ -233,13 +243,13 @@ def _host_bucket(key, table):
         hit = repeated_runs(np.array(tokens, np.int64), np.repeat(np.array(owner), n))
         share = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(n)])]) / n
     out, covered, i = [], [], 0
-    for p, blocks in enumerate(pages):
-        again, keep, gone = set(known[p] or ()), [], 0
+    for blocks in pages:
+        keep, gone = [], 0
         for b in blocks:
             common = share[i] >= COVERED
             i += 1
             if b["state"] == FREE and not common and again:
-                common = xxhash.xxh3_64_intdigest(b["text"].encode()) - (1 << 63) in again
+                common = _digest(b["text"]) in again
             if b["state"] == MAIN or b["state"] == FREE and not common:
                 keep.append(b["text"])
             elif common:
@@ -251,16 +261,18 @@ def _host_bucket(key, table):
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, covered_chars) of every row of ``pages`` (page_id, url, html)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    kind = "page_id long, url string, host string, blocks array<struct<text:string,state:int>>, digests array<long>, size long"
-    read = Staged(rows.mapInArrow(_read, kind), "blocks").df.withColumn("key", F.xxhash64("page_id", "url"))
-    hosts = Staged(read.groupBy("host").agg(F.ceil(F.sum("size") / BUCKET_BYTES).cast("int").alias("buckets")), "hosts").df
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"host": host, "key": F.xxhash64("page_id", "url")})
+    size = F.coalesce(F.sum(F.octet_length("html")), F.lit(0))
+    hosts = Staged(rows.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(size / BUCKET_BYTES)).alias("buckets")), "hosts").df
     small = hosts.count() <= BROADCAST_HOSTS
-    dealt = read.join(F.broadcast(hosts) if small else hosts, "host").withColumn("bucket", F.pmod("key", F.greatest("buckets", F.lit(1))))
-    free = read.select("host", "key", F.explode("digests").alias("digest"))
+    dealt = rows.join(F.broadcast(hosts) if small else hosts, "host").select("host", F.pmod("key", "buckets").alias("bucket"), "page_id", "url", "html", "key")
+    free = Staged(dealt.mapInArrow(_free_digests, "host string, bucket long, key long, digest long").distinct(), "digests").df
     again = free.groupBy("host", "digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("host", "digest")
-    mine = free.distinct().join(again, ["host", "digest"]).groupBy("host", "key").agg(F.collect_set("digest").alias("again"))
-    ready = dealt.join(mine, ["host", "key"], "left").select("host", "bucket", "page_id", "url", "blocks", "again")
+    marks = free.select("host", "bucket", "digest").distinct().join(again, ["host", "digest"]).groupBy("host", "bucket").agg(F.collect_set("digest").alias("again"))
+    none = F.lit(None)
+    marks = marks.select("host", "bucket", none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("array<struct<text:string,state:int>>").alias("blocks"), "again")
+    ready = dealt.mapInArrow(_read, BLOCK_ROWS).union(marks)
     return ready.groupBy("host", "bucket").applyInArrow(_host_bucket, "page_id long, url string, text string, n_chars long, covered_chars long")
 
 
