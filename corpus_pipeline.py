@@ -18,15 +18,15 @@ NEAR = 0.8
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among ``ids``; rows without a doc_id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit_on(docs, labels, "crc32(cast(doc_id as string)) % 5 <> 0")
-    last = docs.select(*(f"`{c}`" for c in docs.columns if c != "text"), "text")
-    return quality.score_quality(last, model).where(F.col("score") >= QUALITY_AT_LEAST).select(*(f"`{c}`" for c in docs.columns))
+    last = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), "text")
+    return quality.score_quality(last, model, "__score").where(F.col("__score") >= QUALITY_AT_LEAST).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM = 1 << 18, 8
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 EPOCHS, RATE = 8, 1.0
 REPEAT = b"\x00repeat"
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 def features(word: bytes) -> list[int]:
@@ -54,7 +54,7 @@ def doc_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         f = features(w)
         at += f
         weight += [c / (total * len(f))] * len(f)
-    ids, back = np.unique(np.array(at, np.int64), return_inverse=True)
+    ids, back = np.unique(np.array(at, np.int32), return_inverse=True)
     return ids, np.bincount(back, weights=np.array(weight), minlength=len(ids)).astype(np.float32)
 
 
@@ -110,12 +110,31 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: str, sample_rows: int = S
     agreed = labels.where(usable).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other and quality in (0, 1)")
     picked = agreed.select("doc_id", "quality", order.alias("h")).orderBy("h", "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "text").limit(sample_rows)
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("sum", size).where(F.col("sum") <= sample_bytes).orderBy("h", "doc_id", "text").select("quality", "text").collect()
-    return Model.fit([r["text"] for r in sample], [int(r["quality"]) for r in sample])
+    fitted = rows.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("quality", "text").mapInArrow(_fitter(sample_bytes), "logits binary, bias double").collect()
+    if not fitted:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    return Model(np.frombuffer(fitted[0]["logits"], np.float32), fitted[0]["bias"])
 
 
-def _scorer(model):
+def _fitter(sample_bytes: int):
+    """One task fits on the bounded sample, so the driver holds the folded model only."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, size = [], [], 0
+        for batch in batches:
+            for quality, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size += len((text or "").encode())
+                if size <= sample_bytes:
+                    texts.append(text or "")
+                    labels.append(int(quality))
+        model = Model.fit(texts, labels)
+        if labels:
+            yield pa.RecordBatch.from_arrays([pa.array([model.logits.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
+
+    return fit
+
+
+def _scorer(model, name: str):
     held: list = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +147,16 @@ def _scorer(model):
                 words = tokens(t)
                 z = sum(map(get, words)) / max(1, len(words)) + bias
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
     return score
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` (the text last) and ``score``."""
+def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The columns of ``docs`` (the text last) and the score, named ``name``."""
     spark = docs.sparkSession
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), kind)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
+    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), name), kind)
 
 
 def op9_quality(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
