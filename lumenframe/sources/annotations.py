@@ -18,7 +18,7 @@ PARTITIONS = {"0": "train", "1": "val", "2": "test"}
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(no, line): the non-empty lines of a text file, trimmed, numbered from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), F.trim), lambda x: x != "")).alias("no", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")).alias("no", "line"))
     return whole
 
 
@@ -76,8 +76,8 @@ def read_pairs(spark: SparkSession, path: str, folds: int = FOLDS, fold_size: in
     cells = rows.where("no > 0").select((F.col("no") - 1).alias("i"), F.split("line", r"\s+").alias("c"))
     image = lambda who, no: F.concat(who, F.lit("/"), who, F.lit("_"), F.lpad(no, 4, "0"), F.lit(".jpg"))
     same = F.size("c") == 3
-    right = F.when(same, image(F.col("c")[0], F.col("c")[2])).otherwise(F.when(F.size("c") == 4, image(F.col("c")[2], F.try_element_at("c", F.lit(4)))))
-    pairs = cells.select(image(F.col("c")[0], F.col("c")[1]).alias("left"), right.alias("right"), same.alias("same"), F.floor(F.col("i") / fold_size).cast("int").alias("fold"))
+    right = F.when(same, image(F.col("c")[0], F.try_element_at("c", F.lit(3)))).otherwise(F.when(F.size("c") == 4, image(F.try_element_at("c", F.lit(3)), F.try_element_at("c", F.lit(4)))))
+    pairs = cells.select(image(F.col("c")[0], F.try_element_at("c", F.lit(2))).alias("left"), right.alias("right"), same.alias("same"), F.floor(F.col("i") / fold_size).cast("int").alias("fold"))
     found = pairs.groupBy("fold").agg(F.count("*").alias("n"), F.count_if("same").alias("p"), F.count_if(F.col("right").isNull()).alias("bad")).collect()
     if len(found) != folds or any(r["n"] != fold_size or r["p"] * 2 != fold_size or r["bad"] for r in found):
         raise EvaluationDataError(f"{folds} folds of {fold_size // 2} same and {fold_size // 2} different pairs are needed")
@@ -88,8 +88,8 @@ def read_columns(spark: SparkSession, path: str, counted: bool = False) -> DataF
     """(name, value) from lines ``name integer``; with a declared count first where ``counted``. Names are unique."""
     rows = lines(spark, path)
     cells = F.split("line", r"\s+")
-    out = rows.where(F.size(cells) == 2).select(cells[0].alias("name"), cells[1].try_cast("int").alias("value"))
-    broken = rows.where((F.size(cells) != 2) | cells[1].try_cast("int").isNull())
+    out = rows.where(F.size(cells) == 2).select(cells[0].alias("name"), F.try_element_at(cells, F.lit(2)).try_cast("int").alias("value"))
+    broken = rows.where((F.size(cells) != 2) | F.try_element_at(cells, F.lit(2)).try_cast("int").isNull())
     broken = broken.where("no > 0") if counted else broken
     if broken.limit(1).count():
         raise EvaluationDataError(f"{path}: a line is not a name and a number")
