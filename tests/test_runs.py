@@ -242,9 +242,8 @@ def test_tracker_stream(spark, tmp_path):
     for k, part in enumerate((rows[:4], rows[4:])):
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = tracker.track_stream(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = tracker.track_stream(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(45)
     got = {r["face_id"]: r["local"] for r in spark.table("tracked").collect()}
     assert got == {f"f{i}": i % 2 for i in range(8)}
 
