@@ -106,11 +106,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, schedules=SCHED
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, repeated as planned, range-sorted by training position; same columns."""
-    plan = plan_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("positions").alias("_p"))
-    sized = docs.withColumn("_size", size_of())
-    hit = sized.doc_id.eqNullSafe(plan["_d"]) & sized.source.eqNullSafe(plan["_s"]) & (sized["_size"] == plan["_n"])
-    rows = sized.join(plan, hit).withColumn("_at", F.explode("_p"))
-    return rows.repartitionByRange("_at").sortWithinPartitions("_at", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = plan_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__mix_d"), F.col("source").alias("__mix_s"), F.col("size").alias("__mix_n"), F.col("positions").alias("__mix_p"))
+    sized = docs.withColumn("__mix_size", size_of())
+    hit = sized.doc_id.eqNullSafe(plan["__mix_d"]) & sized.source.eqNullSafe(plan["__mix_s"]) & (sized["__mix_size"] == plan["__mix_n"])
+    rows = sized.join(plan, hit).withColumn("__mix_at", F.explode("__mix_p"))
+    return rows.repartitionByRange("__mix_at").sortWithinPartitions("__mix_at", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.textkit import release
+
 BUCKETS, DIM = 1 << 18, 8
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 EPOCHS, RATE = 8, 1.0
@@ -128,6 +130,7 @@ def _fitter(sample_bytes: int):
                     texts.append(text or "")
                     labels.append(int(quality))
         model = Model.fit(texts, labels)
+        release()
         if labels:
             yield pa.RecordBatch.from_arrays([pa.array([model.logits.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
 
@@ -142,6 +145,7 @@ def _scorer(model, name: str):
             held.append(WordLogits(model.value.logits))
         get, bias = held[0].__getitem__, model.value.bias
         for batch in batches:
+            release()
             out = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 words = tokens(t)

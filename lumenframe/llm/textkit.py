@@ -48,8 +48,14 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * BASE + U(salt)) | U(1)
 
 
+def release() -> None:
+    """Give the Arrow pool's free memory back: a worker that lives on must not keep its largest batch."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
+    release()
     if column.null_count:
         column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())

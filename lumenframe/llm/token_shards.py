@@ -42,7 +42,7 @@ class Pieces(dict):
     text. Texts with longer runs of white space are encoded whole.
     """
 
-    def __init__(self, tokenizer, limit: int = 1_000_000):
+    def __init__(self, tokenizer, limit: int = 400_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
 
