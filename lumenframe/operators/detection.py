@@ -5,6 +5,7 @@ Predictions: image, det (int, the order of ties), box, score. Ground truth: imag
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +33,17 @@ def greedy_matches(predictions: DataFrame, truth: DataFrame, least: float = IOU)
     offers = pairs.groupBy("image", "det").agg(F.array_sort(F.collect_list(F.struct("iou", "gt"))).alias("offers"))
     rows = predictions.select("image", "det", "score").join(offers, ["image", "det"], "left")
 
-    def match(part: pd.DataFrame) -> pd.DataFrame:
+    def match(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first, hits = set(starts.tolist()), np.zeros(len(rows), bool)
         taken: set[int] = set()
-        hits = []
-        for offers in part["offers"]:
-            free = next((int(o["gt"]) for o in reversed(offers) if int(o["gt"]) not in taken), None) if offers is not None else None
+        for i, offers in enumerate(rows["offers"]):
+            if i in first:
+                taken = set()
+            free = next((int(o["gt"]) for o in reversed(offers) if int(o["gt"]) not in taken), None)
             if free is not None:
                 taken.add(free)
-            hits.append(free is not None)
-        return pd.DataFrame({"image": part["image"], "det": part["det"], "score": part["score"], "matched": hits})
+                hits[i] = True
+        return rows[["image", "det", "score"]].assign(matched=hits)
 
     kind = f"image {predictions.schema['image'].dataType.simpleString()}, det {predictions.schema['det'].dataType.simpleString()}, score double, matched boolean"
     busy = solve_groups(rows.where("offers is not null"), ["image"], [F.desc("score"), F.desc("det")], match, kind)
