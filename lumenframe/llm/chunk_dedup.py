@@ -100,6 +100,7 @@ def repeated_spans(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEA
 
     ``first_docs`` holds the doc_ids where the span's chunks stand first.
     """
+    K.bounded_batches(docs)
     texts = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = Staged(texts.mapInArrow(_chunker(mask_bits, least, most), "doc_id long, place int, begin long, size int, k1 long, k2 long"), "chunks").df
     seen = chunks.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -117,6 +117,7 @@ def _finder(index, percent: int, width: int):
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = 5) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): items whose containment reaches the threshold."""
+    K.bounded_batches(docs)
     spark, percent = docs.sparkSession, round(threshold * 100)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.textkit import bounded_batches
 from lumenframe.plans.staging import Staged
 
 RUN, COVERED = 8, 0.7
@@ -261,6 +262,7 @@ def _host_bucket(key, table):
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, covered_chars) of every row of ``pages`` (page_id, url, html)."""
+    bounded_batches(pages)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"host": host, "key": F.xxhash64("page_id", "url")})
     size = F.coalesce(F.sum(F.octet_length("html")), F.lit(0))

@@ -316,6 +316,7 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
 
     ``training`` is a SQL predicate on doc_id for the rows to learn from.
     """
+    K.bounded_batches(docs)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     learn = docs.where(f"coalesce({training}, true)")

@@ -158,6 +158,7 @@ def _may(x: str, y: str, percent: int, words: int):
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string)."""
+    K.bounded_batches(docs)
     percent = round(threshold * 100)
     depth = forest_depth(percent / 100, trees)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.textkit import release
+from lumenframe.llm.textkit import bounded_batches, release
 
 BUCKETS, DIM = 1 << 18, 8
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
@@ -158,6 +158,7 @@ def _scorer(model, name: str):
 
 def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The columns of ``docs`` (the text last) and the score, named ``name``."""
+    bounded_batches(docs)
     spark = docs.sparkSession
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), name), kind)

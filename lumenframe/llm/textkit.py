@@ -48,6 +48,13 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * BASE + U(salt)) | U(1)
 
 
+def bounded_batches(df) -> None:
+    """Arrow batches of 1,000 texts where the session has Spark's default of 10,000, which long texts make large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1000")
+
+
 def release() -> None:
     """Give the Arrow pool's free memory back: a worker that lives on must not keep its largest batch."""
     pa.default_memory_pool().release_unused()

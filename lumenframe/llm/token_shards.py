@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.textkit import row_slices, text_buffers
+from lumenframe.llm.textkit import bounded_batches, row_slices, text_buffers
 from lumenframe.plans.staging import new_path
 
 END_ID = 2
@@ -42,17 +42,26 @@ class Pieces(dict):
     text. Texts with longer runs of white space are encoded whole.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000):
+    def __init__(self, tokenizer, limit: int = 200_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
+        """Two generations of at most ``limit`` entries (or one batch): what was met lately survives."""
         if len(self) + len(pieces) > self.limit:
+            self.old = dict(self)
             self.clear()
-        new = [p for p in pieces if p not in self]
+        new = []
+        for p in pieces:
+            if p not in self:
+                ids = self.old.pop(p, None)
+                if ids is None:
+                    new.append(p)
+                else:
+                    self[p] = ids
         for i in range(0, len(new), 20_000):
             self.update(zip(new[i : i + 20_000], self.raw(new[i : i + 20_000]), strict=True))
 
@@ -206,6 +215,7 @@ def _packer(path: str, end_id: int, shard_tokens: int, vocab: int):
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, vocab: int = VOCAB) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order, write the shards to ``path`` and return a scan of them."""
+    bounded_batches(docs)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_packer(tokenizer, end_id, shard_tokens, vocab), SHARD_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
