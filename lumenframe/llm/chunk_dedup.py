@@ -1,15 +1,17 @@
-"""Substring dedup by content-defined chunks.
-
-A gear hash rolls over a text's UTF-8 bytes (each byte adds a table value to the doubled hash, so the
-upper bits depend on the last 32 bytes); a chunk ends where the masked hash is zero, at ``least`` bytes
-or more, and at ``most`` bytes in any case. As ends depend on content alone, text inserted earlier
-shifts chunks without changing them. Chunks are known by a 128-bit digest; the first by (doc_id, place)
-stays. A repeat is removed where it is part of a run of repeats of ``run`` bytes or more, so chance
-repeats of short phrases stay.
-
-Null and empty texts have no chunks and stay as they are, as do rows without a doc_id. Rows that share a
-doc_id count as one document: a chunk at the same place of the same doc_id is not a repeat, and spans
-found for one of them apply to all. A chunk never ends inside a character. Extra columns aren't read.
+"""Substring dedup by content-defined anchors.
+
+A gear hash rolls over a text's UTF-8 bytes (each byte adds a table value to the doubled hash, which so
+depends on the last 32 bytes). The anchor of a window of ``run`` bytes is the 64-byte gram in it whose
+end has the least hash, the first of equals; it depends on the window's content alone, so equal windows have equal
+anchors wherever they stand. Only anchors that stand in several documents go on: their occurrences, with
+all bytes of the windows they stand for, are extended to both sides against the first occurrence by exact
+comparison, and windows that differ from it meet each other by a 128-bit digest. So the spans are exactly
+the bytes in windows of ``run`` bytes that stand in an earlier document, whichever that is; shorter chance
+repeats stay. A text below ``run`` bytes is one window and a repeat if an earlier document equals it.
+
+Null and empty texts have no windows and stay as they are, as do rows without a doc_id. Rows that share a
+doc_id count as one document: none repeats another, and spans found for one of them apply to all. A span
+never ends inside a character. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from lumenframe.llm import textkit as K
 from lumenframe.plans.staging import Staged
 
 MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
+GRAM = 64
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -67,50 +70,153 @@ def chunk_ends(data: np.ndarray, mask_bits: int = MASK_BITS, least: int = LEAST,
     return ends
 
 
-def _chunker(mask_bits: int, least: int, most: int):
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+def anchors(data: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram begins, first window, last window) of each anchor of a text of ``run`` bytes or more."""
+    h = gear_hashes(data)[GRAM - 1 :].astype(np.uint64)
+    least = (h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    width, span = run - GRAM + 1, 1
+    while span < width:
+        step = min(span, width - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    low = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[low], low, np.concatenate([low[1:], [len(at)]]) - 1
+
+
+def _text_anchors(text: np.ndarray, run: int) -> tuple[list[int], np.ndarray]:
+    """(key of each anchor, [gram begins, first window, last window]); a text below ``run`` bytes is its own anchor."""
+    raw, digest = text.tobytes(), xxhash.xxh3_64_intdigest
+    if len(raw) < run:
+        return [digest(raw, 1)], np.zeros((3, 1), np.int64)
+    found = np.stack(anchors(text, run))
+    return [digest(raw[g : g + GRAM]) for g in found[0].tolist()], found
+
+
+def _anchorer(run: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
             for lo, hi in K.row_slices(offsets):
-                ids, owner, place, begin, size, key = batch.column(0).slice(lo, hi - lo).to_pylist(), [], [], [], [], []
-                for name, a, b in zip(ids, offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True):
-                    text, at = data[a:b], 0
-                    raw = text.tobytes()
-                    for i, end in enumerate(chunk_ends(text, mask_bits, least, most)):
-                        owner.append(name)
-                        place.append(i)
-                        begin.append(at)
-                        size.append(end - at)
-                        key.append(digest(raw[at:end]))
-                        at = end
-                keys = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(begin, pa.int64()), pa.array(size, pa.int32()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())],
-                    ["doc_id", "place", "begin", "size", "k1", "k2"],
-                )
-
-    return chunk
-
-
-def repeated_spans(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, run: int = RUN, inside: bool = False) -> DataFrame:
+                keys, counts, sizes = [], [], []
+                for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True):
+                    key, n = np.unique(np.array(_text_anchors(data[a:b], run)[0], np.uint64), return_counts=True)
+                    keys.append(key.view(np.int64))
+                    counts.append(n)
+                    sizes.append(len(key))
+                at = pa.array(np.repeat(np.arange(lo, hi), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(at), pa.array(np.concatenate(counts))], ["k", "doc_id", "n"])
+
+    return find
+
+
+def _contexts(run: int):
+    """The bytes of all windows of the wanted anchors of each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, t, raw = (batch.column(c)[i].as_py() for c in range(3))
+                raw, wanted = raw.encode(), batch.column(3)[i].values
+                key, (gram, low, high) = _text_anchors(np.frombuffer(raw, np.uint8), run)
+                key = np.array(key, np.uint64).view(np.int64)
+                lead = dict(zip(wanted.field("k").to_pylist(), wanted.field("lead").to_pylist(), strict=True))
+                has = np.flatnonzero(np.isin(key, np.fromiter(lead, np.int64, len(lead))))
+                for lo in range(0, len(has), 4096):
+                    k, g, x, y = (v[has[lo : lo + 4096]] for v in (key, gram, low, high))
+                    ctx = [raw[p : q + run] for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+                    ids = (pa.array(np.full(len(k), v)) for v in (doc, t))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), *ids, pa.array(x.astype(np.int32)), pa.array((g - x).astype(np.int32)), pa.array([lead[v] == doc for v in k.tolist()]), pa.array(ctx, pa.binary())], ["k", "doc_id", "t", "low", "gram", "lead", "ctx"])
+
+    return cut
+
+
+def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The range [a, b) without what it has of characters that it cuts."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    last = b - 1
+    while last > a and raw[last] & 0xC0 == 0x80:
+        last -= 1
+    if b > a and last + (1 if raw[last] < 0x80 else 2 if raw[last] < 0xE0 else 3 if raw[last] < 0xF0 else 4) > b:
+        b = last
+    return a, b
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two texts share from their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def _extender(run: int):
+    """Spans equal to the first occurrence (no digest), and the windows that differ from it (with theirs)."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                out, keys = [], []
+                for doc, low, g, ctx, source, sg, sctx in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns), strict=True):
+                    win = min(run, len(ctx))
+                    a = b = 0
+                    if g == sg and ctx == sctx:
+                        b = len(ctx)
+                    elif len(ctx) >= run and len(sctx) >= run:
+                        left, right = _common(ctx[:g][::-1], sctx[:sg][::-1]), _common(ctx[g:], sctx[sg:])
+                        if right >= GRAM and left + right >= run:
+                            a, b = g - left, g + right
+                    if b:
+                        x, y = _whole(ctx, a, b)
+                        if x < y:
+                            out.append((doc, low + x, low + y, source))
+                            keys.append(None)
+                    for w in range(len(ctx) - win + 1):
+                        if not (b and a <= w and w + win <= b):
+                            x, y = _whole(ctx, w, w + win)
+                            if x < y:
+                                out.append((doc, low + x, low + y, None))
+                                keys.append(xxhash.xxh3_128_digest(ctx[w : w + win]))
+                doc, begin, stop, source = zip(*out, strict=True) if out else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(source, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "begin", "stop", "source", "key"])
+
+    return extend
+
+
+def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> DataFrame:
     """(doc_id, begin, stop, first_docs): byte spans that repeat text of a document before.
 
     ``inside`` adds spans that repeat earlier text of the same document.
 
-    ``first_docs`` holds the doc_ids where the span's chunks stand first.
+    ``first_docs`` holds the doc_ids where the span's windows stand first.
     """
+    if run <= GRAM:
+        raise ValueError(f"run must be over {GRAM}")
     K.bounded_batches(docs)
     texts = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = Staged(texts.mapInArrow(_chunker(mask_bits, least, most), "doc_id long, place int, begin long, size int, k1 long, k2 long"), "chunks").df
-    seen = chunks.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = chunks.join(seen, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin"))).select("doc_id", "begin", "size", F.col("first.doc_id").alias("source"))
+    found = texts.mapInArrow(_anchorer(run), "k long, doc_id long, n long")
+    seen = found.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), *[F.sum("n").alias("n")] * inside).where("n > 1" if inside else "lead <> last").select("k", "lead")
+    wanted = found.select("k", "doc_id").join(seen, "k").groupBy("doc_id").agg(F.collect_list(F.struct("k", "lead")).alias("wanted"))
+    kind = "k long, doc_id long, t long, low int, gram int, lead boolean, ctx binary"
+    held = Staged(texts.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text", "wanted").mapInArrow(_contexts(run), kind), "contexts")
+    contexts, free = held.df, docs.sparkSession._jvm.System.gc
+    free()  # shuffle files go with their plans
+    firsts = contexts.where("lead").groupBy("k").agg(F.min(F.struct("doc_id", "t", "low", "gram", "ctx")).alias("first"))
+    pairs = contexts.drop("lead").join(firsts, "k").where("not (doc_id = first.doc_id and t = first.t and low = first.low)").select("doc_id", "low", "gram", "ctx", F.col("first.doc_id").alias("source"), F.col("first.gram").alias("sg"), F.col("first.ctx").alias("sctx"))
+    met = Staged(pairs.mapInArrow(_extender(run), "doc_id long, begin int, stop int, source long, key binary"), "met").df
+    held.drop()
+    free()
+    rest = met.where("key is not null")
+    shared = rest.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1" if inside else "lead.doc_id <> last").select("key", "lead")
+    late = rest.drop("source").join(shared, "key").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("begin") != F.col("lead.begin"))).select("doc_id", "begin", "stop", F.col("lead.doc_id").alias("source"))
+    again = met.where("key is null").drop("key").union(late)
     again = again if inside else again.where(F.col("source") != F.col("doc_id"))
-    by_doc = Window.partitionBy("doc_id").orderBy("begin")
-    fresh = F.coalesce((F.lag(F.col("begin") + F.col("size")).over(by_doc) < F.col("begin")).cast("int"), F.lit(1))
-    runs = again.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("size")).alias("stop"), F.array_sort(F.collect_set("source")).alias("first_docs"))
-    return spans.where(F.col("stop") - F.col("begin") >= run).select("doc_id", "begin", "stop", "first_docs")
+    by_doc = Window.partitionBy("doc_id").orderBy("begin", "stop")
+    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("fresh", F.coalesce((before < F.col("begin")).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(by_doc))
+    spans = runs.groupBy("doc_id", "run").agg(F.min("begin").cast("long").alias("begin"), F.max("stop").cast("long").alias("stop"), F.array_sort(F.collect_set("source")).alias("first_docs"))
+    return spans.select("doc_id", "begin", "stop", "first_docs")
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -385,3 +385,35 @@ def test_chunk_dedup(spark, odd, empty):
     assert words(90, 53) in out[2] and shared not in out[2] and len(out[2]) < len(rows[1][1]) - 112
     whole = chunk_dedup.without_repeats(odd)
     assert whole.count() == odd.count() and chunk_dedup.repeated_spans(empty).count() == 0
+
+
+def brute_repeats(rows, run=chunk_dedup.RUN):
+    """Bytes of each document in windows of ``run`` bytes that stand in an earlier one."""
+    seen, out = {}, {}
+    for name, raw in sorted((n, t.encode()) for n, t in rows if t):
+        n, hit = min(run, len(raw)), np.zeros(len(raw), bool)
+        for i in range(len(raw) - n + 1):
+            if seen.setdefault((len(raw) < run, raw[i : i + n]), name) != name:
+                hit[i : i + n] = True
+        out[name] = hit
+    return out
+
+
+def test_chunk_dedup_finds_whole_repeats(spark):
+    r = random.Random(8)
+    rows = [(1, words(70, 60))]
+    for i in range(60):
+        passage = words(r.randrange(26, 60), 100 + i)
+        rows += [(10 * i + 10 + k, words(30, 1000 + 10 * i + k) + " " + passage[k:] + " " + words(20, 2000 + 10 * i + k)) for k in range(2)]
+    base = words(40, 61)
+    rows += [(2000, "Q" + base[:60] + words(30, 62)), (2001, words(30, 63) + base + words(30, 64)), (2002, words(20, 65) + base), (2003, "short copy"), (2004, "short copy"), (2005, "x" * 500), (2006, "y" + "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {n: np.zeros(len(t.encode()), bool) for n, t in rows}
+    for s in chunk_dedup.repeated_spans(df).collect():
+        got[s["doc_id"]][s["begin"] : s["stop"]] = True
+        assert all(f < s["doc_id"] for f in s["first_docs"])
+    truth = brute_repeats(rows)
+    assert sum(h.any() for h in truth.values()) >= 60
+    assert {n for n in truth if (truth[n] != got[n]).any()} == set()
+    accents = spark.createDataFrame([(1, "é" + "ü" * 200 + "è"), (2, "ê" + "ü" * 200 + "ë")], "doc_id long, text string")
+    assert [x["text"] for x in chunk_dedup.without_repeats(accents).orderBy("doc_id").collect()] == ["é" + "ü" * 200 + "è", "êë"]
