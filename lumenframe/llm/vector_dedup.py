@@ -1,8 +1,8 @@
 """Embedding near-duplicates over robust-pruned flat graphs.
 
 Vectors of a label are dealt to overlapping cluster shards: a vector's home is the nearest of the
-label's centroids, and it is also placed in the shards, up to ``OVERLAP``, that a vector within the link
-distance could have as its home. A large shard is cut into blocks, and each block of queries (home
+label's centroids, and it is also placed in every shard that a vector within the link distance could
+have as its home, so that both ends of a link meet in the home of each. A large shard is cut into blocks, and each block of queries (home
 vectors) meets each block of members, so no task holds more than two blocks. In a block the graph is
 built on overlapping sub-clusters: near and far candidates are robust-pruned, and the adjacency lists
 of the sub-clusters are united. Queries run in lockstep: greedy search with a beam from the medoids,
@@ -29,7 +29,7 @@ from lumenframe.llm.textkit import BASE, mix
 from lumenframe.operators.graph import connected_components
 from lumenframe.plans.staging import Staged
 
-SHARD, OVERLAP, MAX_SAMPLE = 4096, 3, 1 << 16
+SHARD, MAX_SAMPLE = 4096, 1 << 16
 SUB, DEGREE, ALPHA, NEAR, FAR = 1024, 24, 1.2, 40, 24
 BEAM, MEDOIDS, AUDIT, DOUBLINGS = 32, 8, 48, 3
 
@@ -222,14 +222,14 @@ def _assigner(centres, reach: float):
                 x = np.array(batch.column(4).take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), k[1])
                 x /= np.sqrt((x * x).sum(1))[:, None]
                 sq = 2 - 2 * (x @ c.T)
-                order = np.argsort(sq, axis=1, kind="stable")[:, :OVERLAP]
-                base = sq[np.arange(len(rows)), order[:, 0]]
-                for j in range(order.shape[1]):
-                    gap = np.sqrt(((c[order[:, j]] - c[order[:, 0]]) ** 2).sum(1))
-                    ok = np.flatnonzero((sq[np.arange(len(rows)), order[:, j]] - base <= 2 * reach * gap) if j else np.ones(len(rows), bool))
-                    take += [rows[i] for i in ok.tolist()]
-                    shard += order[ok, j].tolist()
-                    home += [j == 0] * len(ok)
+                near = sq.argmin(1)
+                for h in np.unique(near).tolist():
+                    mine = np.flatnonzero(near == h)
+                    gap = np.sqrt(((c - c[h]) ** 2).sum(1))
+                    i, j = np.nonzero(sq[mine] - sq[mine, h][:, None] <= 2 * reach * gap + 1e-9)
+                    take += [rows[r] for r in mine[i].tolist()]
+                    shard += j.tolist()
+                    home += (j == h).tolist()
             out = batch.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shard, pa.int32()), pa.array(home, pa.bool_())], [*out.schema.names, "shard", "home"])
 

@@ -287,6 +287,16 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 16)
+    x = np.random.default_rng(5).normal(size=(500, 3))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & ~np.eye(500, dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(df).collect()}
+    assert [got[i] for i in range(500)] == near.sum(1).tolist()
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 32))
