@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings, trained by numpy stochastic gradient descent.
 
 A word's vector is the mean of its learned features: the hashed word and its hashed 3- to 5-byte grams
-inside ``<word>``; a word that repeats the one before it counts as the word "repeat". A document's vector is the mean over its words; a softmax over two outputs gives the
+inside ``<word>``, over the whole word however long; a word that repeats the one before it counts as the word "repeat". A document's vector is the mean over its words; a softmax over two outputs gives the
 chance of label 1. As the output is linear in the vectors, scoring folds them to one number a bucket.
 
 The fit uses a bounded sample, at most ``sample_rows`` labelled rows and ``sample_bytes`` of their whole
@@ -27,17 +27,19 @@ BUCKETS, DIM = 1 << 18, 8
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 EPOCHS, RATE = 8, 1.0
 REPEAT = b"\x00repeat"
-CACHE = 300_000
+CACHE, CACHE_WORD = 300_000, 256
+SLICE = 1 << 15
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word: itself and the byte grams of ``<word>``."""
-    full = b"<" + word[:64] + b">"
+def feature_slices(word: bytes) -> Iterator[list[int]]:
+    """Buckets of a word, itself and the byte grams of ``<word>``, for at most ``SLICE`` places at once."""
+    full = b"<" + word + b">"
     n, crc = len(full), zlib.crc32
-    out = [crc(word, 1) % BUCKETS]
-    for k in (3, 4, 5):
-        out += [crc(full[i : i + k]) % BUCKETS for i in range(n - k + 1)]
-    return out
+    for lo in range(0, n, SLICE):
+        out = [] if lo else [crc(word, 1) % BUCKETS]
+        for k in (3, 4, 5):
+            out += [crc(full[i : i + k]) % BUCKETS for i in range(lo, min(lo + SLICE, n - k + 1))]
+        yield out
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,9 +55,15 @@ def doc_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words[w] = words.get(w, 0) + 1
     total, at, weight = sum(words.values()), [], []
     for w, c in words.items():
-        f = features(w)
-        at += f
-        weight += [c / (total * len(f))] * len(f)
+        if len(w) + 2 <= SLICE:
+            f = next(feature_slices(w))
+            at += f
+            weight += [c / (total * len(f))] * len(f)
+            continue
+        times = sum(np.bincount(f, minlength=BUCKETS) for f in feature_slices(w))
+        f = np.flatnonzero(times)
+        at += f.tolist()
+        weight += (times[f] * (c / (total * times.sum()))).tolist()
     ids, back = np.unique(np.array(at, np.int32), return_inverse=True)
     return ids, np.bincount(back, weights=np.array(weight), minlength=len(ids)).astype(np.float32)
 
@@ -91,7 +99,7 @@ class Model:
 
 
 class WordLogits(dict):
-    """Mean bucket logit of each word met, within a bound of entries."""
+    """Mean bucket logit of each word met; those of ``CACHE_WORD`` bytes at most are kept, within a bound of entries."""
 
     def __init__(self, logits: np.ndarray):
         super().__init__()
@@ -100,9 +108,13 @@ class WordLogits(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= CACHE:
             self.clear()
-        f, g = features(word), self.logits
-        x = sum(g[i] for i in f) / len(f)
-        self[word] = x
+        g, x, n = self.logits, 0.0, 0
+        for f in feature_slices(word):
+            x += sum(g[i] for i in f)
+            n += len(f)
+        x /= n
+        if len(word) <= CACHE_WORD:
+            self[word] = x
         return x
 
 

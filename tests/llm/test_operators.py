@@ -366,6 +366,20 @@ def test_quality(spark, odd, empty):
     assert quality.score_quality(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_reads_whole_words():
+    r = random.Random(9)
+    head = "".join(r.choice("天地人山水") for _ in range(30))
+    tail = ["".join(r.choice(s) for _ in range(60)) for s in ("春夏秋冬", "红黄蓝白") * 60]
+    model = quality.Model.fit([head + t for t in tail[:80]], [i % 2 for i in range(80)])
+    score = quality.WordLogits(model.logits)
+    assert [score[(head + t).encode()] + model.bias > 0 for t in tail[80:]] == [bool(i % 2) for i in range(80, 120)]
+    assert all(len(w) <= quality.CACHE_WORD for w in score)
+    long = ("ab" * quality.SLICE).encode()
+    at, weight = quality.doc_features(long.decode())
+    grams = [(b"<" + long + b">")[i : i + k] for k in (3, 4, 5) for i in range(len(long) + 3 - k)]
+    assert len(at) == len({quality.zlib.crc32(g) % quality.BUCKETS for g in grams} | {quality.zlib.crc32(long, 1) % quality.BUCKETS}) and abs(weight.sum() - 1) < 1e-5
+
+
 # --- 10 ----------------------------------------------------------------------------------------
 
 
