@@ -1,246 +1,348 @@
 """Token-id shards in a Re-Pair grammar: encode, compress, write, random access, read back.
 
-Documents are range-sorted by doc_id. Each task encodes its texts, appends the end id, cuts the stream
-into shards of about ``shard_tokens`` ids and compresses each by repeatedly replacing frequent pairs of
-ids with nonterminals. A shard row holds the final symbols, the rules (left, right), every rule's
-expansion length, and the documents' ids and offsets, so any range of ids can be decoded alone.
+Documents are range-sorted by doc_id and a hash of the text. Each task encodes its texts, appends the end
+id, cuts the stream into shards of about ``shard_tokens`` ids and compresses each: pairs of ids are replaced
+by nonterminals until no pair stands twice, in rounds of falling frequency. A shard row holds the final
+symbols, the rules (left, right), every rule's expansion length, and the documents' ids and offsets. The
+lengths place every symbol, so a range of ids is decoded from the rules on its own paths and no others.
+Numbers are stored as byte planes, as many as the largest needs, so neither ids nor rules have a bound.
 
 Null texts count as empty and yield the end id only. Rows without a doc_id sort first. Repeated ids keep
-one entry per row, ordered by text. A very long text makes one longer shard. Extra columns are not read;
-an empty table gives no shards.
+one entry per row, ordered by text. A very long text makes one longer shard. Extra columns are not read,
+whatever their names; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.textkit import bounded_batches, row_slices, text_buffers
+from lumenframe.llm.textkit import bounded_batches, release, row_slices, text_buffers
 from lumenframe.plans.staging import new_path
 
 END_ID = 2
-VOCAB = 50_257
-SYMBOLS = 1 << 16
 SHARD_TOKENS = 1 << 20
-SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, doc_ids array<long>, starts binary, symbols binary, rules binary, lengths binary"
-_SPACES = re.compile(r"\s\s")
+SLICE_BYTES = 6 << 20
+#: Pieces whose ids a worker keeps, those met lately.
+KNOWN, KNOWN_BYTES = 1_500_000, 64 << 20
+SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, before long, vocab long, doc_ids array<long>, starts binary, symbols binary, rules binary, lengths binary"
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: Texts that may break elsewhere than at each lone space and line feed.
+_ODD = f"{_BLANK}{_BLANK}|\\x00|^{_BLANK}"
 
 
-class Pieces(dict):
-    """Ids (uint16 bytes) of text pieces cut before lone spaces and around lone line feeds.
+class Encoder:
+    """Ids of whole texts. Pieces are encoded once while they are known, and new ones all in one string.
 
-    The byte-level pre-tokenizer always breaks there, so pieces encode as they would inside the whole
-    text. Texts with longer runs of white space are encoded whole.
+    A byte-level pre-tokenizer always breaks before a lone space or line feed, so the pieces between encode
+    alike wherever they stand, and the ids of a string of pieces fall apart at their bytes. Texts with other
+    white space than that, and all texts of other kinds of tokenizer, are encoded one by one.
     """
 
-    def __init__(self, tokenizer, limit: int = 200_000):
-        super().__init__()
-        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Two generations of at most ``limit`` entries (or one batch): what was met lately survives."""
-        if len(self) + len(pieces) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        new = []
-        for p in pieces:
-            if p not in self:
-                ids = self.old.pop(p, None)
-                if ids is None:
-                    new.append(p)
-                else:
-                    self[p] = ids
-        for i in range(0, len(new), 20_000):
-            self.update(zip(new[i : i + 20_000], self.raw(new[i : i + 20_000]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        seen: set[str] = set()
-        for t in texts:
-            if _SPACES.search(t):
-                cut.append(None)
-                continue
-            pieces = t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in t else [t]
-            cut.append(pieces)
-            seen.update(pieces)
-        self.learn(seen)
-        get = self.__getitem__
-        return [self.raw([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+    def __init__(self, tokenizer):
+        self.tokenizer, self.vocab = tokenizer, tokenizer.get_vocab_size()
+        kind = json.loads(tokenizer.to_str())
+        pre, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
+        fixed = [t["content"] for t in added]
+        self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind.get("normalizer") is None
+        self.pieces &= not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or len(t["content"].split()) != 1 for t in added)
+        names = [tokenizer.id_to_token(i) or "" for i in range(self.vocab)]
+        self.known, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.last, self.now = np.zeros(0, np.int64), 0
+        self.bytes = np.array([len(n.encode()) if n in fixed else len(n) for n in names], np.int64)
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces among the known ones, after learning those that are new."""
+        self.now += 1
+        if len(self.known) > KNOWN or self.known.nbytes > KNOWN_BYTES:
+            stay = np.sort(np.argsort(-self.last, kind="stable")[: KNOWN // 2])
+            if self.known.nbytes > KNOWN_BYTES:
+                stay = stay[:0]
+            n = np.diff(self.at)[stay]
+            self.ids = self.ids[np.repeat(self.at[:-1][stay] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            self.known, self.at, self.last = self.known.take(pa.array(stay)), np.concatenate([[0], np.cumsum(n)]), self.last[stay]
+        spot = pc.index_in(pieces, value_set=self.known)
+        fresh = spot.is_null().to_numpy(zero_copy_only=False)
+        spot = pc.fill_null(spot, 0).to_numpy().astype(np.int64)
+        if fresh.any():
+            new = pieces.filter(pa.array(fresh))
+            ids, at = self._distinct(new)
+            spot[fresh] = len(self.known) + np.arange(len(new))
+            self.known, self.ids, self.at = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.last = np.concatenate([self.last, np.zeros(len(new), np.int64)])
+        self.last[spot] = self.now
+        return spot
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct pieces; those that don't open with a space or line feed get one that is dropped."""
+        bare = pc.invert(pc.match_substring_regex(pieces, "^[ \n]"))
+        lead, none = (pa.scalar(x, pieces.type) for x in ("\n", ""))
+        led = pc.binary_join_element_wise(pc.if_else(bare, lead, none), pieces, none)
+        texts, ids = led.to_pylist(), []
+        for i in range(0, len(texts), 20_000):
+            ids += self.raw(["".join(texts[i : i + 20_000])])
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        stops, ends = np.cumsum(pc.binary_length(led).to_numpy().astype(np.int64)), np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        cut = np.concatenate([[0], np.searchsorted(ends, stops)])
+        if not (ends[cut[1:]] == stops).all():
+            parts = self.raw(pieces.to_pylist())
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        keep = np.ones(len(ids), bool)
+        keep[cut[:-1][bare.to_numpy(zero_copy_only=False)]] = False
+        return ids[keep], np.concatenate([[0], np.cumsum(keep)])[cut]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids a text)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.pieces else np.ones(len(texts), bool)
+        counts, alone = np.zeros(len(texts), np.int64), self.raw(texts.filter(pa.array(odd)).to_pylist())
+        counts[odd] = [len(x) for x in alone]
+        plain = texts.filter(pa.array(~odd))
+        flat = np.zeros(0, np.uint32)
+        if len(plain):
+            marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n")
+            lists = pc.split_pattern(marked, "\x00")
+            coded = lists.values.dictionary_encode()
+            which = self._find(coded.dictionary)[coded.indices.to_numpy()]
+            n = np.diff(self.at)[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = self.ids[np.repeat(self.at[which] - ends[:-1], n) + np.arange(ends[-1])]
+            counts[~odd] = np.diff(ends[lists.offsets.to_numpy()])
+        if not alone:
+            return flat, counts
+        out, first = np.empty(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
+        hole = np.zeros(len(out), bool)
+        for p, x in zip(first[odd].tolist(), alone, strict=True):
+            out[p : p + len(x)] = x
+            hole[p : p + len(x)] = True
+        out[~hole] = flat
+        return out, counts
 
 
 @lru_cache(maxsize=2)
-def load_pieces(path: str) -> Pieces:
+def load_encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return Pieces(Tokenizer.from_file(path))
-
-
-def repair(ids: np.ndarray, vocab: int = VOCAB, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): pairs seen ``least`` times or more are replaced, most frequent first.
-
-    Each round counts all adjacent pairs and replaces, left to right, those within a factor of eight of the
-    most frequent. Rules are rows (left, right); rule i is symbol ``vocab + i``.
+    return Encoder(Tokenizer.from_file(path))
+
+
+def _frequent(code: np.ndarray, level: int) -> np.ndarray:
+    """The distinct pairs that stand ``level`` times or more, in order."""
+    ordered = np.sort(code)
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[cuts[np.diff(np.append(cuts, len(ordered))) >= level]]
+
+
+def _replace(s: np.ndarray, may: np.ndarray, code: np.ndarray, chosen: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """``s`` with the ``chosen`` pairs among those at the places ``may`` replaced, left to right; which pairs became rules."""
+    which = np.searchsorted(chosen, code)
+    which[which == len(chosen)] = 0
+    hit = chosen[which] == code
+    at, which = may[hit], which[hit]
+    fresh = np.concatenate([[True], np.diff(at) != 1])
+    index = np.arange(len(at))
+    odd = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1
+    at, which = at[odd == 0], which[odd == 0]
+    good = np.bincount(which, minlength=len(chosen)) >= 2
+    kept = good[which]
+    at, which = at[kept], which[kept]
+    out = s.copy()
+    out[at] = (np.cumsum(good) - 1 + name)[which]
+    stay = np.ones(len(s), bool)
+    stay[at + 1] = False
+    return out[stay], good
+
+
+def repair(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): pairs are replaced, frequent ones first, until none stands twice.
+
+    A round takes all pairs with at least ``level`` occurrences, and the level falls from round to round, to a
+    quarter above 64 and to a half below, down to 2. There, rounds go on over the pairs that hold a symbol just made, as no other count can have
+    risen, and over all pairs again where overlaps may have kept some back, until nothing is left. Rules are
+    rows (left, right); rule i is symbol ``vocab + i``.
     """
-    s, rules = ids.astype(np.uint16), []
-    room = SYMBOLS - vocab
-    while room > 0 and len(s) > 1:
-        code = (s[:-1].astype(np.uint32) << np.uint32(16)) | s[1:]
-        ordered = np.sort(code)
-        cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(cuts, len(ordered)))
-        top = int(counts.max())
-        if top < least:
+    s, rules, sizes = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
+    level, made, everywhere = max(2, 1 << len(s).bit_length() >> 3), vocab, True
+    while len(s) > 1:
+        if everywhere:
+            bits = min(20, max(8, (8 * len(s) // level).bit_length()))
+            spot = s[:-1] * np.uint32(0x9E3779B1)
+            spot += s[1:]
+            spot *= np.uint32(0x85EBCA6B)
+            spot >>= np.uint32(32 - bits)
+            most = np.bincount(spot, minlength=1 << bits)  # no pair has more than its bucket
+            may = np.flatnonzero((most >= level)[spot])
+        else:
+            new = s >= made
+            may = np.flatnonzero(new[:-1] | new[1:])
+        code = (s[may].astype(np.uint64) << np.uint64(32)) | s[may + 1]
+        chosen = _frequent(code, level)
+        shorter, good = _replace(s, may, code, chosen, len(sizes)) if len(chosen) else (s, np.zeros(0, bool))
+        if good.any():
+            pair = np.stack([(chosen[good] >> np.uint64(32)).astype(np.uint32), chosen[good].astype(np.uint32)], 1)
+            rules.append(pair)
+            s, made = shorter, len(sizes)
+            sizes = np.concatenate([sizes, sizes[pair].sum(1)])
+            everywhere = level > 2
+        elif level == 2 and everywhere:
             break
-        hit = np.flatnonzero(counts >= max(least, (top + 7) // 8))
-        if len(hit) > room:
-            hit = np.sort(hit[np.argsort(-counts[hit], kind="stable")[:room]])
-        chosen = ordered[cuts[hit]]
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        left[chosen >> np.uint32(16)] = True
-        right[chosen & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(left[s[:-1]] & right[s[1:]])
-        which = np.searchsorted(chosen, code[at])
-        which[which == len(chosen)] = 0
-        ok = chosen[which] == code[at]
-        at, which = at[ok], which[ok]
-        fresh = np.concatenate([[True], np.diff(at) != 1])
-        index = np.arange(len(at))
-        odd = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1
-        at, which = at[odd == 0], which[odd == 0]
-        used = np.bincount(which, minlength=len(chosen))
-        good = used >= 2
-        if not good.any():
-            break
-        names = np.cumsum(good) - 1 + vocab + len(rules)
-        kept = good[which]
-        at, which = at[kept], which[kept]
-        rules.extend(zip((chosen[good] >> np.uint32(16)).tolist(), (chosen[good] & np.uint32(0xFFFF)).tolist(), strict=True))
-        s[at] = names[which].astype(np.uint16)
-        stay = np.ones(len(s), bool)
-        stay[at + 1] = False
-        s = s[stay]
-        room = SYMBOLS - vocab - len(rules)
-    return s, np.array(rules, np.uint16).reshape(-1, 2)
+        else:
+            everywhere = True
+        level = max(2, level >> (2 if level > 64 else 1))
+    return s, np.concatenate(rules), sizes[vocab:]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, the lowest first: what is small takes few bytes, and zeros compress away."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def rule_lengths(rules: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
-    lengths = np.ones(vocab + len(rules), np.uint32).tolist()
-    for i, (a, b) in enumerate(rules.tolist(), vocab):
-        lengths[i] = lengths[a] + lengths[b]
-    return np.array(lengths[vocab:], np.uint32)
+def from_planes(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    part = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((part.shape[1], 8), np.uint8)
+    out[:, :width] = part.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 class Grammar:
-    """Random access to a shard: ``ids(start, stop)`` decodes only the symbols that cover the range."""
-
-    def __init__(self, symbols: bytes, rules: bytes, lengths: bytes, vocab: int = VOCAB):
-        self.vocab, self.symbols = vocab, np.frombuffer(symbols, np.uint16)
-        self.rules, self.lengths = np.frombuffer(rules, np.uint16).reshape(-1, 2), np.frombuffer(lengths, np.uint32)
-        size = np.ones(SYMBOLS, np.int64)
-        size[vocab : vocab + len(self.lengths)] = self.lengths
-        self.size = size
-        self.ends = np.cumsum(size[self.symbols])
-        self._flat: np.ndarray | None = None
-
-    def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._flat is None:
-            at = np.arange(SYMBOLS, dtype=np.int64)
-            at[self.vocab : self.vocab + len(self.rules)] = self.vocab + np.cumsum(self.lengths.astype(np.int64)) - self.lengths
-            flat = np.empty(self.vocab + int(self.lengths.astype(np.int64).sum()), np.uint16)
-            flat[: self.vocab] = np.arange(self.vocab)
-            where, size = at.tolist(), self.size.tolist()
-            for i, (a, b) in enumerate(self.rules.tolist(), self.vocab):
-                p, la, lb = where[i], size[a], size[b]
-                flat[p : p + la] = flat[where[a] : where[a] + la]
-                flat[p + la : p + la + lb] = flat[where[b] : where[b] + lb]
-            self._flat, self._at = flat, at
-        return self._flat, self._at
+    """Random access to a shard: ``ids(start, stop)`` follows the rules only inside the range."""
+
+    def __init__(self, symbols: bytes, rules: bytes, lengths: bytes, vocab: int):
+        self.vocab, self.symbols, self.rules = vocab, from_planes(symbols), from_planes(rules).reshape(-1, 2)
+        self.lengths = from_planes(lengths)
+        self.ends = np.cumsum(self._sizes(self.symbols))
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out, made = np.ones(len(symbols), np.int64), symbols >= self.vocab
+        out[made] = self.lengths[symbols[made] - self.vocab]
+        return out
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        stop = (int(self.ends[-1]) if len(self.ends) else 0) if stop is None else stop
+        total = int(self.ends[-1]) if len(self.ends) else 0
+        start, stop = max(0, start), total if stop is None else min(stop, total)
+        out = np.zeros(max(0, stop - start), np.uint32)
         if stop <= start:
-            return np.zeros(0, np.uint16)
-        flat, at = self._table()
+            return out
         lo, hi = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, stop, "left")) + 1
-        sym = self.symbols[lo:hi]
-        n = self.size[sym]
-        base = int(self.ends[lo]) - int(n[0])
-        shift = np.repeat(at[sym] - (np.cumsum(n) - n), n)
-        return flat[shift + np.arange(len(shift))][start - base : stop - base]
-
-
-def _packer(path: str, end_id: int, shard_tokens: int, vocab: int):
+        sym, size = self.symbols[lo:hi], self._sizes(self.symbols[lo:hi])
+        at = self.ends[lo:hi] - size - start
+        while len(sym):  # one level of all rules at once, each at its place
+            leaf = sym < self.vocab
+            out[at[leaf]] = sym[leaf]
+            pair, at = self.rules[sym[~leaf] - self.vocab], at[~leaf]
+            size = self._sizes(pair.ravel()).reshape(-1, 2)
+            sym, at = pair.ravel(), np.stack([at, at + size[:, 0]], 1).ravel()
+            inside = (at < len(out)) & (at + size.ravel() > 0)
+            sym, at = sym[inside], at[inside]
+        return out
+
+
+def _packer(path: str, end_id: int, shard_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = load_pieces(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint16).tobytes()
-        names, held, size = [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), np.uint16)
-            starts = np.cumsum([0] + [len(x) // 2 for x in held]).astype(np.int64)
-            symbols, rules = repair(ids, vocab)
-            row = [[part], [seq], [len(held)], [len(ids)], [names], [starts.tobytes()], [symbols.tobytes()], [rules.tobytes()], [rule_lengths(rules, vocab).tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "doc_ids", "starts", "symbols", "rules", "lengths"])
-
-        for batch in batches:
-            _, offsets = text_buffers(batch.column(1))
-            for lo, hi in row_slices(offsets, 1 << 20):
-                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-                for name, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), coder.encode([t or "" for t in texts]), strict=True):
-                    names.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 2 + 1
-                    if size >= shard_tokens:
-                        yield shard()
-                        names, held, size, seq = [], [], 0, seq + 1
-        if held:
-            yield shard()
+        coder, part, seq, before = load_encoder(path), TaskContext.get().partitionId(), 0, 0
+        names, held, counts = [], [], []
+
+        def shard(n_docs: int, ids: np.ndarray, doc_ids: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            symbols, rules, lengths = repair(ids, coder.vocab)
+            row = [[part], [seq], [n_docs], [len(ids)], [before], [coder.vocab], [doc_ids.to_pylist()], [planes(starts)], [planes(symbols)], [planes(rules.ravel())], [planes(lengths)]]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "before", "vocab", "doc_ids", "starts", "symbols", "rules", "lengths"])
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            """Shards of what is held, each ended by the document that fills it; the rest stays held."""
+            nonlocal names, held, counts, seq, before
+            doc_ids, ids, sizes = pa.concat_arrays(names), np.concatenate(held), np.concatenate(counts)
+            ends, at, first = np.cumsum(sizes), 0, 0
+            while first < len(sizes):
+                stop = int(np.searchsorted(ends, at + shard_tokens, "left")) + 1
+                if stop > len(sizes) and not last:
+                    break
+                stop = min(stop, len(sizes))
+                yield shard(stop - first, ids[at : ends[stop - 1]], doc_ids[first:stop], sizes[first:stop])
+                before += int(ends[stop - 1]) - at
+                first, at, seq = stop, int(ends[stop - 1]), seq + 1
+            names, held, counts = [doc_ids[first:]], [ids[at:]], [sizes[first:]]
+
+        for doc_ids, texts in _large_slices(batches):
+            ids, n = coder.encode(texts)
+            stops = np.cumsum(n) + np.arange(len(n))  # the end id's place after each text
+            out, text = np.full(len(ids) + len(n), end_id, np.uint32), np.ones(len(ids) + len(n), bool)
+            text[stops] = False
+            out[text] = ids
+            names.append(doc_ids)
+            held.append(out)
+            counts.append(n + 1)
+            release()
+            if sum(map(len, held)) >= shard_tokens:
+                yield from cut(False)
+        if names:
+            yield from cut(True)
 
     return pack
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, vocab: int = VOCAB) -> DataFrame:
+def _large_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows of several batches together, about SLICE_BYTES of text; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        _, offsets = text_buffers(batch.column(1))
+        for lo, hi in row_slices(offsets, SLICE_BYTES, 1 << 20):
+            more = int(offsets[hi] - offsets[lo])
+            if held and size + more > SLICE_BYTES:
+                yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+                held, size = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += more
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order, write the shards to ``path`` and return a scan of them."""
     bounded_batches(docs)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_packer(tokenizer, end_id, shard_tokens, vocab), SHARD_SCHEMA).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    ordered.mapInArrow(_packer(tokenizer, end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
 
-def _reader(vocab: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for before, doc_ids, starts, symbols, rules, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = Grammar(symbols, rules, lengths, vocab).ids().astype("<u4")
-                at = np.frombuffer(starts, np.int64)
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for before, vocab, doc_ids, starts, symbols, rules, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, at = Grammar(symbols, rules, lengths, vocab).ids().astype("<u4"), from_planes(starts)
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read
 
+def read_shards(shards: DataFrame) -> DataFrame:
+    """Decode shards: (doc_id, start, n_tokens, ids_crc32) per document, start counted over all documents before it.
 
-def read_shards(shards: DataFrame, vocab: int = VOCAB) -> DataFrame:
-    """Decode shards: (doc_id, start, n_tokens, ids_crc32) per document, start counted over all documents before it."""
+    A shard knows the ids before it in its part; the parts' sums, one row for each task that wrote, are summed
+    in order and sent to all tasks, so shards aren't moved.
+    """
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_before"))
-    inner = shards.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_before"))
-    before = inner.join(parts, "part").select("part", "seq", (F.col("part_before") + F.col("seq_before")).alias("before"))
-    rows = shards.join(before, ["part", "seq"]).select("before", "doc_ids", "starts", "symbols", "rules", "lengths")
-    return rows.mapInArrow(_reader(vocab), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.join(F.broadcast(parts), "part")
+    return rows.select((F.col("part_before") + F.col("before")).alias("before"), "vocab", "doc_ids", "starts", "symbols", "rules", "lengths").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_repair_tokens(spark, sf_dir: str) -> DataFrame:
