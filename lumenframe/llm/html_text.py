@@ -2,18 +2,22 @@
 
 A page is read as blocks of text. Regions that by their tag, role, class or id hold menus, page headers
 and footers, sidebars, notices, adverts, forms, scripts, styles or reader comments give none. Blocks
-inside an article (or main) element are the article and stay. All other blocks are judged by the host:
-pages of a host are dealt to buckets of bounded size, the blocks' tokens are concatenated to one stream,
-its suffixes are sorted by prefix doubling, and every run of ``RUN`` tokens that adjoining suffixes of
-distinct pages share is covered. A free block whose tokens are covered for the most part is boilerplate.
-Free blocks repeated whole on pages of other buckets are found by their digest over the whole host.
-Pages that have an article element lose all blocks outside of it. ``covered_chars`` counts what was
-removed and is covered by repeated runs.
+inside an article (or main) element are the article and stay. All other blocks, beside an article or on
+pages without one, are judged by their host: the tokens outside of articles are concatenated to one stream
+a page, and all suffixes of a host's streams are brought into order by their first ``RUN`` tokens. Suffixes
+that share these adjoin; where they come from distinct pages their run is covered, and runs that overlap
+make longer ones. A block whose tokens are covered for the most part is boilerplate, and unique runs stay.
+Pages of equal content count as one page, so a copy covers nothing. Suffixes are dealt by host and run,
+never by host alone, so hosts have any size and a page's text depends on all pages of its host.
+
+Article blocks aren't judged by repeats: articles share lines and are copied to other addresses, and the
+text asked for is the whole article. ``covered_chars`` counts what was removed as covered.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 two line feeds in page order. Null or empty pages, and pages without text, give the empty string.
 Unclosed tags end as browsers end them: a paragraph at the next block, a region with its parent.
-Repeated rows are kept, each with its text; extra columns aren't read.
+A very long page is held whole by one task. Repeated rows are kept, each with its text, and null or equal
+page_ids and urls don't matter. An empty table gives no rows; extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.textkit import bounded_batches
+from lumenframe.llm.textkit import BASE, bounded_batches, mix
 from lumenframe.plans.staging import Staged
 
 RUN, COVERED = 8, 0.7
-BUCKET_BYTES = 8 << 20
-BROADCAST_HOSTS = 50_000
+#: Copies of a host's repeated runs for the join, so that a run on most pages isn't one key.
+SALTS = 16
 
 # Element names and attribute words of HTML.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
@@ -168,114 +172,79 @@ def page_blocks(page: str | None) -> tuple[list[str], list[int]]:
     return texts, states
 
 
-def _digest(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
-
+READ = "row long, host string, page_id long, url string, page long, texts array<string>, states array<int>, runs array<long>"
 
-def _page_rows(page: str | None) -> list[dict]:
-    """A page's blocks; where it has an article, all others count as boilerplate regions."""
-    texts, states = page_blocks(page)
-    if MAIN in states:
-        states = [MAIN if x == MAIN else REGION for x in states]
-    return [{"text": t, "state": x} for t, x in zip(texts, states, strict=True)]
 
+def stream_runs(texts: list[str], states: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each block outside of articles, hash of the ``RUN`` tokens at each place of their stream).
 
-BLOCK_ROWS = "host string, bucket long, page_id long, url string, blocks array<struct<text:string,state:int>>, again array<long>"
+    A shorter stream is one run.
+    """
+    words = [t.split() for t, s in zip(texts, states, strict=True) if s != MAIN]
+    tokens = np.array([xxhash.xxh3_64_intdigest(w.encode()) for ws in words for w in ws], np.uint64)
+    n = max(0, len(tokens) - RUN + 1) or min(1, len(tokens))
+    run = np.zeros(n, np.uint64)
+    for j in range(min(RUN, len(tokens))):
+        run *= BASE
+        run += tokens[j : j + n]
+    return np.array([len(w) for w in words], np.int64), mix(run).view(np.int64)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("state", pa.int32())]))
+    """Blocks of every page; those of regions only where the page has blocks to judge."""
+    row = TaskContext.get().partitionId() << 36
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            blocks = pa.array([_page_rows(p) for p in part.column(4).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], blocks, pa.nulls(part.num_rows, pa.list_(pa.int64()))], ["host", "bucket", "page_id", "url", "blocks", "again"])
+            part, kept, runs, pages = batch.slice(lo, 512), [], [], []
+            for page in part.column(3).to_pylist():
+                texts, states = page_blocks(page)
+                runs.append(np.unique(stream_runs(texts, states)[1]).tolist())
+                pages.append(xxhash.xxh3_64_intdigest(chr(0).join(texts).encode()) - (1 << 63))
+                if FREE not in states:
+                    texts, states = [t for t, s in zip(texts, states, strict=True) if s == MAIN], [MAIN] * states.count(MAIN)
+                kept.append((texts, states))
+            texts, states = zip(*kept, strict=True)
+            rows = pa.array(np.arange(row, row + part.num_rows))
+            yield pa.RecordBatch.from_arrays([rows, *part.columns[:3], pa.array(pages, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(states, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["row", "host", "page_id", "url", "page", "texts", "states", "runs"])
+            row += part.num_rows
+
+
+def covered_blocks(texts: list[str], states: list[int], repeated: set[int]) -> list[bool]:
+    """Which blocks are free and lie for the most part in repeated runs."""
+    sizes, runs = stream_runs(texts, states)
+    edge = np.zeros(int(sizes.sum()) + 1, np.int64)
+    starts = np.flatnonzero([r in repeated for r in runs.tolist()])
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + RUN, len(edge) - 1), -1)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    hits = np.diff(np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])[ends])
+    outside = iter((hits >= COVERED * sizes).tolist())
+    return [s != MAIN and next(outside) and s == FREE for s in states]
 
 
-def _free_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[_digest(b["text"]) for b in _page_rows(p) if b["state"] == FREE] for p in batch.column(4).to_pylist()]
-        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(5).take(at), pa.array([d for f in found for d in f], pa.int64())], ["host", "bucket", "key", "digest"])
-
-
-def repeated_runs(stream: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens of a stream lie in a run of ``run`` tokens that stands on two pages or more.
-
-    Suffixes are ranked by their first 1, 2, 4, ... tokens until the prefix reaches ``run``; suffixes
-    of one rank adjoin in the sorted order and share that prefix.
-    """
-    n, span = len(stream), 1
-    _, rank = np.unique(stream, return_inverse=True)
-    while span < run:
-        step = min(span, run - span)
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 2) + ahead, return_inverse=True)
-        span += step
-    whole = np.zeros(n, bool)
-    whole[: max(0, n - run + 1)] = page[: max(0, n - run + 1)] == page[run - 1 :]
-    low, high = np.full(n + 1, n), np.full(n + 1, -1)
-    np.minimum.at(low, rank[whole], page[whole])
-    np.maximum.at(high, rank[whole], page[whole])
-    starts = np.flatnonzero(whole & (low[rank] < high[rank]))
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + run, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _host_bucket(key, table):
-    """Texts of a bucket's pages, and how many characters of what goes the repeated runs cover."""
-    again = {d for ds in table.column("again").to_pylist() if ds for d in ds}
-    table = table.filter(pa.compute.is_valid(table.column("blocks")))
-    pages = table.column("blocks").to_pylist()
-    ids: dict[str, int] = {}
-    tokens, counts, owner = [], [], []
-    for p, blocks in enumerate(pages):
-        for b in blocks:
-            words = b["text"].split()
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            counts.append(len(words))
-            owner.append(p)
-    share = np.zeros(0)
-    if counts:
-        n = np.array(counts)
-        hit = repeated_runs(np.array(tokens, np.int64), np.repeat(np.array(owner), n))
-        share = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(n)])]) / n
-    out, covered, i = [], [], 0
-    for blocks in pages:
-        keep, gone = [], 0
-        for b in blocks:
-            common = share[i] >= COVERED
-            i += 1
-            if b["state"] == FREE and not common and again:
-                common = _digest(b["text"]) in again
-            if b["state"] == MAIN or b["state"] == FREE and not common:
-                keep.append(b["text"])
-            elif common:
-                gone += len(b["text"])
-        out.append("\n\n".join(keep))
-        covered.append(gone)
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()), "covered_chars": pa.array(covered, pa.int64())})
+        out, gone = [], []
+        for texts, states, repeated in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            covered = covered_blocks(texts, states, set(repeated or ())) if FREE in states else [False] * len(texts)
+            out.append("\n\n".join(t for t, s, c in zip(texts, states, covered, strict=True) if s != REGION and not c))
+            gone.append(sum(len(t) for t, c in zip(texts, covered, strict=True) if c))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_chars", "covered_chars"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, covered_chars) of every row of ``pages`` (page_id, url, html)."""
     bounded_batches(pages)
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"host": host, "key": F.xxhash64("page_id", "url")})
-    size = F.coalesce(F.sum(F.octet_length("html")), F.lit(0))
-    hosts = Staged(rows.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(size / BUCKET_BYTES)).alias("buckets")), "hosts").df
-    small = hosts.count() <= BROADCAST_HOSTS
-    dealt = rows.join(F.broadcast(hosts) if small else hosts, "host").select("host", F.pmod("key", "buckets").alias("bucket"), "page_id", "url", "html", "key")
-    free = Staged(dealt.mapInArrow(_free_digests, "host string, bucket long, key long, digest long").distinct(), "digests").df
-    again = free.groupBy("host", "digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("host", "digest")
-    marks = free.select("host", "bucket", "digest").distinct().join(again, ["host", "digest"]).groupBy("host", "bucket").agg(F.collect_set("digest").alias("again"))
-    none = F.lit(None)
-    marks = marks.select("host", "bucket", none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("array<struct<text:string,state:int>>").alias("blocks"), "again")
-    ready = dealt.mapInArrow(_read, BLOCK_ROWS).union(marks)
-    return ready.groupBy("host", "bucket").applyInArrow(_host_bucket, "page_id long, url string, text string, n_chars long, covered_chars long")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host")
+    read = Staged(pages.select(host, F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_read, READ), "blocks").df
+    open_ = read.where(F.array_contains("states", FREE))
+    suffixes = read.select("host", "page", F.explode("runs").alias("run"))
+    repeated = suffixes.groupBy("host", "run").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").select("host", "run")
+    dealt = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    hits = open_.select("host", "row", F.explode("runs").alias("run"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).join(dealt, ["host", "run", "salt"])
+    judged = open_.join(hits.groupBy("row").agg(F.collect_list("run").alias("repeated")), "row", "left").select("page_id", "url", "texts", "states", "repeated")
+    plain = read.where(~F.array_contains("states", FREE)).select("page_id", "url", "texts", "states", F.lit(None).cast("array<long>").alias("repeated"))
+    return judged.union(plain).mapInArrow(_judge, "page_id long, url string, text string, n_chars long, covered_chars long")
 
 
 def op3_host_text(spark, sf_dir: str) -> DataFrame:
