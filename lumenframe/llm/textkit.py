@@ -155,3 +155,34 @@ def shingled(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, Words
     for lo, hi in row_slices(offsets):
         words = Words(data, offsets[lo : hi + 1])
         yield lo, hi, words, Shingles(words, width)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, starts of groups) of whole groups, about ``rows`` rows at once or one longer group.
+
+    Groups adjoin: their rows agree in the first ``keys`` columns, which are numbers.
+    """
+
+    def starts(part: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(part.num_rows, bool)
+        change[:1] = True
+        for k in range(keys):
+            v = part.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = starts(whole)
+        held = [whole.slice(int(at[-1]))]
+        if len(at) > 1:
+            yield whole.slice(0, int(at[-1])), at[:-1]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole, starts(whole)
