@@ -10,10 +10,13 @@ then the range expands over the neighbours of everything found within the link d
 audits recall by brute force on some queries; while it falls short, the beam doubles, and at last
 the block is scanned. Found pairs are verified by cosine in double precision.
 
-Equal vectors of a label are one class from the start, counted with their number. Null labels, and
+Equal vectors of a label are one class from the start, counted with their number. A class has a number of
+its own, so vectors that share a vec_id but differ are vectors of their own, each with its links. Null labels, and
 vectors that are null, empty, zero or hold null or non-finite components, link with nothing and are
 their own component. Vectors of different lengths never link. Rows without a vec_id get a null
-component and aren't kept. Centroids come from a bounded, hashed sample (``MAX_SAMPLE`` vectors).
+component and aren't kept. Centroids come from a bounded, hashed sample (``MAX_SAMPLE`` vectors); all rows
+are placed and searched. ``audit_links`` measures recall against brute force over all rows. An empty table
+gives no rows. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from lumenframe.plans.staging import Staged
 SHARD, MAX_SAMPLE = 4096, 1 << 16
 SUB, DEGREE, ALPHA, NEAR, FAR = 1024, 24, 1.2, 40, 24
 BEAM, MEDOIDS, AUDIT, DOUBLINGS = 32, 8, 48, 3
+#: Numbers of a query, over all query blocks that meet a member block at once, in units of SHARD; at most so many blocks.
+ASKED, MOST_ASKED = 1024, 16
 
 
 def _spread(n: int, count: int, salt: int) -> np.ndarray:
@@ -150,7 +155,7 @@ def _unit(threshold: float):
 
     def search(key, table):
         dim = key[4].as_py()
-        ids = table.column("rep").to_numpy()
+        ids = table.column("cls").to_numpy()
         weight = table.column("m").to_numpy()
         is_query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         flat = np.concatenate([c.flatten().to_numpy() for c in table.column("embedding").chunks]) if table.num_rows else np.zeros(0)
@@ -183,7 +188,7 @@ def _unit(threshold: float):
         root = ids.copy()
         np.minimum.at(root, a, ids[b])
         extra = _forest(ids, a, b)
-        return pa.table({"rep": pa.array(np.concatenate([ids[qi], extra[:, 0]])), "links": pa.array(np.concatenate([links[qi], np.zeros(len(extra), np.int64)])), "to": pa.array(np.concatenate([root[qi], extra[:, 1]]))})
+        return pa.table({"cls": pa.array(np.concatenate([ids[qi], extra[:, 0]])), "links": pa.array(np.concatenate([links[qi], np.zeros(len(extra), np.int64)])), "to": pa.array(np.concatenate([root[qi], extra[:, 1]]))})
 
     return search
 
@@ -241,8 +246,8 @@ def _centres(classes: DataFrame, reach: float) -> dict:
     total = classes.count()
     shard = max(SHARD, -(-8 * total // MAX_SAMPLE))
     large = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > shard)
-    share = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(shard)) < 4
-    rows = classes.where(share).join(large, ["label", "dim"]).select("label", "dim", "n", "embedding", F.xxhash64("rep").alias("h")).orderBy("h").collect()
+    share = F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(shard)) < 4
+    rows = classes.where(share).join(large, ["label", "dim"]).select("label", "dim", "n", "embedding", F.xxhash64("cls").alias("h")).orderBy("h").collect()
     by: dict = {}
     for r in rows:
         by.setdefault((r["label"], r["dim"]), []).append((r["n"], r["embedding"]))
@@ -266,27 +271,63 @@ def near_vectors(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     fine = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    kind = "label long, dim int, rep long, m long, embedding array<double>"
+    kind = "label long, dim int, cls long, m long, embedding array<double>"
     classes = rows.where(fine).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = Staged(classes.select("label", F.size("embedding").alias("dim"), "rep", "m", "embedding"), "vectors").df
+    classes = Staged(classes.select("label", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("cls"), "m", "embedding", "rep"), "vectors").df
     centres = spark.sparkContext.broadcast(_centres(classes, reach))
-    dealt = Staged(classes.mapInArrow(_assigner(centres, reach), kind + ", shard int, home boolean"), "dealt").df
+    dealt = Staged(classes.drop("rep").mapInArrow(_assigner(centres, reach), kind + ", shard int, home boolean"), "dealt").df
     sizes = dealt.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
-    placed = dealt.join(sizes, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = placed.withColumn("qb", every).select("label", "shard", "qb", F.col("block").alias("mb"), "dim", "rep", "m", "embedding", F.lit(False).alias("query"))
-    asking = placed.where("home").withColumn("mb", every).select("label", "shard", F.col("block").alias("qb"), "mb", "dim", "rep", "m", "embedding", F.lit(True).alias("query"))
+    placed = dealt.join(sizes, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("asked", F.greatest(F.lit(1), F.least(F.lit(MOST_ASKED), F.floor(F.lit(ASKED) / F.col("dim")).cast("int"))))
+    count = F.ceil(F.col("blocks") / F.col("asked")).cast("int")
+    to_queries, to_members = (F.explode(F.sequence(F.lit(0), n - 1)) for n in (count, F.col("blocks")))
+    members = placed.withColumn("qb", to_queries).select("label", "shard", "qb", F.col("block").alias("mb"), "dim", "cls", "m", "embedding", F.lit(False).alias("query"))
+    asking = placed.where("home").withColumn("mb", to_members).select("label", "shard", F.floor(F.col("block") / F.col("asked")).cast("int").alias("qb"), "mb", "dim", "cls", "m", "embedding", F.lit(True).alias("query"))
     units = members.union(asking).groupBy("label", "shard", "qb", "mb", "dim")
-    found = Staged(units.applyInArrow(_unit(threshold), "rep long, links long, to long"), "links").df
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = connected_components(found.where("rep <> to").select(F.col("rep").alias("src"), F.col("to").alias("dst")))
-    done = classes.join(counts, "rep", "left").join(comps, F.col("rep") == F.col("id"), "left")
-    done = done.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "rep").alias("comp"))
+    found = Staged(units.applyInArrow(_unit(threshold), "cls long, links long, to long"), "links").df
+    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    comps = connected_components(found.where("cls <> to").select(F.col("cls").alias("src"), F.col("to").alias("dst"))).withColumnRenamed("id", "cls")
+    names = comps.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("name"))
+    comps = comps.join(names, "component").select("cls", "name")
+    done = classes.join(counts, "cls", "left").join(comps, "cls", "left")
+    done = done.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("name", "rep").alias("comp"))
     out = rows.join(done, fine & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("comp", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
 
 
+def audit_links(table: DataFrame, found: DataFrame, threshold: float = 0.98, queries: int = 500) -> float:
+    """Recall of ``found``'s n_links against brute force: ``queries`` vectors, picked by a hash, against all rows."""
+    ids = table.select("vec_id").where("vec_id is not null").distinct().orderBy(F.xxhash64("vec_id", F.lit(5))).limit(queries)
+    asked = table.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).join(F.broadcast(ids), "vec_id").where("label is not null and embedding is not null").collect()
+
+    def unit(e) -> np.ndarray | None:
+        x = np.array([np.nan if v is None else v for v in e], np.float64)
+        size = float(np.sqrt((x * x).sum()))
+        return x / size if len(x) and np.isfinite(size) and size else None
+
+    known = [(r["vec_id"], r["label"], unit(r["embedding"])) for r in asked]
+    known = table.sparkSession.sparkContext.broadcast([k for k in known if k[2] is not None])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(known.value), np.int64)
+        for batch in batches:
+            by: dict = {}
+            for label, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = unit(e) if label is not None and e is not None else None
+                if x is not None:
+                    by.setdefault((label, len(x)), []).append(x)
+            for i, (_, label, q) in enumerate(known.value):
+                rows = by.get((label, len(q)))
+                if rows:
+                    total[i] += int((np.array(rows) @ q >= threshold).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in known.value], pa.int64()), pa.array(total)], ["vec_id", "n"])
+
+    truth = table.select("label", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n")).where("n > 0")
+    both = truth.join(found.groupBy("vec_id").agg(F.sum("n_links").alias("got")), "vec_id").agg(F.sum("n").alias("n"), F.sum(F.least("n", "got")).alias("got")).first()
+    return both["got"] / both["n"] if both["n"] else 1.0
+
+
 def op7_vector_dedup(spark, sf_dir: str) -> DataFrame:
     """Link counts and components of all embeddings at cosine 0.98 within a label."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
