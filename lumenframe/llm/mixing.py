@@ -8,9 +8,12 @@ A source's weight schedule g(t), piecewise linear over training time t in [0, 1]
 inverse of that cumulative demand turns offsets into training positions; documents are range-sorted by
 position.
 
-Prefix sums run in two levels, over ``BUCKETS`` hash ranges a source, so one source may hold most rows.
+Prefix sums run in two levels, over ``BUCKETS`` hash ranges a source, and what a source has is joined by
+parts of it, so one source may hold most rows. Sources themselves meet in one task, one row each.
 Rows that agree in doc_id, source and size move together. Null texts have size 0 and are taken as often
-as their source's whole passes. Null sources form one source, ordered last. Extra columns pass through.
+as their source's whole passes. Null doc_ids are rows like others. Null sources form one source, ordered
+last. A text counts whole, however long. An empty table gives no rows. Extra columns pass through ``mix``,
+whatever their names but for those that begin with ``__mix``.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.plans.prefix import running_sums
 from lumenframe.plans.staging import Staged
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
 BUCKETS = 1024
+#: Parts of a source in joins with its sums.
+PARTS = 32
 PASSES = 4
 #: Schedules by place in WEIGHTS: knots (time, weight). Early, steady and late sources.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
@@ -69,6 +75,11 @@ def _prefix(units: DataFrame, value: Column, name: str) -> DataFrame:
     return inner.join(offsets, ["src", "bucket"]).withColumn(name, F.col("offset") + F.col("inner")).drop("offset", "inner")
 
 
+def _by_part(sums: DataFrame) -> DataFrame:
+    """One row a source as one row for each of its parts."""
+    return sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
     """(doc_id, source, size, source_size, target, rows, copies, positions): one row for each
     doc_id, source and size; ``rows`` rows of it are taken ``copies`` times each, at ``positions``."""
@@ -77,20 +88,22 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, schedules=SCHED
     aims = Staged(targets(narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "aims").df
     h = F.xxhash64("doc_id", F.lit(8))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    units = narrow.join(aims, narrow.source.eqNullSafe(aims.source)).drop(aims.source)
-    units = units.withColumns({"h": h, "bucket": F.shiftrightunsigned(h, 54).cast("int"), "unit": F.col("size") * F.col("rows"), "whole": whole, "extra": F.lit(0)})
+    bucket = F.shiftrightunsigned(h, 54).cast("int")
+    units, each = narrow.withColumns({"h": h, "bucket": bucket, "part": bucket % PARTS}), _by_part(aims)
+    units = units.join(each, units.source.eqNullSafe(each.source) & (units.part == each.part)).drop(each.source, each.part)
+    units = units.withColumns({"unit": F.col("size") * F.col("rows"), "whole": whole, "extra": F.lit(0)})
     units = Staged(_prefix(units, F.col("unit"), "before"), "units").df
     for step in range(PASSES):
         slack = F.col("unit") / 2 if step == PASSES - 1 else F.col("unit")  # only the last pass may pass its target
         taken = units.groupBy("src").agg(F.max(F.col("target") - F.col("whole") * F.col("source_size")).alias("room"), F.sum(F.col("extra") * F.col("unit")).alias("got"))
         gap = taken.select("src", (F.col("room") - F.col("got")).alias("gap"))
         fits = (F.col("extra") == 0) & (F.col("unit") > 0) & (slack <= F.col("gap"))
-        tried = _prefix(units.join(gap, "src"), F.when(fits, F.col("unit")).otherwise(0), "ahead")
+        tried = _prefix(units.join(_by_part(gap), ["src", "part"]), F.when(fits, F.col("unit")).otherwise(0), "ahead")
         more = fits & (F.col("ahead") + slack <= F.col("gap"))
         units = Staged(tried.withColumn("extra", F.when(more, 1).otherwise(F.col("extra"))).drop("ahead", "gap"), "units").df
     units = _prefix(units, F.col("extra") * F.col("unit"), "extra_before")
     sums = units.groupBy("src").agg(F.sum((F.col("whole") + F.col("extra")) * F.col("unit")).alias("stream"))
-    units = units.join(sums, "src").withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    units = units.join(_by_part(sums), ["src", "part"]).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     offset = lambda j: F.when(j < F.col("whole"), j * F.col("source_size") + F.col("before")).otherwise(F.col("whole") * F.col("source_size") + F.col("extra_before"))
 
     def place(j: Column) -> Column:
@@ -113,8 +126,27 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return rows.repartitionByRange("__mix_at").sortWithinPartitions("__mix_at", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def training_order(plan: DataFrame) -> DataFrame:
+    """The rows of a plan with ``starts`` beside ``positions``: words of the whole mix before each copy.
+
+    All copies are range-sorted by position, and their words are summed in that order.
+    """
+    row = ("doc_id", "source", "size", "source_size", "target", "rows", "copies")
+    copies = plan.select(*row, F.explode_outer("positions").alias("at"))
+    words = F.when(F.col("at").isNotNull(), F.col("size") * F.col("rows")).otherwise(0)
+    order = [F.col("at").asc_nulls_last(), "doc_id", "source", "size"]
+    placed = running_sums(copies.withColumn("words", words), order, {"upto": "words"})
+    one = F.when(F.col("at").isNotNull(), F.struct("at", (F.col("upto") - F.col("words")).alias("start")))
+    sorted_ = placed.groupBy(*row).agg(F.array_sort(F.collect_list(one)).alias("each"))
+    return sorted_.select(*row, F.col("each.at").alias("positions"), F.col("each.start").alias("starts"))
+
+
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document, with its source's size and target."""
+    """What the mix takes of every document, with its source's size and target, and where its copies stand in training.
+
+    ``positions`` are the copies' training times, and ``starts`` the words of the mix before each.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    plan = plan_mix(docs)
-    return plan.withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = training_order(plan_mix(docs))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return plan.withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).select("doc_id", "size", "source_size", "target", taken, "positions", "starts")
