@@ -5,9 +5,12 @@ inside ``<word>``, over the whole word however long; a word that repeats the one
 chance of label 1. As the output is linear in the vectors, scoring folds them to one number a bucket.
 
 The fit uses a bounded sample, at most ``sample_rows`` labelled rows and ``sample_bytes`` of their whole
-texts, in the order of a hash of doc_id; a doc_id whose labels disagree or are null isn't used. Scores
-depend on the text alone. Null and empty texts get the score of the bias. Every row is scored, repeated
-rows alike; extra columns aren't read. Without any usable label all scores are 0.5.
+texts, in the order of a hash of doc_id. A text that is longer than ``TEXT_BYTES``, or that the rest of the
+bytes has no room for, isn't learnt from and takes no room. A doc_id whose labels disagree or are null isn't
+used. Scores depend on the whole text alone, however long; one text is held whole by a task. Null and empty
+texts get the score of the bias, null doc_ids are scored like others and never learnt from. Every row is
+scored, repeated rows alike; extra columns aren't read, whatever their names. An empty table gives no rows.
+Without any usable label all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.textkit import bounded_batches, release
 
 BUCKETS, DIM = 1 << 18, 8
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES = 6000, 32 << 20, 1 << 20
 EPOCHS, RATE = 8, 1.0
 REPEAT = b"\x00repeat"
 CACHE, CACHE_WORD = 300_000, 256
@@ -123,7 +126,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: str, sample_rows: int = S
     order = F.xxhash64("doc_id")
     agreed = labels.where(usable).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other and quality in (0, 1)")
     picked = agreed.select("doc_id", "quality", order.alias("h")).orderBy("h", "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "text").limit(sample_rows)
+    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TEXT_BYTES).join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "text").limit(sample_rows)
     fitted = rows.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("quality", "text").mapInArrow(_fitter(sample_bytes), "logits binary, bias double").collect()
     if not fitted:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
@@ -137,8 +140,9 @@ def _fitter(sample_bytes: int):
         texts, labels, size = [], [], 0
         for batch in batches:
             for quality, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size += len((text or "").encode())
-                if size <= sample_bytes:
+                more = len((text or "").encode())
+                if size + more <= sample_bytes:
+                    size += more
                     texts.append(text or "")
                     labels.append(int(quality))
         model = Model.fit(texts, labels)
