@@ -1,17 +1,20 @@
 """Substring dedup by content-defined anchors.
 
 A gear hash rolls over a text's UTF-8 bytes (each byte adds a table value to the doubled hash, which so
-depends on the last 32 bytes). The anchor of a window of ``run`` bytes is the 64-byte gram in it whose
+depends on the last 32 bytes). The anchor of a window of ``run`` bytes is the ``GRAM``-byte gram in it whose
 end has the least hash, the first of equals; it depends on the window's content alone, so equal windows have equal
 anchors wherever they stand. Only anchors that stand in several documents go on: their occurrences, with
 all bytes of the windows they stand for, are extended to both sides against the first occurrence by exact
-comparison, and windows that differ from it meet each other by a 128-bit digest. So the spans are exactly
-the bytes in windows of ``run`` bytes that stand in an earlier document, whichever that is; shorter chance
-repeats stay. A text below ``run`` bytes is one window and a repeat if an earlier document equals it.
+comparison, and where there are more than two, windows that differ from the first meet each other by
+a 128-bit digest. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
+document, whichever that is; shorter chance repeats stay. A text below ``run`` bytes is one window and a
+repeat if an earlier document equals it. An anchor's occurrences are dealt out in parts of about ``PART``,
+each beside the first occurrence, so no anchor's occurrences meet in one task.
 
 Null and empty texts have no windows and stay as they are, as do rows without a doc_id. Rows that share a
 doc_id count as one document: none repeats another, and spans found for one of them apply to all. A span
-never ends inside a character. Extra columns aren't read.
+never ends inside a character. A very long text is held whole by one task. An empty table has no spans.
+Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from lumenframe.llm import textkit as K
 from lumenframe.plans.staging import Staged
 
 MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
-GRAM = 64
+GRAM, PART = 32, 4096
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -110,8 +113,12 @@ def _anchorer(run: int):
     return find
 
 
+CONTEXT = "k long, part int, follows boolean, doc_id long, t long, low int, gram int, source long, many boolean, ctx binary"
+
+
 def _contexts(run: int):
-    """The bytes of all windows of the wanted anchors of each text."""
+    """The bytes of all windows of the wanted anchors of each text; those of a leading document go to every part."""
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +127,21 @@ def _contexts(run: int):
                 raw, wanted = raw.encode(), batch.column(3)[i].values
                 key, (gram, low, high) = _text_anchors(np.frombuffer(raw, np.uint8), run)
                 key = np.array(key, np.uint64).view(np.int64)
-                lead = dict(zip(wanted.field("k").to_pylist(), wanted.field("lead").to_pylist(), strict=True))
-                has = np.flatnonzero(np.isin(key, np.fromiter(lead, np.int64, len(lead))))
+                known, lead, parts, many = (wanted.field(f).to_numpy(zero_copy_only=False) for f in ("k", "lead", "parts", "many"))
+                order = np.argsort(known)
+                known = known[order]
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                has = np.flatnonzero(known[at] == key)
                 for lo in range(0, len(has), 4096):
-                    k, g, x, y = (v[has[lo : lo + 4096]] for v in (key, gram, low, high))
-                    ctx = [raw[p : q + run] for p, q in zip(x.tolist(), y.tolist(), strict=True)]
-                    ids = (pa.array(np.full(len(k), v)) for v in (doc, t))
-                    yield pa.RecordBatch.from_arrays([pa.array(k), *ids, pa.array(x.astype(np.int32)), pa.array((g - x).astype(np.int32)), pa.array([lead[v] == doc for v in k.tolist()]), pa.array(ctx, pa.binary())], ["k", "doc_id", "t", "low", "gram", "lead", "ctx"])
+                    mine = has[lo : lo + 4096]
+                    row = order[at[mine]]
+                    times = np.where(lead[row] == doc, parts[row], 1)
+                    mine, row = np.repeat(mine, times), np.repeat(row, times)
+                    part = np.where(lead[row] == doc, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (doc * 0x9E3779B1 >> 9 & 0xFFFF) % parts[row])
+                    ctx = [raw[p : q + run] for p, q in zip(low[mine].tolist(), high[mine].tolist(), strict=True)]
+                    same = np.full(len(mine), 1)
+                    columns = [key[mine], part.astype(np.int32), lead[row] != doc, same * doc, same * t, low[mine].astype(np.int32), (gram - low)[mine].astype(np.int32), lead[row], many[row], pa.array(ctx, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return cut
 
@@ -151,35 +166,49 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
+def _window_keys(ctx: bytes, run: int, skip: tuple[int, int]) -> tuple[list[int], list[bytes]]:
+    """Starts and digests of the windows of ``run`` bytes that don't lie in the range ``skip``."""
+    at = [w for w in range(len(ctx) - run + 1) if not skip[0] <= w or not w + run <= skip[1]]
+    return at, [xxhash.xxh3_128_digest(ctx[w : w + run]) for w in at]
+
+
 def _extender(run: int):
-    """Spans equal to the first occurrence (no digest), and the windows that differ from it (with theirs)."""
+    """Spans equal to the first occurrence (no digest), and the windows that differ from it (with theirs).
+
+    Rows are sorted by anchor and part, the leading document's occurrences first.
+    """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                out, keys = [], []
-                for doc, low, g, ctx, source, sg, sctx in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns), strict=True):
-                    win = min(run, len(ctx))
-                    a = b = 0
-                    if g == sg and ctx == sctx:
-                        b = len(ctx)
-                    elif len(ctx) >= run and len(sctx) >= run:
-                        left, right = _common(ctx[:g][::-1], sctx[:sg][::-1]), _common(ctx[g:], sctx[sg:])
-                        if right >= GRAM and left + right >= run:
-                            a, b = g - left, g + right
-                    if b:
-                        x, y = _whole(ctx, a, b)
+            out = []
+            for k, part, follows, doc, t, low, g, source, many, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, part) != now:
+                    now, first = (k, part), (g, ctx)
+                    continue
+                if part and not follows:  # the leading document's other occurrences, met in part 0
+                    continue
+                sg, sctx = first
+                win, a, b = min(run, len(ctx)), 0, 0
+                if g == sg and ctx == sctx:
+                    b = len(ctx)
+                elif len(ctx) >= run and len(sctx) >= run:
+                    left, right = _common(ctx[:g][::-1], sctx[:sg][::-1]), _common(ctx[g:], sctx[sg:])
+                    if right >= GRAM and left + right >= run:
+                        a, b = g - left, g + right
+                if b:
+                    x, y = _whole(ctx, a, b)
+                    if x < y:
+                        out.append((doc, low + x, low + y, source, None))
+                if many:
+                    for w, key in zip(*_window_keys(ctx, win, (a, b) if b else (0, 0)), strict=True):
+                        x, y = _whole(ctx, w, w + win)
                         if x < y:
-                            out.append((doc, low + x, low + y, source))
-                            keys.append(None)
-                    for w in range(len(ctx) - win + 1):
-                        if not (b and a <= w and w + win <= b):
-                            x, y = _whole(ctx, w, w + win)
-                            if x < y:
-                                out.append((doc, low + x, low + y, None))
-                                keys.append(xxhash.xxh3_128_digest(ctx[w : w + win]))
-                doc, begin, stop, source = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(source, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "begin", "stop", "source", "key"])
+                            out.append((doc, low + x, low + y, None, key))
+            if out:
+                doc, begin, stop, source, keys = zip(*out, strict=True)
+                halves = [pa.array([None if k is None else int.from_bytes(k[i : i + 8], "little", signed=True) for k in keys], pa.int64()) for i in (0, 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(source, pa.int64()), *halves], ["doc_id", "begin", "stop", "source", "x", "y"])
 
     return extend
 
@@ -196,22 +225,23 @@ def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> Dat
     K.bounded_batches(docs)
     texts = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.mapInArrow(_anchorer(run), "k long, doc_id long, n long")
-    seen = found.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), *[F.sum("n").alias("n")] * inside).where("n > 1" if inside else "lead <> last").select("k", "lead")
-    wanted = found.select("k", "doc_id").join(seen, "k").groupBy("doc_id").agg(F.collect_list(F.struct("k", "lead")).alias("wanted"))
-    kind = "k long, doc_id long, t long, low int, gram int, lead boolean, ctx binary"
-    held = Staged(texts.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text", "wanted").mapInArrow(_contexts(run), kind), "contexts")
-    contexts, free = held.df, docs.sparkSession._jvm.System.gc
-    free()  # shuffle files go with their plans
-    firsts = contexts.where("lead").groupBy("k").agg(F.min(F.struct("doc_id", "t", "low", "gram", "ctx")).alias("first"))
-    pairs = contexts.drop("lead").join(firsts, "k").where("not (doc_id = first.doc_id and t = first.t and low = first.low)").select("doc_id", "low", "gram", "ctx", F.col("first.doc_id").alias("source"), F.col("first.gram").alias("sg"), F.col("first.ctx").alias("sctx"))
-    met = Staged(pairs.mapInArrow(_extender(run), "doc_id long, begin int, stop int, source long, key binary"), "met").df
-    held.drop()
-    free()
-    rest = met.where("key is not null")
-    shared = rest.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1" if inside else "lead.doc_id <> last").select("key", "lead")
-    late = rest.drop("source").join(shared, "key").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("begin") != F.col("lead.begin"))).select("doc_id", "begin", "stop", F.col("lead.doc_id").alias("source"))
-    again = met.where("key is null").drop("key").union(late)
-    again = again if inside else again.where(F.col("source") != F.col("doc_id"))
+    counts = found.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("rows"), F.sum("n").alias("n"))
+    seen = counts.where("n > 1" if inside else "lead <> last").select("k", "lead", F.ceil(F.col("rows") / PART).cast("int").alias("parts"), (F.col("n") > 2).alias("many"))
+    wanted = found.select("k", "doc_id").join(seen, "k").groupBy("doc_id").agg(F.collect_list(F.struct("k", "lead", "parts", "many")).alias("wanted"))
+    contexts = texts.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text", "wanted").mapInArrow(_contexts(run), CONTEXT)
+    order = ("k", "part", "follows", "doc_id", "t", "low")
+    sorted_ = contexts.repartition("k", "part").sortWithinPartitions(*order)
+    met = Staged(sorted_.mapInArrow(_extender(run), "doc_id long, begin int, stop int, source long, x long, y long"), "met").df
+    docs.sparkSession._jvm.System.gc()  # shuffle files go with their plans
+    rest, key = met.where("x is not null"), ["x", "y"]
+    if inside:
+        shared = rest.groupBy(key).agg(F.min(F.struct("doc_id", "begin")).alias("at"), F.count("*").alias("n")).where("n > 1").select(*key, F.col("at.doc_id").alias("first"), F.col("at.begin").alias("there"))
+        late = rest.join(shared, key).where("doc_id <> first or begin <> there")
+    else:
+        shared = rest.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
+        late = rest.join(shared, key).where("doc_id <> first")
+    again = met.where("x is null").select("doc_id", "begin", "stop", "source").union(late.select("doc_id", "begin", "stop", F.col("first").alias("source")))
+    again = again if inside else again.where("source <> doc_id")
     by_doc = Window.partitionBy("doc_id").orderBy("begin", "stop")
     before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = again.withColumn("fresh", F.coalesce((before < F.col("begin")).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(by_doc))
