@@ -1,49 +1,54 @@
 """Log-probabilities of texts by logistic context mixing, beside a unigram base.
 
-Texts are lower-cased (A-Z) and read as bytes plus one end byte; every byte is eight binary decisions.
-Three hashed contexts (the last two bytes, the last four, the current word's prefix) hold bit counts
-learned from the training documents; a decision's three predictions, in the logistic domain, and a bias
-are combined by weights gated by the bit's place in its byte. Weights start from ``START_WEIGHT`` and are
-refined online: every text is scored in segments of ``SEGMENT`` bytes that keep their contexts, and
-each segment's weights and its calibration offsets adapt after every ``STEP`` bytes, using only bytes
-before. So a score is a function of the counts and the text, the same on any cluster.
-
-Counts come from all training documents; each task sends its sums in blocks of slots, so what is
-gathered grows with the input while the summed table keeps the fixed size 2^SLOT_BITS a context.
-The unigram base counts every token: the ``HEAD`` most frequent words (a fixed bound) travel to the
-tasks, all others are joined, so no word is dropped.
+Texts are lower-cased (A-Z) and read as bytes plus one end byte. A byte is spelt by the decisions of a
+Huffman code, one for each class of byte before it, so a likely byte takes few of them. Hashed contexts (the last two,
+four and six bytes, and the current word's prefix) hold the counts of both outcomes of each decision in
+the training documents. A context's prediction is its counts' ratio, with the next shorter context's
+prediction as prior counts; so each says most where it has seen most. The predictions are combined in
+the logistic domain by weights gated by how often the two longest contexts were seen. Weights start from ``START`` and are
+refined online over the whole text, after every ``FIRST_STEP`` decisions at first and in longer steps later, using
+only what stands before. A score is a function of the counts and the text, the same on any cluster.
+
+Counts come from all training documents: each task sums its (context, byte) pairs, and blocks of contexts
+are summed over the tasks, in two levels where there are many. The slots of a context grow with its
+distinct decisions, up to the model size 2^``MAX_BITS``; a slot holds the more frequent context, and check
+bits tell others apart, which then count as unseen. The unigram base counts every token: the ``HEAD`` most
+frequent words (a fixed bound) travel to the tasks, all others are joined, so no word is dropped.
 
 Null texts count as empty: one end token. Null doc_ids count as training (their remainder is null).
-Repeated rows are scored alike. Empty tables give no rows.
+Repeated rows are scored alike. A very long text is held whole by one task, with some forty bytes for each
+of its decisions. Empty tables give no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import textkit as K
 from lumenframe.plans.staging import Staged, new_path
 
-SLOT_BITS = 20
-CONTEXTS = 3
-BLOCK = 1 << 13
-SEGMENT, STEP = 2048, 32
-START_WEIGHT, RATE, OFFSET_RATE = 0.42, 0.02, 0.02
-LANES = 128
-SCALE = 16.0
+ORDERS = (2, 4, 6)
+CONTEXTS = len(ORDERS) + 1
+#: Prior counts that the next shorter context's prediction has; the weights that texts start from, of all contexts but the shortest.
+PRIOR, START = (0.8, 1.0, 1.0, 1.0), (0.1, 0.3, 0.7)
+LEAST_ODDS = 1e-5
+RATE, FIRST_STEP, CELLS = 0.1, 64, 1 << 14
+LEAST_BITS, MAX_BITS, BLOCKS, GROUP, CLASSES = 16, 22, 256, 64, 64
+#: Bits of a number in a packed tally, beside 31 of a context, 6 of a class and 8 of a byte.
+PACKED = 19
+
+SLICE = 1 << 17
 END_BYTE = 0xFF
 HEAD = 1 << 19
 END_TOKEN = 0x0E4D
-_A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_BYTE = np.arange(256, dtype=np.uint32)
-_STEPS = [((_BYTE >> np.uint32(8 - j)) | np.uint32(1 << j)) * _A for j in range(8)]
-_BITS = [(_BYTE >> np.uint32(7 - j)) & np.uint32(1) for j in range(8)]
-_SIGNS = np.stack([2.0 * x - 1 for x in _BITS], 1).astype(np.float32)
+U32 = np.uint32
 
 
 def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,165 +63,332 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, ends
 
 
+class Code:
+    """Huffman codes of a byte after each class of byte: the decisions (tree node, bit) that spell it.
+
+    The ``CLASSES - 1`` most frequent bytes are a class each, all white space and a text's start count as
+    the space, and all other bytes share class 0.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts.astype(np.int64)
+        self.kind = np.zeros(256, np.uint8)
+        often = np.argsort(-counts.sum(1), kind="stable")[: CLASSES - 1]
+        self.kind[often] = np.arange(1, len(often) + 1)
+        self.kind[K._SPACE] = self.kind[0x20]
+        sums = np.zeros((CLASSES, 256), np.int64)
+        np.add.at(sums, self.kind, counts)
+        lists = [self._paths(row) for row in sums]
+        self.size = np.array([len(path) for paths in lists for path in paths], np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        node, bit = np.array([d for paths in lists for path in paths for d in path], np.int64).T
+        self.bit = bit.astype(U32)
+        self.node = (K.mix(node.astype(K.U) * K.BASE) >> K.U(41)).astype(U32)  # below the bits that name a block
+
+    @staticmethod
+    def _paths(counts: np.ndarray) -> list[tuple]:
+        heap, inner = [(int(c) + 1, b) for b, c in enumerate(counts)], []
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+            inner.append((a, b))
+            heapq.heappush(heap, (x + y, 255 + len(inner)))
+        paths, todo = {}, [(255 + len(inner), ())]
+        while todo:
+            at, path = todo.pop()
+            if at < 256:
+                paths[at] = path
+            else:
+                todo += [(child, (*path, (at, bit))) for bit, child in enumerate(inner[at - 256])]
+        return [paths[b] for b in range(256)]
+
+    def symbols(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Class of the byte before, and the byte, as one number."""
+        out = np.empty(len(b), np.int32)
+        out[1:] = self.kind.take(b[:-1])
+        out[at[:-1]] = self.kind[0x20]
+        out <<= 8
+        out |= b
+        return out
+
+    def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the code's lists of every decision, decisions of each byte)."""
+        size = self.size.take(symbols)
+        ends = np.cumsum(size, dtype=np.int64)
+        out = np.repeat((self.first.take(symbols) - (ends - size)).astype(np.int32), size)
+        out += np.arange(len(out), dtype=np.int32)
+        return out, size
+
+
 def context_hashes(b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """A uint32 hash for each byte and context, of what stands before the byte in its text."""
+    """A 31-bit hash for each byte and context, of what stands before the byte in its text."""
     n, heads = len(b), at[:-1]
-    wide, past = b.astype(np.uint32), []
-    for k in range(1, 5):
-        x = np.zeros(n, np.uint32)
-        x[k:] = wide[:-k]
-        for j in range(k):  # nothing of the text before
-            x[np.minimum(heads + j, at[1:] - 1)] = 0
-        past.append(x)
-    for k in range(2, 5):  # a text shorter than k bytes: its later bytes were not cleared above
-        past[k - 1][at[1:] - 1] *= np.diff(at) > k
-    two = past[1] << np.uint32(8)
-    two |= past[0]
-    four = (past[2] << np.uint32(16)) | (past[3] << np.uint32(24))
-    four |= two
-    opens = K._SPACE[b]
-    starts = np.unique(np.concatenate([heads, np.flatnonzero(opens[:-1]) + 1]))
+    place = np.arange(n) - np.repeat(heads, np.diff(at))
+    wide, out = b.astype(K.U) + K.U(1), []
+    past = np.zeros(n, K.U)
+    for k in range(1, max(ORDERS) + 1):
+        now = np.zeros(n, K.U)
+        now[k:] = wide[:-k]
+        now[place < k] = 0  # nothing of the text before
+        past += now << K.U(9 * (k - 1))
+        if k in ORDERS:
+            out.append(K.mix(past * K.BASE + K.U(k)))
+    starts = np.unique(np.concatenate([heads, np.flatnonzero(K._SPACE[b[:-1]]) + 1]))
     power, inverse = K.powers(n + 1)
     sums = np.zeros(n + 1, K.U)
-    np.cumsum((b.astype(K.U) + K.U(1)) * power[:n], out=sums[1:])
+    np.cumsum(wide * power[:n], out=sums[1:])
     run = np.diff(np.append(starts, n))
     word = sums[:n] - np.repeat(sums[starts], run)
     word *= np.repeat(inverse[starts], run)
-    word = K.mix(word) >> K.U(32)
-    return [two * _A, (four ^ (four >> np.uint32(15))) * _A + np.uint32(0x51), word.astype(np.uint32)]
+    return [(h >> K.U(33)).astype(U32) for h in (*out, K.mix(word))]
 
 
-def slots(context: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Slots of a context's hash at a tree node; ``step`` is the node times _A."""
-    x = context + step
-    x *= _B
-    x >>= np.uint32(32 - SLOT_BITS)
-    return x
+def _tally(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys with their numbers, packed, in order; a number of 2^PACKED or more takes several."""
+    keys = np.sort(keys)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return _packed(keys[cuts], np.diff(np.append(cuts, len(keys))))
 
 
-def decisions(b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place, tree node times _A, bit) of each of a byte's eight decisions."""
-    for j in range(8):
-        yield j, _STEPS[j][b], _BITS[j][b]
+def _packed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    most = (1 << PACKED) - 1
+    times = -(-n // most)
+    if int(times.max(initial=1)) > 1:
+        last = np.cumsum(times) - 1
+        keys, out = np.repeat(keys, times), np.full(int(times.sum()), most, np.int64)
+        out[last] = n - (times - 1) * most
+        n = out
+    return (keys << K.U(PACKED)) | n.astype(K.U)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's bit counts, in blocks of slots: (block, counts)."""
-    counts = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
-    seen = False
-    for batch in batches:
-        data, offsets = K.text_buffers(batch.column(0))
-        for lo, hi in K.row_slices(offsets, 1 << 20):
-            b, at = byte_stream(data, offsets[lo : hi + 1])
-            ctx, places = context_hashes(b, at), list(decisions(b))
-            for c in range(CONTEXTS):
-                spots = np.empty((8, len(b)), np.int64)
-                for j, step, bit in places:
-                    np.add(slots(ctx[c], step) << np.uint32(1), bit, out=spots[j], casting="unsafe")
-                counts[c] += np.bincount(spots.ravel(), minlength=2 << SLOT_BITS)
-            seen = True
-    if seen:
-        for i, part in enumerate(counts.reshape(-1, 2 * BLOCK)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], ["block", "counts"])
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: one row a block with the quantised logits of its slots."""
-
-    def done(block: int, total: np.ndarray) -> pa.RecordBatch:
-        pair = total.reshape(-1, 2).astype(np.float64)
-        logit = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4))
-        q = np.clip(np.rint(logit * SCALE), -127, 127).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([q.tobytes()], pa.binary())], ["block", "logits"])
-
-    now, total = None, None
+def _sum(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, their numbers) of packed tallies."""
+    packed = np.sort(np.concatenate(parts))
+    keys, n = packed >> K.U(PACKED), (packed & K.U((1 << PACKED) - 1)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[cuts], np.add.reduceat(n, cuts) if len(cuts) else n
+
+
+class Tallies:
+    """Packed tallies of a context, merged whenever they have doubled."""
+
+    def __init__(self):
+        self.parts, self.size, self.merged = [], 0, 1 << 20
+
+    def add(self, packed: np.ndarray) -> None:
+        self.parts.append(packed)
+        self.size += len(packed)
+        if self.size > 2 * self.merged:
+            self.parts = [self.whole()]
+            self.size = len(self.parts[0])
+            self.merged = max(self.merged, self.size)
+
+    def whole(self) -> np.ndarray:
+        return _packed(*_sum(self.parts)) if self.parts else np.zeros(0, K.U)
+
+
+def _counter(code: Code):
+    """A task's numbers of (context, symbol) pairs, by blocks of contexts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Tallies() for _ in range(CONTEXTS)]
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(0))
+            for lo, hi in K.row_slices(offsets, 1 << 20):
+                b, at = byte_stream(data, offsets[lo : hi + 1])
+                symbols = code.symbols(b, at).astype(K.U)
+                for kind, context in enumerate(context_hashes(b, at)):
+                    held[kind].add(_tally((context.astype(K.U) << K.U(14)) | symbols))
+        group = TaskContext.get().partitionId() // GROUP
+        for kind, one in enumerate(held):
+            packed = one.whole()
+            one.parts = []
+            yield from _blocks(kind, group, packed)
+        K.release()
+
+    return count
+
+
+COUNTS = "kind int, block int, grp int, packed binary"
+
+
+def _blocks(kind: int, group: int, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    edges = np.searchsorted(packed >> K.U(56), np.arange(BLOCKS + 1).astype(K.U))  # a context's first 8 bits
+    for block, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if z > a:
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([packed[a:z].tobytes()], pa.binary())], ["kind", "block", "grp", "packed"])
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, Tallies]]:
+    """(key, tallies) of rows whose first ``columns`` columns agree; they adjoin."""
+    now, held = None, Tallies()
     for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block != now:
+        for key, raw in zip(zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True), batch.column(batch.num_columns - 1), strict=True):
+            if key != now:
                 if now is not None:
-                    yield done(now, total)
-                now, total = block, np.zeros(2 * BLOCK, np.int64)
-            total += np.frombuffer(raw.as_buffer(), np.int32)
+                    yield now, held
+                now, held = key, Tallies()
+            held.add(np.frombuffer(raw.as_buffer(), K.U))
     if now is not None:
-        yield done(now, total)
-
-
-def learn_logits(training: DataFrame) -> np.ndarray:
-    """The bit predictors' logits, int8 [contexts, slots]; 2^SLOT_BITS bytes a context reach the driver."""
-    blocks = training.select("text").mapInArrow(_count, "block int, counts binary")
-    summed = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, logits binary")
-    table = np.zeros((CONTEXTS << SLOT_BITS) // BLOCK * BLOCK, np.int8)
-    for row in summed.toLocalIterator():
-        table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["logits"], np.int8)
-    return table.reshape(CONTEXTS, 1 << SLOT_BITS)
-
-
-def score_bits(b: np.ndarray, at: np.ndarray, logits: np.ndarray) -> np.ndarray:
-    """Bits of each text of a byte stream under the mixed model."""
-    n, ctx = len(b), context_hashes(b, at)
-    x = np.empty((CONTEXTS, n, 8), np.int8)
-    y = _SIGNS[b]
-    for j, step, _ in decisions(b):
-        for c in range(CONTEXTS):
-            x[c, :, j] = logits[c].take(slots(ctx[c], step))
-    size = np.diff(at)
-    parts = -(-size // SEGMENT)
-    doc = np.repeat(np.arange(len(size)), parts)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = at[doc] + number * SEGMENT
-    length = np.minimum(size[doc] - number * SEGMENT, SEGMENT)
-    order = np.argsort(-length, kind="stable")
-    begin, length, doc = begin[order], length[order], doc[order]
-    lanes = len(begin)
-    w = np.full((lanes, CONTEXTS + 1, 8), START_WEIGHT / SCALE, np.float32)
-    w[:, CONTEXTS] = 0
-    offset = np.zeros((lanes, 2, 8), np.float32)
-    bits = np.zeros(lanes)
-    for t in range(0, SEGMENT, STEP):
-        k = int(np.searchsorted(-length, -t, "left"))
-        if not k:
-            break
-        for lo in range(0, k, LANES):
-            s = slice(lo, min(lo + LANES, k))
-            at_ = begin[s, None] + t + np.arange(STEP)
-            cut = t + STEP > length[s.stop - 1]
-            if cut:
-                inside = (t + np.arange(STEP) < length[s, None])[:, :, None].astype(np.float32)
-                np.minimum(at_, n - 1, out=at_)
-            z = [x[c].take(at_, 0).astype(np.float32) for c in range(CONTEXTS)]
-            truth = y.take(at_, 0)
-            mixed = z[0] * w[s, 0][:, None]
-            for c in range(1, CONTEXTS):
-                mixed += z[c] * w[s, c][:, None]
-            mixed += w[s, CONTEXTS][:, None]
-            sign = (mixed > 0).astype(np.float32)
-            mixed += sign * offset[s, 1][:, None]
-            mixed += offset[s, 0][:, None]
-            mixed *= truth
-            np.maximum(mixed, -11, out=mixed)
-            np.minimum(mixed, 11, out=mixed)
-            np.negative(mixed, out=mixed)
-            miss = np.exp(mixed, out=mixed)
-            odds = miss + 1
-            err = miss
-            err /= odds
-            err *= truth
-            loss = np.log(odds, out=odds)
-            if cut:
-                loss *= inside
-                err *= inside
-            bits[s] += loss.sum((1, 2), dtype=np.float64)
-            for c in range(CONTEXTS):
-                z[c] *= err
-                w[s, c] += (RATE / SCALE**2) * z[c].sum(1)
-            sign *= err
-            total, upper = err.sum(1), sign.sum(1)
-            w[s, CONTEXTS] += RATE * total
-            offset[s, 0] += OFFSET_RATE * (total - upper)
-            offset[s, 1] += OFFSET_RATE * (2 * upper - total)
-    bits /= np.log(2)
-    return np.bincount(doc, weights=bits, minlength=len(size))
+        yield now, held
+
+
+def _sum_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (kind, block, group), held in _each_block(batches, 3):
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([held.whole().tobytes()], pa.binary())], ["kind", "block", "grp", "packed"])
+
+
+#: Numbers that a byte stands for: 0 to 15, then eight steps an octave.
+LEVELS = np.concatenate([np.arange(16), np.rint(16 * 2 ** (np.arange(240) / 8))]).astype(np.int64)
+
+
+def _decide(code: Code):
+    """One row a block: the hash of every (context, tree node) in order, and both outcomes' numbers as levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, block), held in _each_block(batches, 2):
+            keys, n = _sum(held.parts)
+            places, size = code.spell((keys & K.U((1 << 14) - 1)).astype(np.int32))
+            h = (np.repeat((keys >> K.U(14)).astype(U32), size) ^ code.node[places]).astype(np.int64)
+            side = (h << 1) | code.bit[places]
+            order = np.argsort(side, kind="stable")
+            side, n = side[order], np.repeat(n, size)[order]
+            cuts = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+            side, n = side[cuts], np.add.reduceat(n, cuts)
+            h, where = np.unique(side >> 1, return_inverse=True)
+            both = np.zeros((2, len(h)), np.int64)
+            both[side & 1, where] = n
+            levels = (np.searchsorted(LEVELS, both, "right") - 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([h.astype(U32).tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], ["kind", "block", "size", "hashes", "levels"])
+
+    return run
+
+
+def _fill(bits: dict[int, int]):
+    """A block's slots: check bits above two levels, those of the most frequent context of a slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, block, hashes, levels in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                h, (zero, one) = np.frombuffer(hashes, U32), np.frombuffer(levels, np.uint8).reshape(2, -1)
+                order = np.argsort(LEVELS[zero] + LEVELS[one], kind="stable")
+                out = np.zeros(1 << (bits[kind] - 8), U32)
+                slot = (h >> U32(31 - bits[kind])) & U32(len(out) - 1)
+                out[slot[order]] = (((h & U32(0xFFFF)) << U32(16)) | (one.astype(U32) << U32(8)) | zero)[order]
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "slots"])
+
+    return run
+
+
+def learn(training: DataFrame, code: Code) -> Model:
+    """The slot tables, at most 2^MAX_BITS slots a context, which reach the driver block by block."""
+    blocks = training.select("text").mapInArrow(_counter(code), COUNTS)
+    if blocks.rdd.getNumPartitions() > GROUP:  # in two levels: no block meets every task's sums
+        key = ("kind", "block", "grp")
+        blocks = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sum_groups, COUNTS)
+    key = ("kind", "block")
+    summed = blocks.select("kind", "block", "packed").repartition(*key).sortWithinPartitions(*key).mapInArrow(_decide(code), "kind int, block int, size long, hashes binary, levels binary")
+    staged = Staged(summed, "counts")
+    bits = {k: 8 for k in range(CONTEXTS)} | {r["kind"]: min(MAX_BITS, max(LEAST_BITS, int(r["n"]).bit_length() + 1)) for r in staged.df.groupBy("kind").agg(F.sum("size").alias("n")).collect()}
+    tables = [np.zeros(1 << bits[k], U32) for k in range(CONTEXTS)]
+    for row in staged.df.select("kind", "block", "hashes", "levels").mapInArrow(_fill(bits), "kind int, block int, slots binary").toLocalIterator():
+        slots = np.frombuffer(row["slots"], U32)
+        tables[row["kind"]][row["block"] * len(slots) : (row["block"] + 1) * len(slots)] = slots
+    staged.drop()
+    return Model(code, tables)
+
+
+class Model:
+    """Slot tables of the contexts and the code; ``bits`` scores texts."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray]):
+        self.code, self.tables = code, tables
+        both = np.arange(1 << 16)
+        self.zeros, self.ones = LEVELS[both & 255].astype(np.float32), LEVELS[both >> 8].astype(np.float32)
+        total = self.zeros + self.ones
+        self.seen = ((total > 0).astype(np.uint8) + (total > 3) + (total > 30)).astype(np.uint8)
+
+    def predict(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(logits [contexts but the shortest, decisions], gate and bit of each decision, decisions of each byte)."""
+        places, size = self.code.spell(self.code.symbols(b, at))
+        node, m = self.code.node.take(places), len(places)
+        z, gate, p = np.empty((CONTEXTS - 1, m), np.float32), np.zeros(m, np.uint8), None
+        for c, context in enumerate(context_hashes(b, at)):
+            table = self.tables[c]
+            h = np.repeat(context, size)
+            h ^= node
+            entry = table.take(h >> U32(32 - len(table).bit_length()))
+            h ^= entry >> U32(16)
+            entry &= U32(0xFFFF)
+            entry *= (h & U32(0xFFFF)) == 0
+            if c >= CONTEXTS - 2:
+                gate *= np.uint8(4)
+                gate += self.seen.take(entry)
+            zero, one = self.zeros.take(entry), self.ones.take(entry)
+            strength = np.float32(PRIOR[c])
+            if p is None:
+                one += strength / 2
+                zero += strength / 2
+            else:
+                p *= strength
+                one += p
+                zero += strength
+                zero -= p
+            one /= zero
+            np.clip(one, np.float32(LEAST_ODDS), np.float32(1 / LEAST_ODDS), out=one)
+            if c:
+                np.log(one, out=z[c - 1])
+            if c < CONTEXTS - 1:
+                p = one / (one + 1)
+        return z, gate, self.code.bit.take(places), size
+
+    def bits(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of each text of a byte stream under the mixed predictors; texts advance side by side."""
+        texts = len(at) - 1
+        z, gate, bit, size = self.predict(b, at)
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at]
+        length = np.diff(ends)
+        order = np.argsort(-length, kind="stable")
+        begin, length = ends[:-1][order], length[order]
+        gates = 16
+        weights = [np.full(texts * gates, w, np.float32) for w in START]
+        out, t, step = np.zeros(texts), 0, FIRST_STEP
+        while texts and t < length[0]:
+            live, wide = int(np.searchsorted(-length, -t, "left")), max(1, CELLS // step)
+            for lo in range(0, live, wide):
+                hi = min(live, lo + wide)
+                n = np.minimum(length[lo:hi] - t, step)
+                first = np.cumsum(n) - n
+                spot = np.repeat(begin[lo:hi] + t - first, n)
+                spot += np.arange(len(spot))
+                cell = np.repeat(np.arange(hi - lo) * gates, n)
+                cell += gate.take(spot)
+                zs, ws = [row.take(spot) for row in z], [w[lo * gates : hi * gates] for w in weights]
+                mixed = ws[0].take(cell)
+                mixed *= zs[0]
+                for c in range(1, CONTEXTS - 1):
+                    more = ws[c].take(cell)
+                    more *= zs[c]
+                    mixed += more
+                sign = bit.take(spot).astype(np.float32)
+                sign *= -2
+                sign += 1
+                mixed *= sign
+                np.clip(mixed, -14, 14, out=mixed)
+                np.exp(mixed, out=mixed)
+                odds = mixed + 1
+                out[lo:hi] += np.add.reduceat(np.log(odds), first, dtype=np.float64)
+                mixed /= odds
+                mixed *= sign
+                for c in range(CONTEXTS - 1):
+                    zs[c] *= mixed
+                    ws[c] -= (np.bincount(cell, weights=zs[c], minlength=len(ws[c])) * (RATE / step**0.5)).astype(np.float32)
+            t += step
+            if t >= 32 * step:
+                step *= 2
+        total = np.zeros(texts)
+        total[order] = out / np.log(2)
+        return total
 
 
 class Head:
@@ -256,12 +428,21 @@ class Head:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, count) summed over slices of a task; the end token is one more word."""
+    """(two bytes or not, the bytes or a word's hash, count) summed over slices of a task; the end token is one more word."""
+    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         data, offsets = K.text_buffers(batch.column(0))
         for lo, hi in K.row_slices(offsets):
-            words, counts = np.unique(K.Words(data, offsets[lo : hi + 1]).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(words, K.U(END_TOKEN)).view(np.int64)), pa.array(np.append(counts, hi - lo).astype(np.int64))], ["word", "c"])
+            found = K.Words(data, offsets[lo : hi + 1])
+            words, counts = np.unique(found.hash, return_counts=True)
+            b, at = byte_stream(data, offsets[lo : hi + 1])
+            before = np.full(len(b), 0x20, np.int64)
+            before[1:] = b[:-1]
+            before[at[:-1]] = 0x20
+            total += np.bincount((before << 8) | b, minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words) + 1, bool)), pa.array(np.append(words, K.U(END_TOKEN)).view(np.int64)), pa.array(np.append(counts, hi - lo).astype(np.int64))], ["is_byte", "word", "c"])
+    pairs = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), bool)), pa.array(pairs), pa.array(total[pairs])], ["is_byte", "word", "c"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,19 +468,19 @@ def _scorer(model, base: float):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not loaded:
-            logits, keys, counts = model.value
-            loaded.extend([logits, Head(keys, counts)])
-        logits, head = loaded
+            mixed, keys, counts = model.value
+            loaded.extend([mixed, Head(keys, counts)])
+        mixed, head = loaded
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
-            for lo, hi in K.row_slices(offsets, 1 << 18):
+            for lo, hi in K.row_slices(offsets, SLICE):
                 words, n = K.Words(data, offsets[lo : hi + 1]), hi - lo
                 doc = np.repeat(np.arange(n), words.counts)
                 c = head.find(words.hash)
                 known, end = np.bincount(doc, weights=c > 0, minlength=n).astype(np.int64), head.find(np.array([END_TOKEN], K.U))
                 sums = np.bincount(doc, weights=np.log10(c + 1.0), minlength=n) + np.log10(end[0] + 1.0)
                 b, at = byte_stream(data, offsets[lo : hi + 1])
-                bits = score_bits(b, at, logits)
+                bits = mixed.bits(b, at)
                 rare = c == 0
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(words.hash[rare].view(np.int64)))
@@ -319,11 +500,16 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
     K.bounded_batches(docs)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    learn = docs.where(f"coalesce({training}, true)")
-    words = Staged(learn.select("text").mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words").df
+    known = docs.where(f"coalesce({training}, true)")
+    found = Staged(known.select("text").mapInArrow(_count_words, "is_byte boolean, word long, c long").groupBy("is_byte", "word").agg(F.sum("c").alias("c")), "words").df
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in found.where("is_byte").collect():
+        pairs[r["word"]] = r["c"]
+    code = Code(pairs.reshape(256, 256))
+    words = found.where("not is_byte").drop("is_byte")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     keys, counts = _head(words)
-    model = spark.sparkContext.broadcast((learn_logits(learn), keys, counts))
+    model = spark.sparkContext.broadcast((learn(known, code), keys, counts))
     base = float(np.log10(total["n"] + total["v"] + 1))
 
     kind = "row long, key long, n_tokens long, known long, base double, bits double, n_bytes long, tail array<long>"
