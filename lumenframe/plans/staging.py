@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only in local mode where none is set."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
@@ -43,12 +45,3 @@ class Staged:
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and return a scan of the written files."""
-    return Staged(df, name).df
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for a plan (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-#: Columns that every face table must have.
+# The columns that every face table must have, and those of the pose, which it may lack.
 FACE_REQUIRED = (
-    "face_id", "source_frame", "video_name", "frame_number", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2",
-    "det_score", "pitch", "yaw", "roll", "blur_score", "aligned_path", "embedding_index",
+    "face_id", "source_frame", "video_name", "frame_number", "face_index", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2",
+    "face_width", "face_height", "det_score", "blur_score", "aligned_path", "embedding_index",
 )
+FACE_POSE = ("pitch", "yaw", "roll")
 
+# Column names of the tables.
 FACE = (
     "face_id string, source_frame string, video_name string, frame_number int, face_index int, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, "
     "face_width double, face_height double, frame_width int, frame_height int, border_margin double, det_score double, pitch double, yaw double, roll double, "

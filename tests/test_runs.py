@@ -23,8 +23,10 @@ def write(path, text):
 
 
 def faces(spark, n=3, **change):
-    rows = [(f"f{i}", f"s{i}.jpg", "v", str(i), "0", "0", "10", "12", "0.9", "", "1", "2", "50", "a.jpg", str(i)) for i in range(n)]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in runs.FACE_REQUIRED)) if rows else spark.createDataFrame([], ", ".join(f"{c} string" for c in runs.FACE_REQUIRED))
+    """A run without pose columns, which it may lack."""
+    kind = ", ".join(f"{c} string" for c in "face_id source_frame video_name frame_number face_index bbox_x1 bbox_y1 bbox_x2 bbox_y2 face_width face_height det_score blur_score aligned_path embedding_index".split())
+    rows = [(f"f{i}", f"s{i}.jpg", "v", str(i), "0", "0", "0", "10", "12", "10", "12", "0.9", "50", "a.jpg", str(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, kind)
     return df.withColumns({k: F.expr(v) for k, v in change.items()})
 
 
@@ -35,6 +37,14 @@ def vectors(spark, n=3, scale=1.0):
 def test_valid_run(spark):
     out = runs.validate_run(faces(spark), vectors(spark))
     assert out.count() == 3 and "embedding" in out.columns
+    assert out.where("pitch is null and yaw is null and roll is null").count() == 3  # a run may lack its pose
+    assert runs.validate_run(faces(spark, yaw="'12'"), vectors(spark)).where("yaw = '12'").count() == 3
+
+
+@pytest.mark.parametrize("column", ["face_index", "face_width", "face_height", "blur_score"])
+def test_run_without_a_required_column(spark, column):
+    with pytest.raises(DataContractError, match=column):
+        runs.validate_run(faces(spark).drop(column), vectors(spark))
 
 
 @pytest.mark.parametrize(
@@ -52,8 +62,8 @@ def test_broken_runs(spark, change, n, scale, what):
 def test_empty_and_incomplete_runs(spark):
     with pytest.raises(DataContractError, match="no faces"):
         runs.validate_run(faces(spark, 0), vectors(spark))
-    with pytest.raises(DataContractError, match="lack yaw"):
-        runs.validate_run(faces(spark).drop("yaw"), vectors(spark))
+    with pytest.raises(DataContractError, match="lack det_score"):
+        runs.validate_run(faces(spark).drop("det_score"), vectors(spark))
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -186,10 +196,18 @@ def test_store_and_compare(spark, tmp_path):
 
 
 def test_config_files(tmp_path):
-    path = write(tmp_path / "c.json", json.dumps({"clustering": {"threshold": 0.5}, "run_dir": "run", "labels_path": "l.csv"}))
-    c = config.load_experiment(path, {"labels_path": "/given.csv"})
-    assert c["clustering"] == {"threshold": 0.5, "min_cluster_faces": 3} and c["run_dir"] == str(tmp_path / "run") and c["labels_path"] == "/given.csv"
-    assert config.fingerprint(c, ("clustering",)) == config.fingerprint({"clustering": {"min_cluster_faces": 3, "threshold": 0.5}}, ("clustering",))
+    path = write(tmp_path / "c.json", json.dumps({"clustering": {"threshold": 0.5}, "selection": {"perceptual_hash_size": 4, "duplicate_hamming_threshold": 2}, "paths": {"run_dir": "run", "labels": "l.csv"}}))
+    c = config.load_experiment(path, {"labels": "/given.csv"})
+    assert c["clustering"] == {"threshold": 0.5, "min_cluster_faces": 3, "corrections": None} and c["selection"]["perceptual_hash_size"] == 4
+    assert c["paths"] == {"run_dir": str(tmp_path / "run"), "experiments_dir": str(tmp_path / "run" / "experiments"), "labels": "/given.csv"}
+    assert config.fingerprint(c, ("clustering",)) == config.fingerprint({"clustering": {"min_cluster_faces": 3, "threshold": 0.5, "corrections": None}}, ("clustering",))
+    for bad in ({"selection": {"hash_size": 8}}, {"run_dir": "run"}, {"policy": {"rules": {"blurry": {"mode": "off"}}}}, {"config_schema_version": "v0"}):
+        with pytest.raises(ConfigError):
+            config.experiment_config(bad)
+    with pytest.raises(ConfigError, match="paths.run_dir"):
+        config.load_experiment(write(tmp_path / "d.json", "{}"))
+    with pytest.raises(ConfigError, match="b.c"):
+        config.require_keys({"a": 1, "b": {}}, ["a", "b.c"])
 
 
 def test_protocol(spark, tmp_path):
