@@ -8,40 +8,48 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
+from lumenframe.plans.config import EVALUATION
 
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table, extra: list[str]) -> tuple[np.ndarray, ...]:
     ids = table.column("id").to_numpy()
     flat = table.column("vector").combine_chunks()
     flat = flat.flatten().to_numpy() if len(ids) else np.zeros(0)
     order = np.argsort(ids, kind="stable")
-    return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else flat.reshape(0, 0)
+    return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else flat.reshape(0, 0), *(table.column(c).to_numpy()[order] for c in extra)
 
 
-def block_pairs(vectors: DataFrame, kernel, schema: str, every: bool = False, block: int = BLOCK) -> DataFrame:
+def block_pairs(vectors: DataFrame, kernel, schema: str, every: bool = False, block: int | None = None, extra: str | None = None) -> DataFrame:
     """Runs ``kernel(left ids, left matrix, right ids, right matrix, same block)`` on pairs of blocks.
 
     ``vectors`` has id (long) and vector. Each unordered pair of blocks comes once; ``every`` gives both orders.
+    A column ``extra`` (long) goes to the kernel after each matrix. Blocks grow with the table, up to
+    ``BLOCK_BYTES`` of vectors, so the number of copies of a vector grows slowly.
     """
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    more = [extra] if extra else []
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in more))
+    if block is None:
+        size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("d")).first()
+        block = max(BLOCK, min(int(size["n"] ** 0.5) * 8, BLOCK_BYTES // (8 * max(1, size["d"]))))
     n = max(1, -(-rows.count() // block))
     spot = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumns({"l": spot, "left": F.lit(True)}).withColumn("r", other)
     right = rows.withColumns({"r": spot, "left": F.lit(False)}).withColumn("l", other)
-    both = left.select("l", "r", "left", "id", "vector").union(right.select("l", "r", "left", "id", "vector"))
+    both = left.select("l", "r", "left", "id", "vector", *more).union(right.select("l", "r", "left", "id", "vector", *more))
     both = both if every else both.where("l <= r")
 
     def run(key, table):
         l, r = (k.as_py() for k in key)
         side = table.column("left")
-        out = kernel(*_matrix(table.filter(side)), *_matrix(table.filter(pa.compute.invert(side))), l == r)
+        out = kernel(*_matrix(table.filter(side), more), *_matrix(table.filter(pc.invert(side)), more), l == r)
         return pa.table(out)
 
     return both.groupBy("l", "r").applyInArrow(run, schema)
@@ -123,29 +131,95 @@ def pair_histogram(vectors: DataFrame, low: float = -1.0, high: float = 1.0, bin
     return block_pairs(vectors, kernel, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
+def pair_scores_counted(vectors: DataFrame, digits: int = 4, folds: int = 10) -> DataFrame:
+    """(score, same, fold, weight): similarities of all pairs rounded half up, counted inside the tasks.
+
+    ``vectors`` has id, vector and label; a pair is ``same`` if its labels are equal, and its fold is that of
+    the smaller id. No pair leaves a task, only its count.
+    """
+
+    def kernel(a, x, la, b, y, lb, same):
+        sim = x @ y.T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        i, j = np.triu_indices(len(a), 1) if same else np.indices(sim.shape).reshape(2, -1)
+        score = sim[i, j] * 10**digits
+        score = np.where(score < 0, np.ceil(score - 0.5), np.floor(score + 0.5)).astype(np.int64)
+        match, fold = la[i] == lb[j], np.minimum(a[i], b[j]) % folds
+        key, n = np.unique((score * 2 + match) * folds + fold, return_counts=True)
+        return {"score": pa.array((key // folds // 2) / 10**digits), "same": pa.array(key // folds % 2 == 1), "fold": pa.array((key % folds).astype(np.int32)), "weight": pa.array(n.astype(np.int64))}
+
+    return block_pairs(vectors, kernel, "score double, same boolean, fold int, weight long", extra="label")
+
+
 def quantiles(values: DataFrame, column: str, points=(0.5, 0.95, 0.99)) -> DataFrame:
     """One row: min, exact linear quantiles q50, q95, ..., max."""
     return values.agg(F.min(column).alias("min"), *(F.percentile(column, F.lit(p)).alias(f"q{round(p * 100)}") for p in points), F.max(column).alias("max"))
 
 
+#: Components up to which a vector is summed by one aggregate each.
+WIDE = 128
+
+
 def vector_sum(rows: DataFrame, keys: list[str], vector: str, weight: str | None = None) -> DataFrame:
-    """(keys, centroid): the weighted sum of vectors of each key over its L2 norm, summed component by component.
+    """(keys, centroid): the weighted sum of vectors of each key over its L2 norm.
 
-    Components are summed as rows, so a large group is pre-aggregated before it is shuffled.
+    Every component is an aggregate, so a large group is summed before it is shuffled; vectors beyond
+    ``WIDE`` components are summed as rows.
     """
     w = F.col(weight) if weight else F.lit(1.0)
+    dim = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    if 0 < dim <= WIDE:
+        sums = rows.groupBy(*keys).agg(*(F.sum(F.get(vector, F.lit(i)).cast("double") * w).alias(f"_s{i}") for i in range(dim)))
+        return sums.select(*keys, V.normalized(F.array_compact(F.array(*(f"_s{i}" for i in range(dim))))).alias("centroid"))
     parts = rows.select(*keys, w.alias("_w"), F.posexplode(vector).alias("_i", "_v"))
     sums = parts.groupBy(*keys, "_i").agg(F.sum(F.col("_v").cast("double") * F.col("_w")).alias("_s"))
     packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_p"))
     return packed.select(*keys, V.normalized(F.col("_p._s")).alias("centroid"))
 
 
-def centroid_margins(members: DataFrame, centroids: DataFrame) -> DataFrame:
+def centroid_margins(members: DataFrame, centroids: DataFrame, block: int = 4096) -> DataFrame:
     """(id, key, own, other, margin): similarity to the own centroid and the best other one, -1 where none is.
 
-    ``members``: id, key, vector; ``centroids``: key, centroid. Pairs meet in blocks as any two vector tables do.
+    ``members``: id, key, vector; ``centroids``: key, centroid. Blocks of members meet blocks of centroids as
+    matrix products; a block gives each member its own and its best other similarity, never all of them.
+    """
+    rows = members.select("id", F.col("key").cast("string").alias("_k"), F.col("vector").cast("array<double>").alias("v"))
+    heads = centroids.select(F.col("key").cast("string").alias("_k"), F.col("centroid").cast("array<double>").alias("v"))
+    n, m = (max(1, -(-df.count() // block)) for df in (rows, heads))
+    side = lambda df, own, name, other, k, is_member: df.withColumns({name: F.pmod(F.xxhash64(*own), F.lit(k[0])).cast("int"), "member": F.lit(is_member)}).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(k[1] - 1))))
+    left, right = side(rows, ["id"], "l", "r", (n, m), True), side(heads, ["_k"], "r", "l", (m, n), False)
+    names = ("l", "r", "member", "id", "_k", "v")
+    both = left.select(*names).union(right.withColumn("id", F.lit(None).cast(rows.schema["id"].dataType)).select(*names))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        is_member = table.column("member")
+        a, c = table.filter(is_member), table.filter(pc.invert(is_member))
+        matrix = lambda t: np.concatenate([x.flatten().to_numpy() for x in t.column("v").chunks]).reshape(t.num_rows, -1)
+        own, other = np.full(a.num_rows, -np.inf), np.full(a.num_rows, -np.inf)
+        if a.num_rows and c.num_rows:
+            sim = matrix(a) @ matrix(c).T
+            at = {k: i for i, k in enumerate(c.column("_k").to_pylist())}
+            mine = np.array([at.get(k, -1) for k in a.column("_k").to_pylist()])
+            has = np.flatnonzero(mine >= 0)
+            own[has] = sim[has, mine[has]]
+            sim[has, mine[has]] = -np.inf
+            other = sim.max(1)
+        return pa.table({"id": a.column("id"), "_k": a.column("_k"), "own": pa.array(own), "other": pa.array(other)})
+
+    found = both.groupBy("l", "r").applyInArrow(lambda table: run(table), f"id {kind}, _k string, own double, other double")
+    best = found.groupBy("id", "_k").agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    real = lambda c: F.when(F.col(c) > -float("inf"), F.col(c))
+    out = best.select("id", F.col("_k").cast(members.schema["key"].dataType).alias("key"), real("own").alias("own"), F.coalesce(real("other"), F.lit(-1.0)).alias("other"))
+    return out.withColumn("margin", F.col("own") - F.col("other"))
+
+
+def cluster_edges(vectors: DataFrame, threshold: float, exact_vectors: int = EVALUATION["exact_vectors"], neighbors: int = EVALUATION["ann_neighbors"]) -> tuple[DataFrame, str]:
+    """(edges, mode): all pairs at the threshold, or beyond ``exact_vectors`` those among each vector's ``neighbors`` nearest.
+
+    Fixed by the evaluation protocol: large sets are clustered over a neighbour graph of bounded degree.
     """
-    scored = members.join(centroids.select(F.col("key").alias("_k"), "centroid"), F.lit(True)).select("id", "key", "_k", V.dot("vector", "centroid").alias("s"))
-    own = F.max(F.when(F.col("key") == F.col("_k"), F.col("s")))
-    other = F.coalesce(F.max(F.when(F.col("key") != F.col("_k"), F.col("s"))), F.lit(-1.0))
-    return scored.groupBy("id", "key").agg(own.alias("own"), other.alias("other")).withColumn("margin", F.col("own") - F.col("other"))
+    if vectors.count() <= exact_vectors:
+        return threshold_edges(vectors, threshold), "exact"
+    near = nearest(vectors, neighbors).where(F.col("similarity") >= threshold)
+    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), "similarity")
+    return edges.groupBy("src", "dst").agg(F.max("similarity").alias("similarity")), "neighbors"

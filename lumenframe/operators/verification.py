@@ -1,6 +1,8 @@
 """Verification scores: threshold sweeps as running sums, ROC, AUC, EER, TAR at FAR, cross-validation.
 
-Rows have score (double), same (boolean) and, for cross-validation, fold (int).
+Rows have score (double), same (boolean) and, for cross-validation, fold (int). A column weight says how
+many pairs a row stands for, so counted scores go in as they come out of a block of pairs; without it each
+row is one pair.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from lumenframe.errors import EvaluationDataError
 from lumenframe.functions.vectors import dot
 from lumenframe.operators.reports import with_prf
 from lumenframe.plans.prefix import running_sums
+from lumenframe.plans.staging import Staged
 
 FARS = (0.1, 0.01, 0.001, 0.0001)
 INF = float("inf")
@@ -32,23 +35,40 @@ def _finish(points: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     return with_prf(both.withColumns({"fn": F.col("pos") - F.col("tp"), "tn": F.col("neg") - F.col("fp")}))
 
 
-def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count_if("same").alias("pos"), F.count_if(~F.col("same")).alias("neg"))
+def _tally(rows: DataFrame, keys: list[str], positive: str, negative: str) -> DataFrame:
+    """Numbers of same and of different pairs by key."""
+    w = (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("long")
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("same"), w)), F.lit(0)).alias(positive), F.coalesce(F.sum(F.when(~F.col("same"), w)), F.lit(0)).alias(negative))
 
 
 def threshold_sweep(rows: DataFrame) -> DataFrame:
     """(threshold, tp, fp, pos, neg, fn, tn, precision, recall, f1) at every distinct score and at both infinities."""
-    by = rows.groupBy(F.col("score").alias("threshold")).agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
-    return _finish(running_sums(by, [F.col("threshold").desc()], {"tp": "p", "fp": "n"}), _totals(rows, []), [])
+    by = Staged(_tally(rows.withColumnRenamed("score", "threshold"), ["threshold"], "p", "n"), "scores").df
+    totals = by.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("neg"))
+    return _finish(running_sums(by, [F.col("threshold").desc()], {"tp": "p", "fp": "n"}), totals, [])
 
 
-def fold_sweeps(rows: DataFrame, folds: int = 10) -> DataFrame:
-    """The sweep of each fold's training rows, all rows of the other folds; adds fold."""
-    train = rows.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
-    by = train.groupBy("held", F.col("score").alias("threshold")).agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
+def _folded(rows: DataFrame) -> DataFrame:
+    """(fold, score, p, n): the pairs counted once, for every fold and distinct score."""
+    return Staged(_tally(rows, ["fold", "score"], "p", "n"), "folds").df
+
+
+def _train_sweeps(cells: DataFrame, folds: int) -> DataFrame:
+    own = cells.select(F.col("fold").alias("held"), F.col("score").alias("threshold"), F.col("p").alias("_p"), F.col("n").alias("_n"))
+    every = cells.groupBy(F.col("score").alias("threshold")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    each = every.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).join(own, ["held", "threshold"], "left")
+    by = each.select("held", "threshold", (F.col("p") - F.coalesce("_p", F.lit(0))).alias("p"), (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")).where("p + n > 0")
     w = Window.partitionBy("held").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     points = by.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    return _finish(points, _totals(train, ["held"]), ["held"])
+    return _finish(points, by.groupBy("held").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")), ["held"])
+
+
+def fold_sweeps(rows: DataFrame, folds: int = 10) -> DataFrame:
+    """The sweep of each fold's training rows, all rows of the other folds; adds held.
+
+    Pairs are counted once by fold and score; a fold's training counts are all counts less its own.
+    """
+    return _train_sweeps(_folded(rows), folds)
 
 
 def _best(sweep: DataFrame, order: Column, keys: list[str]) -> DataFrame:
@@ -76,13 +96,21 @@ def roc_points(sweep: DataFrame) -> DataFrame:
 def auc_eer(roc: DataFrame) -> DataFrame:
     """One row (roc_auc, eer): trapezoids under the curve; the rates' mean where they first come closest.
 
-    Points are ordered by falling threshold. Only neighbours matter to a trapezoid, so the lag runs over
-    distinct scores in one window; ties between the distances go to the larger threshold.
+    Points are ordered by falling threshold, in ranges; a range's first point meets the last one of the range
+    before, and only these ends, two a range, meet in one task. Ties between distances go to the larger threshold.
     """
-    w = Window.orderBy(F.desc("threshold"))
-    step = roc.withColumn("a", (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2)
+    ranged = roc.select("threshold", "fpr", "tpr").repartitionByRange(F.desc("threshold")).withColumn("_part", F.spark_partition_id())
+    held = Staged(ranged, "roc").df
+    w = Window.partitionBy("_part").orderBy(F.desc("threshold"))
+    area = lambda f0, t0, f1, t1: (f1 - f0) * (t1 + t0) / 2
+    step = held.withColumn("a", area(F.lag("fpr").over(w), F.lag("tpr").over(w), F.col("fpr"), F.col("tpr")))
     gap = F.abs(F.col("fpr") - (1 - F.col("tpr")))
-    return step.agg(F.sum("a").alias("roc_auc"), F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(gap, -F.col("threshold"))).alias("eer"))
+    inner = step.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"), F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(gap, -F.col("threshold"))).alias("eer"))
+    point = F.struct("fpr", "tpr")
+    ends = held.groupBy("_part").agg(F.max_by(point, "threshold").alias("first"), F.min_by(point, "threshold").alias("last"))
+    before = F.lag("last").over(Window.orderBy("_part"))
+    seams = ends.withColumn("_b", before).agg(F.coalesce(F.sum(area(F.col("_b.fpr"), F.col("_b.tpr"), F.col("first.fpr"), F.col("first.tpr"))), F.lit(0.0)).alias("s"))
+    return inner.crossJoin(F.broadcast(seams)).select((F.col("a") + F.col("s")).alias("roc_auc"), "eer")
 
 
 def tar_at_far(roc: DataFrame, fars=FARS) -> DataFrame:
@@ -102,11 +130,13 @@ def cross_validation(rows: DataFrame, folds: int = 10, fold_size: int | None = 6
         good = found.where((F.col("n") == fold_size) & (F.col("p") * 2 == fold_size) & F.col("fold").between(0, folds - 1)).count()
         if good != folds or found.count() != folds:
             raise EvaluationDataError(f"{folds} balanced folds of {fold_size} rows are needed")
-    chosen = best_accuracy_threshold(fold_sweeps(rows, folds), ["held"]).select(F.col("held").alias("fold"), "threshold")
-    judged = rows.join(F.broadcast(chosen), "fold").withColumn("said", F.col("score") >= F.col("threshold"))
-    hit, said = F.col("same"), F.col("said")
-    out = judged.groupBy("fold", "threshold").agg(F.count_if(hit & said).alias("tp"), F.count_if(~hit & said).alias("fp"), F.count_if(hit & ~said).alias("fn"), F.count_if(~hit & ~said).alias("tn"), F.count("*").alias("_n"))
-    return out.withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("_n")).drop("_n")
+    cells = _folded(rows)
+    chosen = best_accuracy_threshold(_train_sweeps(cells, folds), ["held"]).select(F.col("held").alias("fold"), "threshold")
+    said = F.col("score") >= F.col("threshold")
+    count = lambda side, hit: F.coalesce(F.sum(F.when(hit, F.col(side))), F.lit(0))
+    judged = cells.join(F.broadcast(chosen), "fold").groupBy("fold", "threshold")
+    out = judged.agg(count("p", said).alias("tp"), count("n", said).alias("fp"), count("p", ~said).alias("fn"), count("n", ~said).alias("tn"))
+    return out.withColumn("accuracy", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
 
 
 def cross_validation_summary(folds: DataFrame) -> DataFrame:
@@ -116,4 +146,6 @@ def cross_validation_summary(folds: DataFrame) -> DataFrame:
 
 def class_means(rows: DataFrame) -> DataFrame:
     """One row: the mean score of same and of different pairs."""
-    return rows.agg(F.avg(F.when(F.col("same"), F.col("score"))).alias("same_mean"), F.avg(F.when(~F.col("same"), F.col("score"))).alias("different_mean"))
+    w = F.col("weight") if "weight" in rows.columns else F.lit(1)
+    mean = lambda hit: F.sum(F.when(hit, F.col("score") * w)) / F.sum(F.when(hit, w))
+    return rows.agg(mean(F.col("same")).alias("same_mean"), mean(~F.col("same")).alias("different_mean"))
