@@ -90,10 +90,29 @@ def identity_counts(identities: DataFrame, members: DataFrame, key: str = "ident
     return identities.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def face_identities(faces: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(face_id, identity): the labelled identity of a face where it has one, else its cluster."""
+    found = faces.select("face_id", F.col("cluster_id").alias("_c"))
+    if labels is None:
+        return found.select("face_id", F.col("_c").alias("identity")).where("identity is not null")
+    known = labels.where("identity is not null").select("face_id", F.col("identity").alias("_i"))
+    return found.join(known, "face_id", "full").select("face_id", F.coalesce("_i", "_c").alias("identity")).where("identity is not null")
+
+
+def identity_stages(identities: DataFrame, decisions: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(identity, before, after, selected): faces of every identity before the filter, after it, and after selection."""
+    rows = identities.join(decisions.select("face_id", "accepted"), "face_id", "left")
+    if selected is not None:
+        rows = rows.join(selected.where("selected").select("face_id", F.lit(True).alias("_s")), "face_id", "left")
+    chosen = F.count_if(F.coalesce("_s", F.lit(False))) if selected is not None else F.lit(None).cast("long")
+    return rows.groupBy("identity").agg(F.count("accepted").alias("before"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("after"), chosen.alias("selected"))
+
+
 def experiment_metrics(decisions: DataFrame, faces: DataFrame | None = None, selected: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """One row of an experiment's metrics: totals, rates, reasons, ratings, selection and classification.
+    """One row of an experiment's metrics: totals, rates, reasons, ratings, selection, identities and classification.
 
-    ``decisions``: face_id, source_frame, accepted, reject_reasons, shadow_reasons, soft_rating.
+    ``decisions``: face_id, source_frame, accepted, reject_reasons, shadow_reasons, soft_rating. Identities are
+    those of the labels, else the clusters of ``faces``.
     """
     as_map = lambda df, k, v, name: df.agg(F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))), F.expr("map()").cast("map<string,bigint>")).alias(name))
     base = decisions.agg(
@@ -108,7 +127,14 @@ def experiment_metrics(decisions: DataFrame, faces: DataFrame | None = None, sel
         why = as_map(reason_counts(selected.where("not selected"), "not_selected_reasons").select("reason", "n"), "reason", "n", "exclusion_counts")
         parts += [chosen, why]
     if faces is not None:
-        parts.append(faces.agg(F.count_distinct("cluster_id").alias("identities")))
+        known = labels if labels is not None and "identity" in labels.columns else None
+        stages = identity_stages(face_identities(faces, known), decisions, selected)
+        steps = ("before", "after", *(["selected"] if selected is not None else []))
+        gone = [F.count_if(F.col(c) == 0).alias(f"identities_without_{c}") for c in steps[1:]]
+        spread = [F.struct(*distribution(c)).alias(f"identities_{c}") for c in steps]
+        counts = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("identity", c)))).alias(f"counts_{c}") for c in steps]
+        source = F.lit("labels_and_clusters" if known is not None else "resulting_clusters").alias("identity_source")
+        parts.append(stages.agg(F.count("*").alias("identities"), *gone, *spread, *counts).withColumn("identity_source", source))
     if labels is not None:
         parts.append(classification_report(decisions, labels).select(F.struct("*").alias("classification")))
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, base)

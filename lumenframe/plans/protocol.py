@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.errors import CacheError, ConfigError
 from lumenframe.operators import cluster_metrics, clustering, detection, verification
-from lumenframe.plans.config import EVALUATION, canonical_json, fingerprint, merged
+from lumenframe.plans.config import EVALUATION, canonical_json, fingerprint, merged, require_keys
 from lumenframe.plans.staging import Staged
 from lumenframe.sources import runs
 
@@ -108,6 +108,17 @@ class Protocol:
     def _write(self, stage: str, doc: dict) -> None:
         runs.write_document(self.spark, doc, f"{self.folder}/{stage}.json")
 
+    def preflight(self, inputs: dict[str, str], required: list[str] | None = None, least_free_bytes: int = 0) -> dict:
+        """Demands the configuration's keys, that every named input exists, and room in the working folder."""
+        require_keys(self.config, required or [])
+        missing = sorted(name for name, path in inputs.items() if not runs.exists(self.spark, path))
+        if missing:
+            raise ConfigError(f"inputs are missing: {', '.join(missing)}")
+        free = runs.free_bytes(self.spark, self.folder)
+        if free < least_free_bytes:
+            raise ConfigError(f"{self.folder} has {free} free bytes, not {least_free_bytes}")
+        return {"inputs": len(inputs), "free_bytes": free}
+
     def prepare(self, tables: dict[str, tuple[DataFrame, int | None]]) -> dict:
         """Counts every table and demands the expected numbers."""
 

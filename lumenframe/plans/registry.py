@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import coerce, geometry
 from lumenframe.functions import vectors as V
-from lumenframe.operators import cluster_metrics, clustering, detection, policy, quality, reports, sampling, selection, similarity, tracking, verification
+from lumenframe.operators import cluster_metrics, clustering, detection, evaluation, policy, quality, reports, sampling, selection, similarity, tracking, verification
 from lumenframe.plans import config, experiment, protocol
 from lumenframe.plans.staging import Staged
 
@@ -191,15 +191,8 @@ F_COLS = "threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(rec
 
 
 def _scored(s, d) -> DataFrame:
-    v = _vectors(s, d)
-    pairs = similarity.threshold_edges(v, -float("inf"))
-    a, b = v.select(F.col("id").alias("src"), F.col("label").alias("la")), v.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
-    rows = pairs.join(F.broadcast(a) if _small(v) else a, "src").join(F.broadcast(b) if _small(v) else b, "dst")
-    return rows.select(F.round("similarity", 4).alias("score"), (F.col("la") == F.col("lb")).alias("same"), (F.col("src") % 10).cast("int").alias("fold"))
-
-
-def _small(v: DataFrame) -> bool:
-    return v.count() <= 100_000
+    """All pairs of vectors, counted by rounded score, label match and fold."""
+    return similarity.pair_scores_counted(_vectors(s, d))
 
 
 def _sweep_columns(df: DataFrame) -> DataFrame:
@@ -235,7 +228,7 @@ b AS (SELECT h, th, row_number() OVER (PARTITION BY h ORDER BY tp + neg - fp DES
 SELECT h AS fold, th AS threshold, count_if(same AND score >= th)::BIGINT AS tp, count_if(NOT same AND score >= th)::BIGINT AS fp, count_if(same AND score < th)::BIGINT AS fn, count_if(NOT same AND score < th)::BIGINT AS tn, round(count_if(same = (score >= th)) / count(*), 6) AS accuracy FROM b JOIN r ON r.fold = b.h WHERE k = 1 GROUP BY h, th"""
 )
 def verify_cv(s, d):
-    out = verification.cross_validation(Staged(_scored(s, d), "scored").df, fold_size=None)
+    out = verification.cross_validation(_scored(s, d), fold_size=None)
     return out.select("fold", "threshold", "tp", "fp", "fn", "tn", *_six("accuracy"))
 
 
@@ -259,6 +252,41 @@ def verify_class_means(s, d):
     return verification.class_means(_scored(s, d)).select(*_six("same_mean", "different_mean"))
 
 
+@query(
+    f"WITH {E_SQL}, r AS (SELECT a.id, b.id AS o, list_dot_product(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS k FROM e a JOIN e b ON a.id <> b.id) "
+    "SELECT least(id, o) AS src, greatest(id, o) AS dst, round(max(s), 6) AS similarity FROM r WHERE k <= 4 AND s >= 0.3 GROUP BY 1, 2"
+)
+def neighbor_edges(s, d):
+    """The threshold graph over each vector's nearest ones, as large sets are clustered."""
+    return similarity.cluster_edges(_vectors(s, d), 0.3, exact_vectors=0, neighbors=4)[0].select("src", "dst", *_six("similarity"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT src AS left, dst AS right, la = lb AS same, round(s, 6) AS score, s >= 0.5 AS predicted, (s >= 0.5) = (la = lb) AS correct FROM pairs WHERE s >= 0.35")
+def pair_predictions(s, d):
+    v = _vectors(s, d)
+    a, b = (v.select(F.col("id").alias(k), F.col("label").alias(c)) for k, c in (("src", "la"), ("dst", "lb")))
+    rows = similarity.threshold_edges(v, 0.35).join(a, "src").join(b, "dst")
+    rows = rows.select(F.col("src").alias("left"), F.col("dst").alias("right"), (F.col("la") == F.col("lb")).alias("same"), F.lit(0).alias("fold"), F.col("similarity").alias("score"))
+    return evaluation.pair_predictions(rows, 0.5).select("left", "right", "same", *_six("score"), "predicted", "correct")
+
+
+@query("SELECT o_orderpriority AS path FROM orders WHERE o_orderpriority IS NOT NULL UNION SELECT o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL")
+def pair_images(s, d):
+    return evaluation.pair_images(_table(s, d, "orders").select(F.col("o_orderpriority").alias("left"), F.col("o_orderstatus").alias("right")))
+
+
+@query(
+    _components_sql([EDGE]) + """, f AS (SELECT e.id, e.label, c.component FROM e JOIN c USING (id) WHERE e.id % 10 <> 0), p AS (SELECT a.label = b.label AS t, a.component = b.component AS q FROM f a JOIN f b ON a.id < b.id),
+n AS (SELECT count_if(t AND q) AS tp, count_if(q) AS pk, count_if(t) AS tk FROM p), r AS (SELECT tp / pk AS pp, tp / tk AS pr FROM n), k AS (SELECT count(*) AS persons, count_if(n > 1) AS split_persons FROM (SELECT label, count(DISTINCT component) AS n FROM f GROUP BY label))
+SELECT round(pp, 6) AS pair_precision, round(pr, 6) AS pair_recall, round(2 * pp * pr / (pp + pr), 6) AS pair_f1, persons::BIGINT AS persons, split_persons::BIGINT AS split_persons, 2 * pp * pr / (pp + pr) >= 0.98 AND split_persons = 0 AS passed FROM r, k"""
+)
+def identity_gate(s, d):
+    v = _vectors(s, d)
+    found = clustering.components(v, similarity.threshold_edges(v, EDGE)).select(F.col("id").alias("face_id"), F.col("component").alias("cluster_id"))
+    truth = v.select(F.col("id").alias("face_id"), F.col("label").alias("true_person"), (F.col("id") % 10 == 0).cast("int").alias("is_noise"))
+    return evaluation.identity_gate(truth, Staged(found, "found").df).select(*_six("pair_precision", "pair_recall", "pair_f1"), "persons", "split_persons", "passed")
+
+
 # --- quality and policy ------------------------------------------------------------------------
 
 QUALITY_SQL = """f AS (SELECT l_orderkey, l_partkey, l_suppkey, 1 - l_discount AS det, l_quantity AS size, l_extendedprice / 1000 AS blur, l_tax * 1000 AS yaw, l_tax * 500 AS pitch, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount * 300 END AS roll FROM lineitem),
@@ -370,6 +398,19 @@ def identity_distribution(s, d):
     return n.agg(*reports.distribution("n"))
 
 
+@query(
+    f"""WITH {_policy_sql('ignore')}, i AS (SELECT doc_id, coalesce('labelled ' || quality::VARCHAR, source) AS identity, len(reasons) = 0 AS a, doc_id % 3 = 0 AS s FROM p)
+SELECT identity, count(*)::BIGINT AS before, count_if(a)::BIGINT AS after, count_if(s)::BIGINT AS selected FROM i WHERE identity IS NOT NULL GROUP BY identity"""
+)
+def identity_stages(s, d):
+    """Documents as faces: the labelled identity where there is one, else the source as cluster."""
+    rows = _policy(s, d, "hard", "ignore").withColumn("face_id", F.col("doc_id"))
+    faces = rows.select("face_id", F.col("source").alias("cluster_id"))
+    labels = rows.where("quality is not null").select("face_id", F.concat(F.lit("labelled "), F.col("quality").cast("string")).alias("identity"))
+    chosen = rows.select("face_id", (F.col("face_id") % 3 == 0).alias("selected"))
+    return reports.identity_stages(reports.face_identities(faces, labels), rows, chosen)
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_anti(s, d):
     return _table(s, d, "documents").select("doc_id", "source").join(_table(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -520,7 +561,7 @@ def manual_labels(s, d):
 def diverse_topk(s, d):
     v = _vectors(s, d)
     faces = v.select(F.col("label").cast("string").alias("cluster_id"), F.col("id").cast("string").alias("face_id"), (F.col("id") % 7).cast("string").alias("video_name"), F.col("id").cast("int").alias("frame_number"), (F.col("id") % 90).cast("double").alias("yaw"), (F.abs(F.col("vector")[0]) * 2).cast("double").alias("quality_score"), V.sign_bits("vector").alias("image_hash"), F.col("id").alias("row"))
-    out = selection.diverse_topk(faces, {"duplicate_hamming": 20})
+    out = selection.diverse_topk(faces, {"duplicate_hamming_threshold": 20})
     return out.select("cluster_id", "face_id", "selected", "rank", F.array_join("not_selected_reasons", ";").alias("reasons"), *_six("selection_value"))
 
 
@@ -567,12 +608,11 @@ def frame_parse(s, d):
 
 
 @query(
-    "WITH t AS (SELECT doc_id, left(text, 200) AS t FROM documents), u AS (SELECT doc_id, trim(regexp_replace(t, '[^0-9A-Za-z\\x{0410}-\\x{044F}_-]+', '_', 'g'), '_') AS a, trim(regexp_replace(t, '[^\\p{L}\\p{M}\\p{N}_-]+', '_', 'g'), '_') AS b FROM t) "
+    "WITH t AS (SELECT doc_id, text AS t FROM documents), u AS (SELECT doc_id, trim(regexp_replace(t, '[^0-9A-Za-z\\x{0410}-\\x{044F}_-]+', '_', 'g'), '_') AS a, trim(regexp_replace(t, '[^\\p{L}\\p{M}\\p{N}_-]+', '_', 'g'), '_') AS b FROM t) "
     "SELECT doc_id, CASE WHEN a = '' THEN 'person' ELSE left(a, 60) END AS slug, CASE WHEN b = '' THEN 'video' ELSE right(b, 80) END AS safe FROM u"
 )
 def slugify(s, d):
-    head = F.left("text", F.lit(200))
-    return _table(s, d, "documents").select("doc_id", coerce.slug(head).alias("slug"), coerce.safe_id(head).alias("safe"))
+    return _table(s, d, "documents").select("doc_id", coerce.slug("text").alias("slug"), coerce.safe_id("text").alias("safe"))
 
 
 @query("WITH x AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '' WHEN 3 THEN event_type ELSE value::VARCHAR END AS t FROM events), y AS (SELECT event_id, CASE WHEN isfinite(try_cast(t AS DOUBLE)) THEN try_cast(t AS DOUBLE) END AS v FROM x) SELECT event_id, coalesce(trunc(v)::INT, -1) AS as_int, coalesce(v, 0.5) AS as_float FROM y")

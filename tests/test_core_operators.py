@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -290,7 +291,7 @@ def brute_select(rows, o):
             v = r["q"]
             if chosen:
                 h, p = min(bits(r["hash"], c["hash"]) for c in chosen), min(abs(r["yaw"] - c["yaw"]) for c in chosen)
-                if h <= o["duplicate_hamming"] or near(r):
+                if h <= o["duplicate_hamming_threshold"] or near(r):
                     continue
                 t = min(abs(r["frame"] - c["frame"]) if r["video"] == c["video"] else 100 for c in chosen)
                 v = 0.65 * r["q"] + 0.2 * h / 64 + 0.1 * min(p / 60, 1) + 0.05 * min(t / 100, 1)
@@ -308,13 +309,13 @@ def brute_select(rows, o):
         elif r["hash"] is None:
             why[r["id"]] = ["missing_image"]
         else:
-            w = ["duplicate"] * any(bits(r["hash"], c["hash"]) <= o["duplicate_hamming"] for c in chosen) + ["temporal_proximity"] * near(r)
+            w = ["duplicate"] * any(bits(r["hash"], c["hash"]) <= o["duplicate_hamming_threshold"] for c in chosen) + ["temporal_proximity"] * near(r)
             why[r["id"]] = w or ["capacity_limit" if len(chosen) >= o["max_per_identity"] else "lower_ranking"]
     return [c["id"] for c in chosen], value, why
 
 
 def test_selection(spark):
-    r, o = random.Random(3), {"max_per_identity": 6, "duplicate_hamming": 22, "min_frame_gap": 8}
+    r, o = random.Random(3), {"max_per_identity": 6, "duplicate_hamming_threshold": 22, "min_frame_gap": 8}
     groups = {c: [{"id": f"{c}{i}", "video": r.choice("uv"), "frame": r.randrange(120), "yaw": r.uniform(-60, 60), "q": round(r.random(), 2), "hash": None if i == 5 else r.getrandbits(64) - 2**63} for i in range(n)] for c, n in (("a", 40), ("b", 3), ("c", 12))}
     rows = [(c, x["id"], x["video"], x["frame"], x["yaw"], x["q"], x["hash"], i) for c, xs in groups.items() for i, x in enumerate(xs)]
     got = selection.diverse_topk(spark.createDataFrame(rows, "cluster_id string, face_id string, video_name string, frame_number int, yaw double, quality_score double, image_hash long, row long"), o).collect()
@@ -441,3 +442,91 @@ def test_sampling(spark):
     with pytest.raises(EvaluationDataError):
         sampling.assert_disjoint(spark.createDataFrame([(1, "a"), (1, "b")], "who int, part string"), "who", "part")
     assert [r["id"] for r in sampling.every_kth(rows, [F.col("id").asc()], 7, 3).orderBy("id").collect()] == [0, 7, 14]
+
+
+# --- known identities and diagnostics ----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def synthetic(spark):
+    from lumenframe.plans.staging import Staged
+    from lumenframe.sources import runs
+    from lumenframe.sources.synthetic import synthetic_run
+
+    faces, vectors, truth = synthetic_run(spark)
+    return Staged(runs.validate_run(faces, vectors), "synthetic").df, truth
+
+
+def test_synthetic_gate(spark, synthetic):
+    """The whole experiment over known identities: one cluster a person, pair F1 above the gate; seven faces go by the hard policy."""
+    from lumenframe.operators import evaluation
+    from lumenframe.plans import experiment
+
+    run, truth = synthetic
+    assert run.count() == 144 and truth.where("is_noise = 1").count() == 3
+    change = {"policy": config.hard_policy()}
+    change["policy"]["rules"]["image_unavailable"]["mode"] = "off"
+    labels = reports.load_labels(truth)
+    out = experiment.run_experiment(run, change, labels=labels)
+    m = out["metrics"].first()
+    assert m["rejected_faces"] == 7 and m["classification"]["f1"] == 1.0
+    assert m["identity_source"] == "labels_and_clusters" and m["counts_before"]["alice"] == 90 and m["counts_after"]["noise"] == 0
+    gate = evaluation.identity_gate(truth.join(out["faces_clustered"].select("face_id"), "face_id", "left_semi"), out["faces_clustered"]).first()
+    assert gate["passed"] and gate["pair_f1"] >= evaluation.GATE and gate["persons"] == 3
+    clusters = {r["true_person"]: r["clusters"] for r in evaluation.person_clusters(truth, out["faces_clustered"]).collect()}
+    assert all(len(c) == 1 for c in clusters.values())
+
+
+def test_diagnostics(spark, synthetic):
+    from lumenframe.operators import diagnostics
+
+    out = diagnostics.run_diagnostics(synthetic[0])
+    s = out["summary"].first()
+    assert (s["faces"], s["embedding_dimension"], s["pair_statistics_mode"], s["threshold_sweep_mode"]) == (144, 512, "exact", "exact")
+    x = np.array([r["embedding"] for r in synthetic[0].orderBy("embedding_index").select("embedding").collect()], float)
+    sims = (x @ x.T)[np.triu_indices(144, 1)]
+    assert s["max"] == pytest.approx(sims.max(), abs=1e-5) and s["q50"] == pytest.approx(np.quantile(sims, 0.5), abs=1e-5)
+    frames = Counter(r["frame_number"] for r in synthetic[0].select("frame_number").collect())
+    assert s["same_frame_pairs"] == sum(n * (n - 1) // 2 for n in frames.values()) == out["same_frame_pairs"].count()
+    assert s["suspicious_faces"] == 7 and out["nearest_neighbors"].count() == 144 and out["threshold_sweep"].count() == 8
+    assert sum(r["n"] for r in out["similarity_histogram"].collect()) == 144 * 143 // 2 and out["contact_sheets"].agg({"page": "max"}).first()[0] == 1
+
+
+def test_evaluation_bundles(spark):
+    from lumenframe.operators import evaluation
+
+    images = spark.createDataFrame([(1, None), (2, None), (3, "unreadable")], "image long, error string")
+    found = spark.createDataFrame([(1, 0), (1, 1)], "image long, det int")
+    c = evaluation.prediction_coverage(images, found).first()
+    assert (c["images"], c["processed"], c["errors"], c["detections"], c["images_with_detections"]) == (3, 2, 1, 2, 1) and c["coverage"] == pytest.approx(2 / 3)
+    pairs = spark.createDataFrame([("b", "a", True, 0, 0.9), ("a", "c", False, 1, None), (None, "c", False, 1, 0.1)], "left string, right string, same boolean, fold int, score double")
+    assert [r["path"] for r in evaluation.pair_images(pairs).collect()] == ["a", "b", "c"]
+    assert [(r["predicted"], r["correct"]) for r in evaluation.pair_predictions(pairs, 0.5).collect()] == [(True, True), (None, None), (False, True)]
+    box = "box struct<x1:double,y1:double,x2:double,y2:double>"
+    p = spark.createDataFrame([(1, 0, 0.9, (0.0, 0.0, 9.0, 9.0)), (1, 1, 0.2, (50.0, 50.0, 60.0, 60.0))], f"image long, det int, score double, {box}")
+    g = spark.createDataFrame([(1, 0, True, (0.0, 0.0, 9.0, 9.0))], f"image long, gt int, kept boolean, {box}")
+    b = evaluation.detector_bundle(p, g, {"easy": g.select("image", "gt"), "hard": g.select("image", "gt")}, 0.5).first()
+    assert b["operating_point"]["tp"] == 1 and b["ap_easy"] == b["ap_hard"] == pytest.approx(1.0, abs=2e-3)
+    with pytest.raises(EvaluationDataError):
+        evaluation.identity_gate(spark.createDataFrame([("f", "p", 0)], "face_id string, true_person string, is_noise int"), spark.createDataFrame([], "face_id string, cluster_id string"))
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    from lumenframe.operators import graph
+
+    r = random.Random(8)
+    edges = spark.createDataFrame([(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(7, 7), (None, 3)], "src long, dst long")
+    one = sorted(map(tuple, graph.connected_components(edges).collect()))
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert sorted(map(tuple, graph.connected_components(edges).collect())) == one
+
+
+def test_preflight(spark, tmp_path):
+    from lumenframe.plans import protocol
+
+    (tmp_path / "there").write_text("x")
+    run = protocol.Protocol(spark, str(tmp_path / "work"))
+    assert run.preflight({"a": str(tmp_path / "there")}, ["iou", "fars"])["inputs"] == 1
+    for inputs, need, free in (({"b": str(tmp_path / "gone")}, [], 0), ({}, ["nothing.here"], 0), ({}, [], 1 << 62)):
+        with pytest.raises(ConfigError):
+            run.preflight(inputs, need, free)
