@@ -10,8 +10,11 @@ starts with the conversation's first system turn, then the last turns of the win
 in the window that they belong to, each once.
 
 Turns are ordered by turn, then role and text (ties, repeated rows). Null roles and texts count as
-empty, null turns come first, null conv_ids form one conversation. An empty table gives no windows.
-Prefix sums run in two levels over ranges of turns, so one conversation may hold most rows.
+empty, null turns come first, null conv_ids form one conversation. An empty table gives no windows. A very
+long turn makes a longer window, held whole by a task. Extra columns aren't read, whatever their names.
+Prefix sums run in two levels over ranges of turns, so one conversation may hold most rows; turns of one
+number, or without one, share a range. ``read_back`` digests a conversation in order, so in one task, which
+holds one window at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ BUDGET, HISTORY, OVERHEAD = 1024, 128, 4
 RANGE = 256
 _ESCAPE, _UNESCAPE = re.compile(r"([\\#<])"), re.compile(r"\\(.)", re.S)
 _ROLE = re.compile(r"([\\#<:])")
-_TURN = re.compile(r"### ((?:\\.|[^\\:#<])*): ((?:\\.|[^\\#<])*) </turn>\n", re.S)
+_HEAD, _END = re.compile(r"### ((?:\\.|[^\\:#<]+)*+): ", re.S), " </turn>\n"
 WINDOW_SCHEMA = "conv_id long, win long, text string, repeats int, mask array<struct<start:long,stop:long>>"
 
 
@@ -54,11 +57,12 @@ def read_turns(window: str) -> list[tuple[str, str]]:
     """(role, text) of every turn of a formatted window."""
     out, at = [], 0
     while at < len(window):
-        m = _TURN.match(window, at)
-        if not m:
+        head = _HEAD.match(window, at)
+        end = window.find(_END, head.end()) if head else -1  # no text holds it: its own ``<`` stands behind a backslash
+        if end < 0:
             raise ValueError(f"not a turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(head[1]), unescape(window[head.end() : end])))
+        at = end + len(_END)
     return out
 
 

@@ -41,6 +41,37 @@ def sets_of(text, width=5):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
+def test_turns_read_back_whole():
+    """Texts and roles that hold marks, backslashes and very long runs come back; nothing else is read as a turn."""
+    turns = [("user", "a </turn>\n### x: y"), ("a:\\#<", "\\"), ("", ""), ("assistant", "\\### Assistant: </turn> ok"), ("x\\", "ends in a backslash\\"), ("user", "ab <c> #d\\ " * 400_000)]
+    window = "".join(chat.write_turn(*t)[0] for t in turns)
+    assert chat.read_turns(window) == turns
+    for bad in ("### user: no end", "user: x </turn>\n", window + "x"):
+        with pytest.raises(ValueError):
+            chat.read_turns(bad)
+
+
+def test_op4_query(spark, sf):
+    """Every conversation of a table, and the one that holds the template's marks."""
+    got = chat.op4_chat_windows(spark, sf).toPandas().set_index("conv_id")
+    t = pd.read_parquet(f"{sf}/conversations.parquet")
+    by = {c: [(r.role or "", r.text or "") for r in g.sort_values("turn").itertuples()] for c, g in t.groupby("conv_id")}
+    by[-7] = [("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### Assistant: </turn> ok")]
+    assert set(got.index) == set(by)
+    for c, turns in by.items():
+        loss = "".join(x for role, x in turns if role == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert tuple(got.loc[c][["n_turns", "turns_sha256", "loss_chars", "loss_sha256"]]) == want
+
+
+def test_items_in_several_blocks(spark, odd, monkeypatch):
+    long = words(20000, 3).split()
+    bench = spark.createDataFrame([(i, " ".join(long[50 * i : 50 * i + 9 + i])) for i in range(20)] + [(None, words(60, 1))], "item_id long, text string")
+    whole = sorted(map(str, decontaminate.contained_items(odd, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)
+    assert sorted(map(str, decontaminate.contained_items(odd, bench).collect())) == whole and len(whole) > 20
+
+
 def test_shingles_are_exact():
     import pyarrow as pa
 

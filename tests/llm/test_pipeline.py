@@ -91,3 +91,21 @@ def test_repeated_and_null_rows(spark, sf):
     got = [r["doc_id"] for r in P.one_of_each(spark, docs, sf).collect()]
     assert sorted(got, key=str) == [1, 3, None]
     assert P.no_benchmark(spark, docs, sf).count() == 5 and P.good_quality(spark, docs.limit(0), sf).count() == 0
+
+
+def test_odd_tables(spark, sf):
+    """Empty tables, very long texts and extra columns with the stages' own names go through every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(1, long, "en", "s", 9), (2, long + " end", "en", "s", 9), (3, "", "en", "t", 0), (4, None, None, None, None), (None, "no id", "en", "t", 1), (5, "a plain text of some words that stays", "en", "t", 1)]
+    extra = ("1 AS score", "'x' AS h", "2 AS id", "3 AS size", "true AS kept", "4 AS component_id", "5 AS n", "6 AS part", "7 AS row")
+    docs = spark.createDataFrame(rows, kind).selectExpr("*", *extra)
+    for _, stage in P.STAGES[:-1]:
+        before = docs.columns
+        docs = Staged(stage(spark, docs, sf), "odd").df
+        assert docs.columns == before
+    left = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert not {1, 2} <= left
+    empty = spark.createDataFrame([], kind).selectExpr("*", *extra)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, sf).count() == 0
