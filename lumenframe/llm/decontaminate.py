@@ -5,11 +5,14 @@ are read as windows of 2u shingles, u apart, one set of windows a class, so an i
 document lies inside some window no more than about four times its size, and its containment bounds
 the Jaccard similarity with that window from below. One equal MinHash value of ``HASHES`` makes a
 candidate, and a candidate is verified by the exact containment of the item's distinct shingles in the
-whole document. Items are searched in blocks of bounded size against all documents; no shuffle is made.
+whole document. Items are searched in blocks of bounded size against all documents, without a shuffle; of
+several blocks, one index is held at a time, and a block's pairs are written before the next.
 
 An item with null or empty text matches nothing. An item of fewer than five words is one shingle, its
 whole sequence, and matches only documents that are just that. Null or empty documents match nothing.
-Repeated documents and items give a row for each. Extra columns aren't read.
+Repeated documents and items give a row for each, null ids included. A very long document is held whole by one
+task, with its shingles. Empty tables of documents or items give no rows. Extra columns aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import textkit as K
+from lumenframe.plans.staging import Staged
 
 HASHES = 64
 THRESHOLD = 0.8
-BLOCK_ITEMS, BLOCK_BYTES = 8192, 16 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 32_768, 32 << 20
 PAIR_SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long"
 _MULTS = K.seeds(HASHES, 0xC0DE)
 _TAGS = K.seeds(HASHES, 0xC0DF)
@@ -127,6 +131,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], width))
         part = texts.mapInArrow(_finder(index, percent, width), PAIR_SCHEMA)
+        if blocks > 1:
+            part = Staged(part, "contained").df
+            index.destroy()
         found = part if found is None else found.union(part)
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
