@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread as the next one's input.
 
 Quality filter, near-duplicate removal, benchmark decontamination, mixing along the curriculum, token
-shards. All stages but the last return the columns of ``documents``.
+shards. All stages but the last return the columns of ``documents``, and extra ones too, whatever their names
+but for those that begin with ``__``.
+
+Null and empty texts: scored by the classifier's bias alone, in no near-duplicate group, in no leak, mixed
+with size 0, one end id as tokens. Rows without a doc_id are scored like others, never learnt from, and stay:
+no group or leak can name them. Of rows that share a doc_id one stays after the near-duplicate stage. Very long
+texts go through whole, one at a time in a task. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
