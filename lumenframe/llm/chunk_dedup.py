@@ -6,7 +6,7 @@ end has the least hash, the first of equals; it depends on the window's content
 anchors wherever they stand. Only anchors that stand in several documents go on: their occurrences, with
 all bytes of the windows they stand for, are extended to both sides against the first occurrence by exact
 comparison, and where there are more than two, windows that differ from the first meet each other by
-a 128-bit digest. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
+a 128-bit digest, beside the first occurrence or, where an anchor has several parts, over all of them. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
 document, whichever that is; shorter chance repeats stay. A text below ``run`` bytes is one window and a
 repeat if an earlier document equals it. An anchor's occurrences are dealt out in parts of about ``PART``,
 each beside the first occurrence, so no anchor's occurrences meet in one task.
@@ -31,7 +31,7 @@ from lumenframe.llm import textkit as K
 from lumenframe.plans.staging import Staged
 
 MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
-GRAM, PART = 32, 4096
+GRAM, PART = 32, 1024
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -113,7 +113,7 @@ def _anchorer(run: int):
     return find
 
 
-CONTEXT = "k long, part int, follows boolean, doc_id long, t long, low int, gram int, source long, many boolean, ctx binary"
+CONTEXT = "k long, part int, follows boolean, doc_id long, t long, low int, gram int, source long, many boolean, hot boolean, ctx binary"
 
 
 def _contexts(run: int):
@@ -140,7 +140,7 @@ def _contexts(run: int):
                     part = np.where(lead[row] == doc, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (doc * 0x9E3779B1 >> 9 & 0xFFFF) % parts[row])
                     ctx = [raw[p : q + run] for p, q in zip(low[mine].tolist(), high[mine].tolist(), strict=True)]
                     same = np.full(len(mine), 1)
-                    columns = [key[mine], part.astype(np.int32), lead[row] != doc, same * doc, same * t, low[mine].astype(np.int32), (gram - low)[mine].astype(np.int32), lead[row], many[row], pa.array(ctx, pa.binary())]
+                    columns = [key[mine], part.astype(np.int32), lead[row] != doc, same * doc, same * t, low[mine].astype(np.int32), (gram - low)[mine].astype(np.int32), lead[row], many[row], parts[row] > 1, pa.array(ctx, pa.binary())]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return cut
@@ -173,42 +173,60 @@ def _window_keys(ctx: bytes, run: int, skip: tuple[int, int]) -> tuple[list[int]
 
 
 def _extender(run: int):
-    """Spans equal to the first occurrence (no digest), and the windows that differ from it (with theirs).
+    """Spans that repeat an earlier occurrence and, of anchors with several parts, the windows that differ from the first.
 
-    Rows are sorted by anchor and part, the leading document's occurrences first.
+    Rows are sorted by leading document, part and anchor, the leading document's occurrences first, then by
+    document. Spans come without a digest, windows with theirs.
     """
 
+    def spans(row: tuple, first: tuple[int, bytes], seen: dict[bytes, int], out: list) -> None:
+        k, part, follows, doc, t, low, g, source, many, hot, ctx = row
+        (sg, sctx), win, a, b = first, min(run, len(ctx)), 0, 0
+        if g == sg and ctx == sctx:
+            b = len(ctx)
+        elif len(ctx) >= run and len(sctx) >= run:
+            left, right = _common(ctx[:g][::-1], sctx[:sg][::-1]), _common(ctx[g:], sctx[sg:])
+            if right >= GRAM and left + right >= run:
+                a, b = g - left, g + right
+        if b:
+            out.append((doc, low, a, b, source, None, ctx))
+        if not many:
+            return
+        held = None  # adjoining windows of one earlier document
+        for w, key in zip(*_window_keys(ctx, win, (a, b) if b else (0, 0)), strict=True):
+            if hot:
+                out.append((doc, low, w, w + win, None, key, ctx))
+                continue
+            earlier = seen.setdefault(key, (doc, low + w))
+            if earlier == (doc, low + w):
+                continue
+            if held and held[1] == w + win - 1 and held[2] == earlier[0]:
+                held[1] = w + win
+                continue
+            if held:
+                out.append((doc, low, held[0], held[1], held[2], None, ctx))
+            held = [w, w + win, earlier[0]]
+        if held:
+            out.append((doc, low, held[0], held[1], held[2], None, ctx))
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first = None, None
+        now, first, seen = None, None, {}
         for batch in batches:
-            out = []
-            for k, part, follows, doc, t, low, g, source, many, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (k, part) != now:
-                    now, first = (k, part), (g, ctx)
-                    continue
-                if part and not follows:  # the leading document's other occurrences, met in part 0
-                    continue
-                sg, sctx = first
-                win, a, b = min(run, len(ctx)), 0, 0
-                if g == sg and ctx == sctx:
-                    b = len(ctx)
-                elif len(ctx) >= run and len(sctx) >= run:
-                    left, right = _common(ctx[:g][::-1], sctx[:sg][::-1]), _common(ctx[g:], sctx[sg:])
-                    if right >= GRAM and left + right >= run:
-                        a, b = g - left, g + right
-                if b:
+            for lo in range(0, batch.num_rows, 1000):
+                found: list = []
+                for row in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns), strict=True):
+                    if row[:2] != now:
+                        now, first, seen = row[:2], (row[6], row[10]), {}
+                    elif row[2] or not row[1]:  # the leading document's other occurrences meet in part 0
+                        spans(row, first, seen, found)
+                out = []
+                for doc, low, a, b, source, key, ctx in found:
                     x, y = _whole(ctx, a, b)
                     if x < y:
-                        out.append((doc, low + x, low + y, source, None))
-                if many:
-                    for w, key in zip(*_window_keys(ctx, win, (a, b) if b else (0, 0)), strict=True):
-                        x, y = _whole(ctx, w, w + win)
-                        if x < y:
-                            out.append((doc, low + x, low + y, None, key))
-            if out:
-                doc, begin, stop, source, keys = zip(*out, strict=True)
-                halves = [pa.array([None if k is None else int.from_bytes(k[i : i + 8], "little", signed=True) for k in keys], pa.int64()) for i in (0, 8)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(source, pa.int64()), *halves], ["doc_id", "begin", "stop", "source", "x", "y"])
+                        out.append((doc, low + x, low + y, source, *(None if key is None else int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))))
+                if out:
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "begin", "stop", "source", "x", "y"])
 
     return extend
 
@@ -229,8 +247,8 @@ def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> Dat
     seen = counts.where("n > 1" if inside else "lead <> last").select("k", "lead", F.ceil(F.col("rows") / PART).cast("int").alias("parts"), (F.col("n") > 2).alias("many"))
     wanted = found.select("k", "doc_id").join(seen, "k").groupBy("doc_id").agg(F.collect_list(F.struct("k", "lead", "parts", "many")).alias("wanted"))
     contexts = texts.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text", "wanted").mapInArrow(_contexts(run), CONTEXT)
-    order = ("k", "part", "follows", "doc_id", "t", "low")
-    sorted_ = contexts.repartition("k", "part").sortWithinPartitions(*order)
+    order = ("source", "part", "k", "follows", "doc_id", "t", "low")
+    sorted_ = contexts.repartition("source", "part").sortWithinPartitions(*order)  # a text's contexts stay side by side
     met = Staged(sorted_.mapInArrow(_extender(run), "doc_id long, begin int, stop int, source long, x long, y long"), "met").df
     docs.sparkSession._jvm.System.gc()  # shuffle files go with their plans
     rest, key = met.where("x is not null"), ["x", "y"]
