@@ -806,6 +806,27 @@ def brute_repeats(rows, run=chunk_dedup.RUN):
     return out
 
 
+def test_chunk_dedup_of_large_groups(spark, monkeypatch):
+    """Many near copies, whose differing windows meet beside the first copy or over several parts."""
+    r, base = random.Random(12), words(90, 77).split()
+    edits = [(k, f"edit{k}x{v}") for k in range(5, 85, 9) for v in range(3)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for k, e in r.sample(edits, 4):
+            w[k] = e
+        rows.append((100 + i, words(r.randrange(1, 9), i) + " " + " ".join(w)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (90, " ".join(base[40:70]) * 3)]
+    truth = brute_repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1024, 5):
+        monkeypatch.setattr(chunk_dedup, "PART", part)
+        got = {n: np.zeros(len(t.encode()), bool) for n, t in rows}
+        for s in chunk_dedup.repeated_spans(df).collect():
+            got[s["doc_id"]][s["begin"] : s["stop"]] = True
+        assert {n for n in truth if (truth[n] != got[n]).any()} == set()
+
+
 def test_chunk_dedup_finds_whole_repeats(spark):
     r = random.Random(8)
     rows = [(1, words(70, 60))]
