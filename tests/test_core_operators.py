@@ -530,3 +530,46 @@ def test_preflight(spark, tmp_path):
     for inputs, need, free in (({"b": str(tmp_path / "gone")}, [], 0), ({}, ["nothing.here"], 0), ({}, [], 1 << 62)):
         with pytest.raises(ConfigError):
             run.preflight(inputs, need, free)
+
+
+def test_exact_quantile(spark, monkeypatch):
+    from lumenframe.plans import quantile
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=501), np.round(rng.exponential(size=400), 1), np.full(30, 2.5), np.array([7.0]), np.array([1.0, 2.0]), np.concatenate([np.zeros(300), rng.normal(size=7) * 1e6])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        for few in (100_000, 5):
+            monkeypatch.setattr(quantile, "FEW", few)
+            for p in (0.0, 0.31, 0.5, 0.95, 1.0):
+                assert quantile.exact_quantile(df, F.col("x"), p) == pytest.approx(np.quantile(values, p))
+    assert quantile.exact_quantile(df.limit(0), F.col("x"), 0.5) is None
+
+
+def test_sparse_merges_equal_dense(spark):
+    rng = np.random.default_rng(9)
+    for n, d in ((60, 3), (200, 4), (90, 2)):
+        x = unit(rng, n, d)
+        video, start = rng.integers(0, 6, n), rng.integers(0, 50, n)
+        end = start + rng.integers(0, 6, n)
+        apart = (video[:, None] == video[None]) & (np.maximum(start[:, None], start[None]) <= np.minimum(end[:, None], end[None]))
+        np.fill_diagonal(apart, False)
+        assert (clustering.merge_sparsely(x, video, start, end, 0.6) == clustering.merge_greedily(x @ x.T, apart, 0.6)).all()
+
+
+def test_tracks_stream_over_batches(spark):
+    """A segment far longer than a batch is tracked as in one piece."""
+    rng = np.random.default_rng(4)
+    x = unit(rng, 5, 6)
+    rows = []
+    for frame in range(300):
+        for k in range(5):
+            v = x[k] + rng.normal(size=6) * 0.05
+            rows.append((f"f{frame}_{k}", "v", frame, (10.0 * k, 0.0, 10.0 * k + 8, 8.0), 0.5, 5 * frame + k, (v / np.linalg.norm(v)).tolist()))
+    df = spark.createDataFrame(rows, "face_id string, video_name string, frame_number int, box struct<x1:double,y1:double,x2:double,y2:double>, quality_score double, row long, vector array<double>")
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    for size in ("10000", "7"):
+        spark.conf.set(name, size)
+        found[size] = sorted(map(tuple, tracking.assign_tracks(df).drop("vector").collect()))
+    spark.conf.set(name, before)
+    assert found["7"] == found["10000"] and {r[3] for r in found["7"]} == set(range(5))
