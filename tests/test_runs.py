@@ -276,3 +276,36 @@ def test_progress_stream(spark, tmp_path):
     df, seen = progress.observed_counts(spark.createDataFrame([(True, True), (True, False)], "selected boolean, embedded boolean"))
     df.collect()
     assert seen.get == {"processed": 2, "selected": 2, "embedded": 1}
+
+
+# --- producer ----------------------------------------------------------------------------------
+
+
+def test_producer(spark, tmp_path):
+    from lumenframe.sources import producer
+
+    def lengths():
+        def infer(path, content):
+            if content == b"bad":
+                raise ValueError("unreadable")
+            size = float(len(content))
+            return [{"n": len(content), "vector": [size, 1.0]}, {"n": 0, "vector": [0.0, 0.0]}, {"n": -1, "vector": [float("nan"), 1.0]}]
+
+        return infer
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in (("a.jpg", "four"), ("b.jpg", "bad"), ("c.jpg", "sixsix")):
+        (folder / name).write_text(text)
+    scan = lambda: spark.read.format("binaryFile").load(str(folder))
+    go = lambda mark="m1": producer.produce(scan(), lengths, "n int, vector array<double>", str(tmp_path / "cache"), mark)
+    out, stats = go()
+    assert stats.first().asDict() == {"items": 3, "cache_hits": 0, "computed": 2, "errors": 1}
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in out.collect()}
+    assert rows["b.jpg"]["value"] is None and rows["b.jpg"]["error"] == "ValueError: unreadable" and rows["a.jpg"]["value"][0]["n"] == 4
+    assert sorted(r["n"] for r in producer.found_rows(out, "vector").collect()) == [4, 6] and producer.found_rows(out).count() == 6
+    (folder / "c.jpg").write_text("seven77")
+    out, stats = go()
+    assert stats.first().asDict() == {"items": 3, "cache_hits": 1, "computed": 1, "errors": 1}
+    assert sorted(r["value"][0]["n"] for r in out.where("value is not null").collect()) == [4, 7]
+    assert go("m2")[1].first()["cache_hits"] == 0
