@@ -573,3 +573,16 @@ def test_tracks_stream_over_batches(spark):
         found[size] = sorted(map(tuple, tracking.assign_tracks(df).drop("vector").collect()))
     spark.conf.set(name, before)
     assert found["7"] == found["10000"] and {r[3] for r in found["7"]} == set(range(5))
+
+
+def test_large_clusters_choose_alike(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b"]), f"f{i}", r.choice(["v", "w"]), r.randrange(200), r.uniform(-60, 60), round(r.random(), 2), None if r.random() < 0.1 else r.getrandbits(60), i) for i in range(160)] + [("c", "g", "v", None, None, None, 5, 900)]
+    df = spark.createDataFrame(rows, "cluster_id string, face_id string, video_name string, frame_number int, yaw double, quality_score double, image_hash long, row long")
+    for o in ({"max_per_identity": 5, "duplicate_hamming_threshold": 24}, {"max_per_identity": 4, "minimum_pose_distance": 3.0, "min_frame_gap": 20}):
+        few, rounds = ({x["face_id"]: x.asDict() for x in selection.diverse_topk(df, o, n).collect()} for n in (1000, 10))
+        assert set(few) == set(rounds)
+        for k, a in few.items():
+            b = rounds[k]
+            assert (a["selected"], a["rank"], a["not_selected_reasons"], a["selection_decision"]) == (b["selected"], b["rank"], b["not_selected_reasons"], b["selection_decision"])
+            assert a["selection_value"] == pytest.approx(b["selection_value"]) if a["selected"] else b["selection_value"] is None
