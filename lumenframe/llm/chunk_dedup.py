@@ -32,6 +32,8 @@ from lumenframe.plans.staging import Staged
 
 MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
 GRAM, PART = 32, 1024
+#: Spans that a task joins before it passes them on.
+HELD = 1 << 17
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -209,8 +211,12 @@ def _extender(run: int):
         if held:
             out.append((doc, low, held[0], held[1], held[2], None, ctx))
 
+    def table(doc, begin, stop, source, x, y) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc, begin, stop, source, x, y), kinds, strict=True)], ["doc_id", "begin", "stop", "source", "x", "y"])
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, seen = None, None, {}
+        now, first, seen, held = None, None, {}, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 found: list = []
@@ -219,18 +225,37 @@ def _extender(run: int):
                         now, first, seen = row[:2], (row[6], row[10]), {}
                     elif row[2] or not row[1]:  # the leading document's other occurrences meet in part 0
                         spans(row, first, seen, found)
-                out = []
+                windows = []
                 for doc, low, a, b, source, key, ctx in found:
                     x, y = _whole(ctx, a, b)
-                    if x < y:
-                        out.append((doc, low + x, low + y, source, *(None if key is None else int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "begin", "stop", "source", "x", "y"])
+                    if x < y and key is None:
+                        held.append((doc, source, low + x, low + y))
+                    elif x < y:
+                        windows.append((doc, low + x, low + y, None, *(int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))))
+                if windows:
+                    yield table(*zip(*windows, strict=True))
+                if len(held) >= HELD:
+                    yield _joined(held, table)
+                    held = []
+        if held:
+            yield _joined(held, table)
 
     return extend
 
 
+def _joined(held: list[tuple[int, int, int, int]], table) -> pa.RecordBatch:
+    """Spans (document, source, begin, stop), those of one document and source that touch as one."""
+    doc, source, begin, stop = np.array(held, np.int64).T
+    order = np.lexsort((begin, source, doc))
+    doc, source, begin, stop = (c[order] for c in (doc, source, begin, stop))
+    group = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])) << 32
+    reach = np.maximum.accumulate(stop + group)
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] + group[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(doc)) - 1
+    none = pa.nulls(len(first), pa.int64())
+    return table(doc[first], begin[first], reach[last] - group[last], source[first], none, none)
+
+
 def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> DataFrame:
     """(doc_id, begin, stop, first_docs): byte spans that repeat text of a document before.
 
