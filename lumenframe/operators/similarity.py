@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from lumenframe.functions import vectors as V
 from lumenframe.plans.config import EVALUATION
 
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Blocks of a table whose blocks may still grow, and the products that a kernel makes at once.
+BLOCKS, TILE = 12, 1 << 20
 
 
 def _matrix(table: pa.Table, extra: list[str]) -> tuple[np.ndarray, ...]:
@@ -26,31 +28,46 @@ def _matrix(table: pa.Table, extra: list[str]) -> tuple[np.ndarray, ...]:
     return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else flat.reshape(0, 0), *(table.column(c).to_numpy()[order] for c in extra)
 
 
-def block_pairs(vectors: DataFrame, kernel, schema: str, every: bool = False, block: int | None = None, extra: str | None = None) -> DataFrame:
+def block_pairs(vectors: DataFrame, kernel, schema: str, every: bool = False, block: int | None = None, extra: str | None = None, counted: bool = False) -> DataFrame:
     """Runs ``kernel(left ids, left matrix, right ids, right matrix, same block)`` on pairs of blocks.
 
     ``vectors`` has id (long) and vector. Each unordered pair of blocks comes once; ``every`` gives both orders.
     A column ``extra`` (long) goes to the kernel after each matrix. Blocks grow with the table, up to
-    ``BLOCK_BYTES`` of vectors, so the number of copies of a vector grows slowly.
+    ``BLOCK_BYTES`` of vectors, so a vector has ``BLOCKS`` + 1 copies until then. The kernel gets tiles of the left
+    block, so it holds about ``TILE`` products at a time; ``counted`` adds up the tiles' column n inside the task.
     """
     more = [extra] if extra else []
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in more))
     if block is None:
         size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("d")).first()
-        block = max(BLOCK, min(int(size["n"] ** 0.5) * 8, BLOCK_BYTES // (8 * max(1, size["d"]))))
+        block = max(BLOCK, min(-(-size["n"] // BLOCKS), BLOCK_BYTES // (8 * max(1, size["d"]))))
     n = max(1, -(-rows.count() // block))
     spot = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumns({"l": spot, "left": F.lit(True)}).withColumn("r", other)
     right = rows.withColumns({"r": spot, "left": F.lit(False)}).withColumn("l", other)
     both = left.select("l", "r", "left", "id", "vector", *more).union(right.select("l", "r", "left", "id", "vector", *more))
-    both = both if every else both.where("l <= r")
+    both, tile = both if every else both.where("l <= r"), TILE
 
     def run(key, table):
         l, r = (k.as_py() for k in key)
         side = table.column("left")
-        out = kernel(*_matrix(table.filter(side), more), *_matrix(table.filter(pc.invert(side)), more), l == r)
-        return pa.table(out)
+        a, b = _matrix(table.filter(side), more), _matrix(table.filter(pc.invert(side)), more)
+        step, out = max(1, tile // max(1, len(b[0]))), []
+        for lo in range(0, max(1, len(a[0])), step):
+            cut = [x[lo : lo + step] for x in a]
+            if l != r:
+                out.append(kernel(*cut, *b, False))
+                continue
+            out.append(kernel(*cut, *cut, True))
+            rest = [np.concatenate([x[: lo if every else 0], x[lo + step :]]) for x in b]
+            if len(rest[0]):
+                out.append(kernel(*cut, *rest, False))
+        whole = pa.concat_tables([pa.table(x) for x in out])
+        if not counted:
+            return whole
+        keys = [c for c in whole.column_names if c != "n"]
+        return whole.group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
 
     return both.groupBy("l", "r").applyInArrow(run, schema)
 
@@ -128,7 +145,7 @@ def pair_histogram(vectors: DataFrame, low: float = -1.0, high: float = 1.0, bin
         n = np.bincount(np.minimum(np.floor((v - low) / ((high - low) / bins)).astype(int), bins - 1), minlength=bins)
         return {"bin": pa.array(np.arange(bins), pa.int32()), "n": pa.array(n.astype(np.int64))}
 
-    return block_pairs(vectors, kernel, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return block_pairs(vectors, kernel, "bin int, n long", counted=True).groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def pair_scores_counted(vectors: DataFrame, digits: int = 4, folds: int = 10) -> DataFrame:
@@ -145,9 +162,9 @@ def pair_scores_counted(vectors: DataFrame, digits: int = 4, folds: int = 10) ->
         score = np.where(score < 0, np.ceil(score - 0.5), np.floor(score + 0.5)).astype(np.int64)
         match, fold = la[i] == lb[j], np.minimum(a[i], b[j]) % folds
         key, n = np.unique((score * 2 + match) * folds + fold, return_counts=True)
-        return {"score": pa.array((key // folds // 2) / 10**digits), "same": pa.array(key // folds % 2 == 1), "fold": pa.array((key % folds).astype(np.int32)), "weight": pa.array(n.astype(np.int64))}
+        return {"score": pa.array((key // folds // 2) / 10**digits), "same": pa.array(key // folds % 2 == 1), "fold": pa.array((key % folds).astype(np.int32)), "n": pa.array(n.astype(np.int64))}
 
-    return block_pairs(vectors, kernel, "score double, same boolean, fold int, weight long", extra="label")
+    return block_pairs(vectors, kernel, "score double, same boolean, fold int, n long", extra="label", counted=True).withColumnRenamed("n", "weight")
 
 
 def quantiles(values: DataFrame, column: str, points=(0.5, 0.95, 0.99)) -> DataFrame:
@@ -155,6 +172,82 @@ def quantiles(values: DataFrame, column: str, points=(0.5, 0.95, 0.99)) -> DataF
     return values.agg(F.min(column).alias("min"), *(F.percentile(column, F.lit(p)).alias(f"q{round(p * 100)}") for p in points), F.max(column).alias("max"))
 
 
+#: Ranges that a pass over all pairs counts, steps of the finest range, and the values that one task sorts.
+RANGES, FINEST, FEW = 1 << 12, 1 << 42, 100_000
+
+
+def pair_quantiles(vectors: DataFrame, points=(0.5, 0.95, 0.99), few: int = FEW) -> DataFrame:
+    """One row as ``quantiles`` gives it, over the similarities of all pairs, which never leave a task.
+
+    A pass counts ``RANGES`` parts of every range that holds a wanted rank; the parts that hold one go into the next
+    pass, until they hold at most ``few`` values each, or are as narrow as ranges get. A last pass gathers the distinct
+    values of those with their counts. Values are placed by the same monotone steps in every pass.
+    """
+    spark, names = vectors.sparkSession, ["min", *(f"q{round(p * 100)}" for p in points), "max"]
+    schema = ", ".join(f"{n} double" for n in names)
+    norm = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.when(~F.isnan(norm) & (norm < float("inf")), norm)).alias("m")).first()
+    n, bound = size["n"] * (size["n"] - 1) // 2, (size["m"] or 0.0) * (1 + 1e-9) or 1.0
+    if not n:
+        return spark.createDataFrame([(None,) * len(names)], schema)
+
+    def values(a, x, b, y, same):
+        sim = x @ y.T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        v = sim[np.triu_indices(len(a), 1)] if same else sim.ravel()
+        spot = np.fmax(np.fmin((v + bound) * (FINEST / (2 * bound)), FINEST - 1), 0)  # NaN counts as the largest
+        return v, spot.astype(np.int64)
+
+    def counts(ranges, width):
+        def kernel(*block):
+            at, place, step = [], [], width // RANGES
+            spot = values(*block)[1]
+            for low in ranges:
+                part = spot if width == FINEST else spot[(spot >= low) & (spot < low + width)]
+                found = np.bincount((part - low) // step, minlength=RANGES)
+                some = np.flatnonzero(found)
+                at.append(low + some * step)
+                place.append(found[some])
+            return {"low": pa.array(np.concatenate(at), pa.int64()), "n": pa.array(np.concatenate(place), pa.int64())}
+
+        return sorted((r["low"], r["n"]) for r in block_pairs(vectors, kernel, "low long, n long", counted=True).groupBy("low").agg(F.sum("n").alias("n")).collect())
+
+    spots = [(p * (n - 1), min(int(p * (n - 1)), max(0, n - 2))) for p in points]
+    wanted = sorted({0, n - 1, *(r for _, r in spots), *(min(r + 1, n - 1) for _, r in spots)})
+    width, ranges = FINEST, {0: (0, n)}  # begin: (values before, values in it)
+    while width >= RANGES and max(m for _, m in ranges.values()) > few:
+        found, kept = counts(sorted(ranges), width), {}
+        step = width // RANGES
+        for low, (before, _) in ranges.items():
+            seen = before
+            for at, m in found:
+                if low <= at < low + width:
+                    if any(seen <= r < seen + m for r in wanted):
+                        kept[at] = (seen, m)
+                    seen += m
+        ranges, width = kept, step
+    lows = sorted(ranges)
+
+    def gather(*block):
+        v, spot = values(*block)
+        at = np.searchsorted(lows, spot, "right") - 1
+        inside = (at >= 0) & (spot < np.array(lows)[at] + width)
+        v, m = np.unique(v[inside], return_counts=True)
+        return {"v": pa.array(v), "n": pa.array(m.astype(np.int64))}
+
+    held = block_pairs(vectors, gather, "v double, n long", counted=True).groupBy("v").agg(F.sum("n").alias("n"))
+    held = held.orderBy("v").collect()
+    ends, rank = np.cumsum([r["n"] for r in held]), {}
+    shift, at = {}, 0
+    for low in lows:
+        shift[at] = ranges[low][0] - at  # rank of a value less its place among those gathered
+        at += ranges[low][1]
+    for r in wanted:
+        gap = next(g for start, g in sorted(shift.items(), reverse=True) if start + g <= r)
+        rank[r] = held[int(np.searchsorted(ends, r - gap, "right"))]["v"]
+    mid = [rank[r] if p == r else rank[r] + (rank[r + 1] - rank[r]) * (p - r) if n > 1 else rank[r] for p, r in spots]
+    return spark.createDataFrame([(rank[0], *mid, rank[n - 1])], schema)
+
+
 #: Components up to which a vector is summed by one aggregate each.
 WIDE = 128
 

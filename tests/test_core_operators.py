@@ -586,3 +586,31 @@ def test_large_clusters_choose_alike(spark):
             b = rounds[k]
             assert (a["selected"], a["rank"], a["not_selected_reasons"], a["selection_decision"]) == (b["selected"], b["rank"], b["not_selected_reasons"], b["selection_decision"])
             assert a["selection_value"] == pytest.approx(b["selection_value"]) if a["selected"] else b["selection_value"] is None
+
+
+def test_pair_quantiles_never_gather_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    x[40:60] = x[0]  # one similarity stands often
+    x[70] *= 1e6  # nearly all pairs fall into few ranges
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    v = np.sort((x @ x.T)[np.triu_indices(90, 1)])
+    for few in (5, 100_000):
+        got = similarity.pair_quantiles(rows, few=few).first()
+        np.testing.assert_allclose(got, [v[0], *np.quantile(v, [0.5, 0.95, 0.99]), v[-1]], rtol=1e-9, atol=1e-9)
+    assert similarity.pair_quantiles(rows.limit(1)).first()["q50"] is None
+    two = similarity.pair_quantiles(rows.where("id < 2")).first()
+    np.testing.assert_allclose(two, [x[0] @ x[1]] * 5)
+
+
+def test_blocks_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    monkeypatch.setattr(similarity, "TILE", 100)
+    got = {(r["src"], r["dst"]) for r in similarity.threshold_edges(rows, 0.5).collect()}
+    assert got == {(i, j) for i in range(50) for j in range(i + 1, 50) if x[i] @ x[j] >= 0.5}
+    near = {r["id"]: r["neighbor"] for r in similarity.nearest(rows).collect()}
+    sim = x @ x.T
+    np.fill_diagonal(sim, -np.inf)
+    assert near == dict(enumerate(sim.argmax(1).tolist()))
