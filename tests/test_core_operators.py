@@ -614,3 +614,31 @@ def test_blocks_meet_in_tiles(spark, monkeypatch):
     sim = x @ x.T
     np.fill_diagonal(sim, -np.inf)
     assert near == dict(enumerate(sim.argmax(1).tolist()))
+
+
+@pytest.mark.parametrize("threshold", [-0.2, 0.0, 0.6, 0.999999])
+def test_threshold_components_of_repeated_vectors(spark, threshold):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, 5))
+    x = np.concatenate([np.repeat(x, 10, 0), x + rng.normal(size=x.shape) * 1e-7, np.zeros((3, 5)), rng.normal(size=(20, 5)) * 0.2])
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    x[:132] /= size[:132]
+    x[140] = 0.6 * x[0] / (x[0] @ x[0]) * (1 + 1e-9)  # at the threshold
+    x[141] = 0.6 * x[10] / (x[10] @ x[10]) * (1 - 1e-9)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    want = list(range(len(x)))
+    sim = x @ x.T
+    for _ in want:
+        want = [min(want[j] for j in range(len(x)) if j == i or sim[i, j] >= threshold) for i in range(len(x))]
+    got = {r["id"]: r["component"] for r in clustering.threshold_components(rows, threshold).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_repeated_vectors_make_few_edges(spark, monkeypatch):
+    seen = []
+    held = clustering.threshold_edges
+    monkeypatch.setattr(clustering, "threshold_edges", lambda v, t: (seen.append(v.count()), held(v, t))[1])
+    tracks = spark.range(600).selectExpr("id", "concat('v', id) video_name", "0 start_frame", "1 end_frame", "if(id % 2 = 0, array(1D, 0D), array(0D, 1D)) vector")
+    groups = clustering.constrained_clusters(tracks, 0.6)
+    assert {(r["group"], r["n"]) for r in groups.groupBy("group").agg(F.count("*").alias("n")).collect()} == {(0, 300), (1, 300)}
+    assert seen == [2]
