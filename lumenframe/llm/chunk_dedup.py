@@ -6,7 +6,8 @@ end has the least hash, the first of equals; it depends on the window's content
 anchors wherever they stand. Only anchors that stand in several documents go on: their occurrences, with
 all bytes of the windows they stand for, are extended to both sides against the first occurrence by exact
 comparison, and where there are more than two, windows that differ from the first meet each other by
-a 128-bit digest, beside the first occurrence or, where an anchor has several parts, over all of them. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
+a 128-bit digest, beside the first occurrence or, where an anchor has several parts, over all of them. There, occurrences
+with equal bytes are one class, whose windows go out once a part, and each occurrence gets its class's spans. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
 document, whichever that is; shorter chance repeats stay. A text below ``run`` bytes is one window and a
 repeat if an earlier document equals it. An anchor's occurrences are dealt out in parts of about ``PART``,
 each beside the first occurrence, so no anchor's occurrences meet in one task.
@@ -34,6 +35,7 @@ MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
 GRAM, PART = 32, 1024
 #: Spans that a task joins before it passes them on.
 HELD = 1 << 17
+MET = "doc_id long, begin int, stop int, source long, x long, y long, cx long, cy long, low int, last long, several boolean"
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -178,10 +180,15 @@ def _extender(run: int):
     """Spans that repeat an earlier occurrence and, of anchors with several parts, the windows that differ from the first.
 
     Rows are sorted by leading document, part and anchor, the leading document's occurrences first, then by
-    document. Spans come without a digest, windows with theirs.
+    document. Spans come without a digest, windows of a class with theirs (x, y), the class's (cx, cy), its first
+    document and occurrence in this part, its last document and whether it has several occurrences; their bounds
+    count from the occurrence. Occurrences come with the digest of their class alone.
     """
 
-    def spans(row: tuple, first: tuple[int, bytes], seen: dict[bytes, int], out: list) -> None:
+    def halves(digest: bytes) -> tuple[int, int]:
+        return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+
+    def spans(row: tuple, first: tuple[int, bytes], seen: dict[bytes, tuple], out: list, classes: dict, members: list) -> None:
         k, part, follows, doc, t, low, g, source, many, hot, ctx = row
         (sg, sctx), win, a, b = first, min(run, len(ctx)), 0, 0
         if g == sg and ctx == sctx:
@@ -191,14 +198,22 @@ def _extender(run: int):
             if right >= GRAM and left + right >= run:
                 a, b = g - left, g + right
         if b:
-            out.append((doc, low, a, b, source, None, ctx))
+            out.append((doc, low, a, b, source, ctx))
         if not many:
             return
+        if hot:
+            cut = (a, b) if b else (0, 0)
+            if cut[0] or b < len(ctx):  # else no window differs
+                name = xxhash.xxh3_128_digest(k.to_bytes(8, "little", signed=True) + g.to_bytes(4, "little") + ctx)
+                if name in classes:
+                    one = classes[name]  # perhaps of another part
+                    one[:4] = *min((one[0], one[1]), (doc, low)), max(one[2], doc), True
+                else:
+                    classes[name] = [doc, low, doc, False, ctx, *_window_keys(ctx, win, cut)]
+                members.append((doc, low, *halves(name)))
+            return
         held = None  # adjoining windows of one earlier document
         for w, key in zip(*_window_keys(ctx, win, (a, b) if b else (0, 0)), strict=True):
-            if hot:
-                out.append((doc, low, w, w + win, None, key, ctx))
-                continue
             earlier = seen.setdefault(key, (doc, low + w))
             if earlier == (doc, low + w):
                 continue
@@ -206,17 +221,34 @@ def _extender(run: int):
                 held[1] = w + win
                 continue
             if held:
-                out.append((doc, low, held[0], held[1], held[2], None, ctx))
+                out.append((doc, low, held[0], held[1], held[2], ctx))
             held = [w, w + win, earlier[0]]
         if held:
-            out.append((doc, low, held[0], held[1], held[2], None, ctx))
-
-    def table(doc, begin, stop, source, x, y) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc, begin, stop, source, x, y), kinds, strict=True)], ["doc_id", "begin", "stop", "source", "x", "y"])
+            out.append((doc, low, held[0], held[1], held[2], ctx))
+
+    def table(**columns) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        n = len(columns["doc_id"])
+        fields = [f.split() for f in MET.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(columns[f], kinds[k]) if f in columns else pa.nulls(n, kinds[k]) for f, k in fields], [f for f, _ in fields])
+
+    def known(classes: dict, members: list) -> Iterator[pa.RecordBatch]:
+        """What is held of hot anchors; a class that comes again goes out again."""
+        windows = []
+        for name, (doc, low, last, several, ctx, at, keys) in classes.items():
+            for w, key in zip(at, keys, strict=True):
+                x, y = _whole(ctx, w, w + min(run, len(ctx)))
+                if x < y:
+                    windows.append((doc, x, y, *halves(key), *halves(name), low, last, several))
+        if windows:
+            yield table(**dict(zip(("doc_id", "begin", "stop", "x", "y", "cx", "cy", "low", "last", "several"), zip(*windows, strict=True), strict=True)))
+        if members:
+            yield table(**dict(zip(("doc_id", "low", "cx", "cy"), zip(*members, strict=True), strict=True)))
+        classes.clear()
+        members.clear()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, seen, held = None, None, {}, []
+        now, first, seen, held, classes, members = None, None, {}, [], {}, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 found: list = []
@@ -224,19 +256,17 @@ def _extender(run: int):
                     if row[:2] != now:
                         now, first, seen = row[:2], (row[6], row[10]), {}
                     elif row[2] or not row[1]:  # the leading document's other occurrences meet in part 0
-                        spans(row, first, seen, found)
-                windows = []
-                for doc, low, a, b, source, key, ctx in found:
+                        spans(row, first, seen, found, classes, members)
+                for doc, low, a, b, source, ctx in found:
                     x, y = _whole(ctx, a, b)
-                    if x < y and key is None:
+                    if x < y:
                         held.append((doc, source, low + x, low + y))
-                    elif x < y:
-                        windows.append((doc, low + x, low + y, None, *(int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))))
-                if windows:
-                    yield table(*zip(*windows, strict=True))
+                if len(classes) >= 1 << 11 or len(members) >= HELD:
+                    yield from known(classes, members)
                 if len(held) >= HELD:
                     yield _joined(held, table)
                     held = []
+        yield from known(classes, members)
         if held:
             yield _joined(held, table)
 
@@ -252,8 +282,7 @@ def _joined(held: list[tuple[int, int, int, int]], table) -> pa.RecordBatch:
     reach = np.maximum.accumulate(stop + group)
     first = np.flatnonzero(np.concatenate([[True], begin[1:] + group[1:] > reach[:-1]]))
     last = np.append(first[1:], len(doc)) - 1
-    none = pa.nulls(len(first), pa.int64())
-    return table(doc[first], begin[first], reach[last] - group[last], source[first], none, none)
+    return table(doc_id=doc[first], begin=begin[first], stop=reach[last] - group[last], source=source[first])
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> DataFrame:
@@ -274,16 +303,25 @@ def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> Dat
     contexts = texts.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text", "wanted").mapInArrow(_contexts(run), CONTEXT)
     order = ("source", "part", "k", "follows", "doc_id", "t", "low")
     sorted_ = contexts.repartition("source", "part").sortWithinPartitions(*order)  # a text's contexts stay side by side
-    met = Staged(sorted_.mapInArrow(_extender(run), "doc_id long, begin int, stop int, source long, x long, y long"), "met").df
+    met = Staged(sorted_.mapInArrow(_extender(run), MET), "met").df
     docs.sparkSession._jvm.System.gc()  # shuffle files go with their plans
-    rest, key = met.where("x is not null"), ["x", "y"]
+    windows, key, name = met.where("x is not null"), ["x", "y"], ["cx", "cy"]
     if inside:
-        shared = rest.groupBy(key).agg(F.min(F.struct("doc_id", "begin")).alias("at"), F.count("*").alias("n")).where("n > 1").select(*key, F.col("at.doc_id").alias("first"), F.col("at.begin").alias("there"))
-        late = rest.join(shared, key).where("doc_id <> first or begin <> there")
+        place = F.struct("doc_id", (F.col("low") + F.col("begin")).alias("begin"))
+        shared = windows.groupBy(key).agg(F.min(place).alias("at"), F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 or several")
+        shared = shared.select(*key, F.col("at.doc_id").alias("first"), F.col("at.begin").alias("there"))
     else:
-        shared = rest.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-        late = rest.join(shared, key).where("doc_id <> first")
-    again = met.where("x is null").select("doc_id", "begin", "stop", "source").union(late.select("doc_id", "begin", "stop", F.col("first").alias("source")))
+        shared = windows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("last").alias("last")).where("first <> last").drop("last")
+    late = windows.select(*key, *name, "begin", "stop").join(shared, key)
+    late = late.withColumn("base", F.col("there") - F.col("begin") if inside else F.lit(0))  # where the first occurrence lies
+    by_class = Window.partitionBy(*name, "first", "base").orderBy("begin", "stop")
+    fresh = F.coalesce((F.max("stop").over(by_class.rowsBetween(Window.unboundedPreceding, -1)) < F.col("begin")).cast("int"), F.lit(1))
+    late = late.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_class))
+    late = late.groupBy(*name, "first", "base", "run").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"))
+    members = met.where("x is null and cx is not null").select("doc_id", "low", *name)
+    late = members.join(late, name).where("doc_id <> first or low <> base" if inside else "doc_id <> first")
+    late = late.select("doc_id", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"), F.col("first").alias("source"))
+    again = met.where("x is null and cx is null").select("doc_id", "begin", "stop", "source").union(late)
     again = again if inside else again.where("source <> doc_id")
     by_doc = Window.partitionBy("doc_id").orderBy("begin", "stop")
     before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -845,3 +845,38 @@ def test_chunk_dedup_finds_whole_repeats(spark):
     assert {n for n in truth if (truth[n] != got[n]).any()} == set()
     accents = spark.createDataFrame([(1, "é" + "ü" * 200 + "è"), (2, "ê" + "ü" * 200 + "ë")], "doc_id long, text string")
     assert [x["text"] for x in chunk_dedup.without_repeats(accents).orderBy("doc_id").collect()] == ["é" + "ü" * 200 + "è", "êë"]
+
+
+def test_shingle_slices_hold_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenframe.llm import textkit
+
+    texts = pa.array([f"{' '.join(str(i * k) for i in range(3000))}" for k in range(1, 180)])
+    assert texts.nbytes > 3 << 20
+    textkit._powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    tracemalloc.start()
+    for _ in textkit.shingled(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
+def test_chunk_dedup_windows_of_equal_occurrences_go_out_once(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(chunk_dedup, "PART", 50)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    text = " ".join(word() for _ in range(60))
+    first = text[:200] + "#" + text[201:]  # all others differ from the first and equal each other
+    rows = [(0, first), *((i, text + str(i)) for i in range(1, 301))]
+    staged = []
+    held = chunk_dedup.Staged
+    monkeypatch.setattr(chunk_dedup, "Staged", lambda df, name: staged.append(held(df, name)) or staged[-1])
+    got = {}
+    for s in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(s["doc_id"], set()).update(range(s["begin"], s["stop"]))
+    assert got == {k: set(np.flatnonzero(v).tolist()) for k, v in brute_repeats(rows).items() if v.any()}
+    assert staged[0].df.where("x is not null").count() < 5000
