@@ -432,7 +432,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         data, offsets = K.text_buffers(batch.column(0))
-        for lo, hi in K.row_slices(offsets):
+        for lo, hi in K.row_slices(offsets, 2 << 20):
             found = K.Words(data, offsets[lo : hi + 1])
             words, counts = np.unique(found.hash, return_counts=True)
             b, at = byte_stream(data, offsets[lo : hi + 1])
