@@ -32,95 +32,154 @@ from lumenframe.plans.staging import new_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-SLICE_BYTES = 6 << 20
-#: Pieces whose ids a worker keeps, those met lately.
-KNOWN, KNOWN_BYTES = 1_500_000, 64 << 20
+SLICE_BYTES = 2 << 20
+#: Pieces whose ids a worker keeps, those met lately, of at most 8 * WORDS bytes each.
+KNOWN, WORDS, SLOT_BITS = 1 << 19, 3, 21
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, before long, vocab long, doc_ids array<long>, starts binary, symbols binary, rules binary, lengths binary"
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 #: Texts that may break elsewhere than at each lone space and line feed.
 _ODD = f"{_BLANK}{_BLANK}|\\x00|^{_BLANK}"
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _breaks(data: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte: lone spaces, line feeds, and ASCII punctuation after a letter of ASCII or U+00C0 to U+00FF."""
+    byte = np.uint8
+    letter = (data | byte(0x20)) - byte(0x61) < 26
+    punct = (data - byte(0x21) < 94) & ~letter & ~(data - byte(0x30) < 10)
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] - byte(0x80) < 64) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out = (data == 0x20) | (data == 0x0A)
+    out[1:] |= punct[1:] & letter[:-1]
+    return out
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all runs, one after another."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(begins - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class Encoder:
     """Ids of whole texts. Pieces are encoded once while they are known, and new ones all in one string.
 
-    A byte-level pre-tokenizer always breaks before a lone space or line feed, so the pieces between encode
-    alike wherever they stand, and the ids of a string of pieces fall apart at their bytes. Texts with other
-    white space than that, and all texts of other kinds of tokenizer, are encoded one by one.
+    A byte-level pre-tokenizer always breaks before a lone space or line feed, and between a letter and a
+    punctuation mark, so the pieces between encode alike wherever they stand, and the ids of a string of pieces fall
+    apart at their bytes. Texts with other white space than that or with a special token, and all texts of other
+    kinds of tokenizer, are encoded one by one. A piece is known by all its bytes, as ``WORDS`` numbers; longer
+    pieces are encoded whenever they come.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.vocab = tokenizer, tokenizer.get_vocab_size()
         kind = json.loads(tokenizer.to_str())
         pre, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
-        fixed = [t["content"] for t in added]
+        self.fixed = [t["content"] for t in added]
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind.get("normalizer") is None
         self.pieces &= not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or len(t["content"].split()) != 1 for t in added)
         names = [tokenizer.id_to_token(i) or "" for i in range(self.vocab)]
-        self.known, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.last, self.now = np.zeros(0, np.int64), 0
-        self.bytes = np.array([len(n.encode()) if n in fixed else len(n) for n in names], np.int64)
+        self.known, self.ids, self.at = np.zeros((1, WORDS), np.uint64), np.zeros(0, np.uint32), np.zeros(2, np.int64)  # none is all zeros
+        self.slots, self.last, self.now = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1, np.int32), 0
+        self.bytes = np.array([len(n.encode()) if n in self.fixed else len(n) for n in names], np.int64)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _find(self, pieces: pa.Array) -> np.ndarray:
-        """Places of distinct pieces among the known ones, after learning those that are new."""
+    @staticmethod
+    def _hash(words: np.ndarray) -> np.ndarray:
+        h = words[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(1, WORDS):
+            h ^= h >> np.uint64(32)
+            h += words[:, k]
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(29)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _forget(self) -> None:
+        stay = np.append(0, 1 + np.sort(np.argsort(-self.last[1:], kind="stable")[: KNOWN // 2]))
+        n = np.diff(self.at)[stay]
+        self.ids, self.known, self.last = self.ids[_runs(self.at[stay], n)], self.known[stay], self.last[stay]
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.slots[:] = 0
+        self.slots[self._slot(self._hash(self.known[1:]))] = np.arange(1, len(stay))
+
+    def _find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each piece, ids, offsets of the places' ids) after learning new pieces; 8 * WORDS zeros follow the data."""
         self.now += 1
-        if len(self.known) > KNOWN or self.known.nbytes > KNOWN_BYTES:
-            stay = np.sort(np.argsort(-self.last, kind="stable")[: KNOWN // 2])
-            if self.known.nbytes > KNOWN_BYTES:
-                stay = stay[:0]
-            n = np.diff(self.at)[stay]
-            self.ids = self.ids[np.repeat(self.at[:-1][stay] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            self.known, self.at, self.last = self.known.take(pa.array(stay)), np.concatenate([[0], np.cumsum(n)]), self.last[stay]
-        spot = pc.index_in(pieces, value_set=self.known)
-        fresh = spot.is_null().to_numpy(zero_copy_only=False)
-        spot = pc.fill_null(spot, 0).to_numpy().astype(np.int64)
-        if fresh.any():
-            new = pieces.filter(pa.array(fresh))
-            ids, at = self._distinct(new)
-            spot[fresh] = len(self.known) + np.arange(len(new))
-            self.known, self.ids, self.at = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.last = np.concatenate([self.last, np.zeros(len(new), np.int64)])
+        if len(self.known) > KNOWN:
+            self._forget()
+        words, view = np.zeros((len(starts), WORDS), np.uint64), np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        words[:, 0] = view[starts] & _MASKS.take(np.minimum(sizes, 8))
+        for k in range(1, WORDS):
+            more = np.flatnonzero(sizes > 8 * k)
+            words[more, k] = view[starts[more] + 8 * k] & _MASKS.take(np.minimum(sizes[more] - 8 * k, 8))
+        h, long = self._hash(words), sizes > 8 * WORDS
+        spot = self.slots.take(self._slot(h)).astype(np.int64)
+        there, fresh = self.known.take(spot, axis=0), long.copy()
+        for k in range(WORDS):
+            fresh |= there[:, k] != words[:, k]
         self.last[spot] = self.now
-        return spot
-
-    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of distinct pieces; those that don't open with a space or line feed get one that is dropped."""
-        bare = pc.invert(pc.match_substring_regex(pieces, "^[ \n]"))
-        lead, none = (pa.scalar(x, pieces.type) for x in ("\n", ""))
-        led = pc.binary_join_element_wise(pc.if_else(bare, lead, none), pieces, none)
-        texts, ids = led.to_pylist(), []
-        for i in range(0, len(texts), 20_000):
-            ids += self.raw(["".join(texts[i : i + 20_000])])
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        stops, ends = np.cumsum(pc.binary_length(led).to_numpy().astype(np.int64)), np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        if not fresh.any():
+            return spot, self.ids, self.at
+        new = np.flatnonzero(fresh & ~long)
+        new = new[np.argsort(h[new], kind="stable")]
+        change = np.ones(len(new), bool)
+        change[1:] = (words[new[1:]] != words[new[:-1]]).any(1)
+        one, long = new[change], np.flatnonzero(long)  # long pieces follow, and aren't kept
+        both = np.concatenate([one, long])
+        ids, at = self._distinct(data, starts[both], sizes[both])
+        spot[new], spot[long] = len(self.known) - 1 + np.cumsum(change), len(self.known) + len(one) + np.arange(len(long))
+        ids, at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        self.slots[self._slot(h[one])] = len(self.known) + np.arange(len(one))
+        self.known, self.last = np.concatenate([self.known, words[one]]), np.concatenate([self.last, np.full(len(one), self.now, np.int32)])
+        self.at = at[: len(self.known) + 1]
+        self.ids = ids[: self.at[-1]]
+        return spot, ids, at
+
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces; those that don't open with a space or line feed get one that is dropped."""
+        bare = (data[starts] != 0x20) & (data[starts] != 0x0A)
+        led = sizes + bare
+        stops = np.cumsum(led)
+        joined = data[_runs(starts - bare, led)]
+        joined[(stops - led)[bare]] = 0x0A
+        edges, ids = [0, *stops[199:-1:200].tolist(), len(joined)], []
+        for i in range(0, len(edges) - 1, 100):  # short strings keep the library's tables of places small
+            part = edges[i : i + 101]
+            ids += self.raw([joined[a:z].tobytes().decode() for a, z in zip(part[:-1], part[1:], strict=True)])
+        ids = np.concatenate(ids)
+        ends = np.concatenate([[0], np.cumsum(self.bytes[ids])])
         cut = np.concatenate([[0], np.searchsorted(ends, stops)])
-        if not (ends[cut[1:]] == stops).all():
-            parts = self.raw(pieces.to_pylist())
+        if not (ends[np.minimum(cut[1:], len(ends) - 1)] == stops).all():
+            parts = self.raw([data[a : a + n].tobytes().decode() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         keep = np.ones(len(ids), bool)
-        keep[cut[:-1][bare.to_numpy(zero_copy_only=False)]] = False
+        keep[cut[:-1][bare]] = False
         return ids[keep], np.concatenate([[0], np.cumsum(keep)])[cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids a text)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.pieces else np.ones(len(texts), bool)
+        for token in self.fixed:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         counts, alone = np.zeros(len(texts), np.int64), self.raw(texts.filter(pa.array(odd)).to_pylist())
         counts[odd] = [len(x) for x in alone]
-        plain = texts.filter(pa.array(~odd))
-        flat = np.zeros(0, np.uint32)
-        if len(plain):
-            marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n")
-            lists = pc.split_pattern(marked, "\x00")
-            coded = lists.values.dictionary_encode()
-            which = self._find(coded.dictionary)[coded.indices.to_numpy()]
-            n = np.diff(self.at)[which]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            flat = self.ids[np.repeat(self.at[which] - ends[:-1], n) + np.arange(ends[-1])]
-            counts[~odd] = np.diff(ends[lists.offsets.to_numpy()])
+        plain = texts if not odd.any() else texts.filter(pa.array(~odd))
+        flat, (data, offsets) = np.zeros(0, np.uint32), text_buffers(plain)
+        n = int(offsets[-1] - offsets[0])
+        if n:
+            data, offsets = np.concatenate([data[offsets[0] : offsets[-1]], np.zeros(8 * WORDS, np.uint8)]), offsets - offsets[0]
+            begins = _breaks(data)
+            begins[offsets[:-1]] = True
+            starts = np.flatnonzero(begins[:n])
+            which, ids, at = self._find(data, starts, np.diff(np.append(starts, n)))
+            sizes = np.diff(at)[which]
+            flat = ids[_runs(at[which], sizes)]
+            counts[~odd] = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)])
         if not alone:
             return flat, counts
         out, first = np.empty(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
@@ -140,31 +199,50 @@ def load_encoder(path: str) -> Encoder:
     return Encoder(Tokenizer.from_file(path))
 
 
-def _frequent(code: np.ndarray, level: int) -> np.ndarray:
-    """The distinct pairs that stand ``level`` times or more, in order."""
-    ordered = np.sort(code)
-    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return ordered[cuts[np.diff(np.append(cuts, len(ordered))) >= level]]
-
-
-def _replace(s: np.ndarray, may: np.ndarray, code: np.ndarray, chosen: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
-    """``s`` with the ``chosen`` pairs among those at the places ``may`` replaced, left to right; which pairs became rules."""
-    which = np.searchsorted(chosen, code)
-    which[which == len(chosen)] = 0
-    hit = chosen[which] == code
-    at, which = may[hit], which[hit]
-    fresh = np.concatenate([[True], np.diff(at) != 1])
+def _frequent(s: np.ndarray, may: np.ndarray, level: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order, which pair stands there, the pairs in order) of those that stand ``level`` times or more among ``may``."""
+    left, right = s.take(may).astype(np.uint64), s.take(may + 1).astype(np.uint64)
+    wide, deep = np.uint64(symbols.bit_length()), np.uint64(len(may).bit_length())
+    if 2 * wide + deep <= 64:  # pair and place in one number
+        code = (left << wide) | right
+        packed = np.sort((code << deep) | np.arange(len(may), dtype=np.uint64))
+        code, order = packed >> deep, (packed & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int64)
+    else:
+        wide = np.uint64(32)
+        code = (left << wide) | right
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(code)))
+    often = n >= level
+    which = np.full(len(may), -1, np.int32)
+    which[order[np.repeat(often, n)]] = np.repeat(np.arange(int(often.sum()), dtype=np.int32), n[often])
+    chosen = code[first[often]]
+    hit = np.flatnonzero(which >= 0)
+    return may[hit], which[hit], np.stack([chosen >> wide, chosen & ((np.uint64(1) << wide) - np.uint64(1))], 1).astype(np.uint32)
+
+
+def _replace(s: np.ndarray, at: np.ndarray, which: np.ndarray, pairs: int, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``s`` with the pairs ``which`` at the places ``at`` replaced, left to right; which pairs became rules; places kept back."""
+    hits, fresh = at, np.concatenate([[True], np.diff(at) != 1])
     index = np.arange(len(at))
     odd = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1
     at, which = at[odd == 0], which[odd == 0]
-    good = np.bincount(which, minlength=len(chosen)) >= 2
+    good = np.bincount(which, minlength=pairs) >= 2
     kept = good[which]
     at, which = at[kept], which[kept]
     out = s.copy()
     out[at] = (np.cumsum(good) - 1 + name)[which]
     stay = np.ones(len(s), bool)
     stay[at + 1] = False
-    return out[stay], good
+    gone = np.zeros(len(s), bool)
+    gone[at] = True
+    kept = hits[stay[hits] & ~gone[hits]]
+    return out[stay], good, kept - np.searchsorted(at, kept)
+
+
+def _lower(level: int) -> int:
+    return max(2, level >> (2 if level > 64 else 1))
 
 
 def repair(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,37 +250,40 @@ def repair(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
     A round takes all pairs with at least ``level`` occurrences, and the level falls from round to round, to a
     quarter above 64 and to a half below, down to 2. There, rounds go on over the pairs that hold a symbol just made, as no other count can have
-    risen, and over all pairs again where overlaps may have kept some back, until nothing is left. Rules are
+    risen, and over those that overlaps kept back, and over all pairs again until nothing is left. Rules are
     rows (left, right); rule i is symbol ``vocab + i``.
     """
     s, rules, sizes = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
     level, made, everywhere = max(2, 1 << len(s).bit_length() >> 3), vocab, True
     while len(s) > 1:
         if everywhere:
-            bits = min(20, max(8, (8 * len(s) // level).bit_length()))
+            bits = min(20, max(min(16, len(s).bit_length()), (8 * len(s) // level).bit_length()))
             spot = s[:-1] * np.uint32(0x9E3779B1)
             spot += s[1:]
             spot *= np.uint32(0x85EBCA6B)
             spot >>= np.uint32(32 - bits)
+            spot = spot.astype(np.int64)
             most = np.bincount(spot, minlength=1 << bits)  # no pair has more than its bucket
-            may = np.flatnonzero((most >= level)[spot])
+            while level > 2 and not (most >= level).any():
+                level = _lower(level)
+            may = np.flatnonzero((most >= level).take(spot))
         else:
             new = s >= made
-            may = np.flatnonzero(new[:-1] | new[1:])
-        code = (s[may].astype(np.uint64) << np.uint64(32)) | s[may + 1]
-        chosen = _frequent(code, level)
-        shorter, good = _replace(s, may, code, chosen, len(sizes)) if len(chosen) else (s, np.zeros(0, bool))
+            new[:-1] |= new[1:]
+            new[left] = True
+            may = np.flatnonzero(new[:-1])
+        at, which, pairs = _frequent(s, may, level, len(sizes))
+        shorter, good, left = _replace(s, at, which, len(pairs), len(sizes)) if len(pairs) else (s, np.zeros(0, bool), None)
         if good.any():
-            pair = np.stack([(chosen[good] >> np.uint64(32)).astype(np.uint32), chosen[good].astype(np.uint32)], 1)
-            rules.append(pair)
+            rules.append(pairs[good])
             s, made = shorter, len(sizes)
-            sizes = np.concatenate([sizes, sizes[pair].sum(1)])
+            sizes = np.concatenate([sizes, sizes[pairs[good]].sum(1)])
             everywhere = level > 2
         elif level == 2 and everywhere:
             break
         else:
             everywhere = True
-        level = max(2, level >> (2 if level > 64 else 1))
+        level = _lower(level)
     return s, np.concatenate(rules), sizes[vocab:]
 
 
@@ -226,13 +307,8 @@ class Grammar:
 
     def __init__(self, symbols: bytes, rules: bytes, lengths: bytes, vocab: int):
         self.vocab, self.symbols, self.rules = vocab, from_planes(symbols), from_planes(rules).reshape(-1, 2)
-        self.lengths = from_planes(lengths)
-        self.ends = np.cumsum(self._sizes(self.symbols))
-
-    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out, made = np.ones(len(symbols), np.int64), symbols >= self.vocab
-        out[made] = self.lengths[symbols[made] - self.vocab]
-        return out
+        self.sizes = np.concatenate([np.ones(vocab, np.int64), from_planes(lengths)])
+        self.ends = np.cumsum(self.sizes.take(self.symbols))
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         total = int(self.ends[-1]) if len(self.ends) else 0
@@ -241,16 +317,20 @@ class Grammar:
         if stop <= start:
             return out
         lo, hi = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, stop, "left")) + 1
-        sym, size = self.symbols[lo:hi], self._sizes(self.symbols[lo:hi])
-        at = self.ends[lo:hi] - size - start
+        sym = self.symbols[lo:hi]
+        at = self.ends[lo:hi] - self.sizes.take(sym) - start
         while len(sym):  # one level of all rules at once, each at its place
             leaf = sym < self.vocab
             out[at[leaf]] = sym[leaf]
-            pair, at = self.rules[sym[~leaf] - self.vocab], at[~leaf]
-            size = self._sizes(pair.ravel()).reshape(-1, 2)
-            sym, at = pair.ravel(), np.stack([at, at + size[:, 0]], 1).ravel()
-            inside = (at < len(out)) & (at + size.ravel() > 0)
-            sym, at = sym[inside], at[inside]
+            deep = np.flatnonzero(~leaf)
+            pair = self.rules.take(sym.take(deep) - self.vocab, axis=0)
+            place = np.empty(pair.shape, np.int64)
+            place[:, 0] = at.take(deep)
+            np.add(place[:, 0], self.sizes.take(pair[:, 0]), out=place[:, 1])
+            sym, at = pair.ravel(), place.ravel()
+            if len(out) < total:
+                inside = (at < len(out)) & (at + self.sizes.take(sym) > 0)
+                sym, at = sym[inside], at[inside]
         return out
 
 

@@ -880,3 +880,24 @@ def test_chunk_dedup_windows_of_equal_occurrences_go_out_once(spark, monkeypatch
         got.setdefault(s["doc_id"], set()).update(range(s["begin"], s["stop"]))
     assert got == {k: set(np.flatnonzero(v).tolist()) for k, v in brute_repeats(rows).items() if v.any()}
     assert staged[0].df.where("x is not null").count() < 5000
+
+
+def test_pieces_break_at_punctuation_and_long_ones_are_not_kept():
+    """Ids equal the library's around all marks and letters; pieces of equal words share one entry."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, coder, r = Tokenizer.from_file(path), token_shards.Encoder(Tokenizer.from_file(path)), random.Random(5)
+    marks = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "'s", "'ll", "é", "ß", "×", "÷", "ÿ", "…", "́", "ñ.", "<|endoftext|>", "Ω", "字", "7", " ", "\n", "ab", "Zz", "x" * 30]
+    texts = ["".join(r.choices(marks, k=r.randrange(1, 30))) for _ in range(3000)] + ["word, word. word; word", "a" * 24, "a" * 25, "a" * 5000, "", None]
+    for lo in range(0, len(texts), 500):
+        ids, counts = coder.encode(pa.array(texts[lo : lo + 500], pa.string()))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts[lo : lo + 500]]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    few = token_shards.Encoder(Tokenizer.from_file(path))
+    few.encode(pa.array(["so far, so good", "it is so. " + "y" * 99]))
+    n = len(few.known)
+    few.encode(pa.array(["so, so good; so far... " + "y" * 98, "it: so"]))
+    assert len(few.known) == n + 3  # the marks that are new; words are known whatever follows them, and long pieces aren't kept
