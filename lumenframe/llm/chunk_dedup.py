@@ -7,7 +7,9 @@ anchors wherever they stand. Only anchors that stand in several documents go on:
 all bytes of the windows they stand for, are extended to both sides against the first occurrence by exact
 comparison, and where there are more than two, windows that differ from the first meet each other by
 a 128-bit digest, beside the first occurrence or, where an anchor has several parts, over all of them. There, occurrences
-with equal bytes are one class, whose windows go out once a part, and each occurrence gets its class's spans. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
+with equal bytes are one class, whose windows go out once a part. Windows of one anchor all hold its gram, so a class has one
+span, with all documents where its windows stand first, and each occurrence gets that one row. Of the class's first occurrence
+alone, windows may stand first in itself; it gets the span of the others. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
 document, whichever that is; shorter chance repeats stay. A text below ``run`` bytes is one window and a
 repeat if an earlier document equals it. An anchor's occurrences are dealt out in parts of about ``PART``,
 each beside the first occurrence, so no anchor's occurrences meet in one task.
@@ -285,6 +287,28 @@ def _joined(held: list[tuple[int, int, int, int]], table) -> pa.RecordBatch:
     return table(doc_id=doc[first], begin=begin[first], stop=reach[last] - group[last], source=source[first])
 
 
+def _class_spans(met: DataFrame, inside: bool) -> DataFrame:
+    """(doc_id, begin, stop, source, sources): at most one row an occurrence, the span of its class and where its windows stand first."""
+    windows, key, name = met.where("x is not null"), ["x", "y"], ["cx", "cy"]
+    if inside:
+        place = F.struct("doc_id", (F.col("low") + F.col("begin")).alias("begin"))
+        shared = windows.groupBy(key).agg(F.min(place).alias("at"), F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 or several")
+        shared = shared.select(*key, F.col("at.doc_id").alias("first"), F.col("at.begin").alias("there"))
+    else:
+        shared = windows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("last").alias("last")).where("first <> last").drop("last")
+    late = windows.select(*key, *name, "doc_id", F.col("low") if inside else F.lit(0).alias("low"), "begin", "stop").join(shared, key)
+    late = late.withColumn("base", F.col("there") - F.col("begin") if inside else F.lit(0))  # where the first occurrence lies
+    late = late.groupBy(*name, "first", "base").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.min(F.struct("doc_id", "low")).alias("head"))
+    late = late.groupBy(*name).agg(F.min("head").alias("head"), F.collect_list(F.struct("first", "base", "begin", "stop")).alias("all"))
+    late = late.withColumn("less", F.filter("all", lambda s: (s["first"] != F.col("head.doc_id")) | (s["base"] != F.col("head.low"))))
+    both = [F.struct(F.array_min(f"{c}.begin").alias("begin"), F.array_max(f"{c}.stop").alias("stop"), F.array_distinct(f"{c}.first").alias("sources")).alias(c) for c in ("all", "less")]
+    late = late.select(*name, "head", *both)
+    members = met.where("x is null and cx is not null").select("doc_id", "low", *name).join(late, name)
+    leads = (F.col("doc_id") == F.col("head.doc_id")) & ((F.col("low") == F.col("head.low")) if inside else F.lit(True))
+    late = members.select("doc_id", "low", F.when(leads, F.col("less")).otherwise(F.col("all")).alias("span")).where("span.begin is not null")
+    return late.select("doc_id", (F.col("low") + F.col("span.begin")).alias("begin"), (F.col("low") + F.col("span.stop")).alias("stop"), F.lit(None).cast("long").alias("source"), "span.sources")
+
+
 def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> DataFrame:
     """(doc_id, begin, stop, first_docs): byte spans that repeat text of a document before.
 
@@ -305,28 +329,13 @@ def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> Dat
     sorted_ = contexts.repartition("source", "part").sortWithinPartitions(*order)  # a text's contexts stay side by side
     met = Staged(sorted_.mapInArrow(_extender(run), MET), "met").df
     docs.sparkSession._jvm.System.gc()  # shuffle files go with their plans
-    windows, key, name = met.where("x is not null"), ["x", "y"], ["cx", "cy"]
-    if inside:
-        place = F.struct("doc_id", (F.col("low") + F.col("begin")).alias("begin"))
-        shared = windows.groupBy(key).agg(F.min(place).alias("at"), F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 or several")
-        shared = shared.select(*key, F.col("at.doc_id").alias("first"), F.col("at.begin").alias("there"))
-    else:
-        shared = windows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("last").alias("last")).where("first <> last").drop("last")
-    late = windows.select(*key, *name, "begin", "stop").join(shared, key)
-    late = late.withColumn("base", F.col("there") - F.col("begin") if inside else F.lit(0))  # where the first occurrence lies
-    by_class = Window.partitionBy(*name, "first", "base").orderBy("begin", "stop")
-    fresh = F.coalesce((F.max("stop").over(by_class.rowsBetween(Window.unboundedPreceding, -1)) < F.col("begin")).cast("int"), F.lit(1))
-    late = late.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_class))
-    late = late.groupBy(*name, "first", "base", "run").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"))
-    members = met.where("x is null and cx is not null").select("doc_id", "low", *name)
-    late = members.join(late, name).where("doc_id <> first or low <> base" if inside else "doc_id <> first")
-    late = late.select("doc_id", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"), F.col("first").alias("source"))
-    again = met.where("x is null and cx is null").select("doc_id", "begin", "stop", "source").union(late)
-    again = again if inside else again.where("source <> doc_id")
+    again = met.where("x is null and cx is null").select("doc_id", "begin", "stop", "source", F.lit(None).cast("array<long>").alias("sources"))
+    again = (again if inside else again.where("source <> doc_id")).union(_class_spans(met, inside))
     by_doc = Window.partitionBy("doc_id").orderBy("begin", "stop")
     before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = again.withColumn("fresh", F.coalesce((before < F.col("begin")).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(by_doc))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("begin").cast("long").alias("begin"), F.max("stop").cast("long").alias("stop"), F.array_sort(F.collect_set("source")).alias("first_docs"))
+    sources = F.array_sort(F.array_distinct(F.concat(F.collect_set("source"), F.flatten(F.collect_set("sources")))))
+    spans = runs.groupBy("doc_id", "run").agg(F.min("begin").cast("long").alias("begin"), F.max("stop").cast("long").alias("stop"), sources.alias("first_docs"))
     return spans.select("doc_id", "begin", "stop", "first_docs")
 
 

@@ -901,3 +901,27 @@ def test_pieces_break_at_punctuation_and_long_ones_are_not_kept():
     n = len(few.known)
     few.encode(pa.array(["so, so good; so far... " + "y" * 98, "it: so"]))
     assert len(few.known) == n + 3  # the marks that are new; words are known whatever follows them, and long pieces aren't kept
+
+
+def test_chunk_dedup_gives_an_occurrence_its_class_once(spark, monkeypatch):
+    """Windows that stand first in many documents don't multiply the occurrences of a class."""
+    rng = random.Random(21)
+    monkeypatch.setattr(chunk_dedup, "PART", 40)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(30)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(30), 2):
+            w[k] = w[k][:3] + rng.choice("XY") + w[k][4:]
+        rows.append((i, " ".join(w)))
+    staged = []
+    held = chunk_dedup.Staged
+    monkeypatch.setattr(chunk_dedup, "Staged", lambda df, name: staged.append(held(df, name)) or staged[-1])
+    got = {}
+    for s in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(s["doc_id"], set()).update(range(s["begin"], s["stop"]))
+    assert got == {k: set(np.flatnonzero(v).tolist()) for k, v in brute_repeats(rows).items() if v.any()}
+    members = staged[0].df.where("x is null and cx is not null").count()
+    late = chunk_dedup._class_spans(staged[0].df, False)
+    made = late.selectExpr("count(*) AS n", "sum(size(sources)) AS firsts").first()
+    assert 0 < made["n"] <= members < made["firsts"]  # a row for each of them would be more rows than occurrences
