@@ -44,7 +44,7 @@ LEAST_BITS, MAX_BITS, BLOCKS, GROUP, CLASSES = 16, 22, 256, 64, 64
 #: Bits of a number in a packed tally, beside 31 of a context, 6 of a class and 8 of a byte.
 PACKED = 19
 
-SLICE = 1 << 17
+SLICE, BLOCK = 1 << 18, 1 << 13
 END_BYTE = 0xFF
 HEAD = 1 << 19
 END_TOKEN = 0x0E4D
@@ -63,6 +63,14 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, ends
 
 
+def spread(size: np.ndarray) -> np.ndarray:
+    """The row that each of its ``size`` entries belongs to; no size is 0."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    out[ends[:-1]] = 1
+    return np.cumsum(out, out=out)
+
+
 class Code:
     """Huffman codes of a byte after each class of byte: the decisions (tree node, bit) that spell it.
 
@@ -82,7 +90,7 @@ class Code:
         self.size = np.array([len(path) for paths in lists for path in paths], np.int32)
         self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
         node, bit = np.array([d for paths in lists for path in paths for d in path], np.int64).T
-        self.bit = bit.astype(U32)
+        self.bit, self.sign = bit.astype(U32), (1 - 2 * bit).astype(np.float32)
         self.node = (K.mix(node.astype(K.U) * K.BASE) >> K.U(41)).astype(U32)  # below the bits that name a block
 
     @staticmethod
@@ -115,7 +123,7 @@ class Code:
         """(place in the code's lists of every decision, decisions of each byte)."""
         size = self.size.take(symbols)
         ends = np.cumsum(size, dtype=np.int64)
-        out = np.repeat((self.first.take(symbols) - (ends - size)).astype(np.int32), size)
+        out = (self.first.take(symbols) - (ends - size)).astype(np.int32).take(spread(size))
         out += np.arange(len(out), dtype=np.int32)
         return out, size
 
@@ -123,17 +131,23 @@ class Code:
 def context_hashes(b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """A 31-bit hash for each byte and context, of what stands before the byte in its text."""
     n, heads = len(b), at[:-1]
-    place = np.arange(n) - np.repeat(heads, np.diff(at))
-    wide, out = b.astype(K.U) + K.U(1), []
-    past = np.zeros(n, K.U)
-    for k in range(1, max(ORDERS) + 1):
-        now = np.zeros(n, K.U)
-        now[k:] = wide[:-k]
-        now[place < k] = 0  # nothing of the text before
-        past += now << K.U(9 * (k - 1))
-        if k in ORDERS:
-            out.append(K.mix(past * K.BASE + K.U(k)))
-    starts = np.unique(np.concatenate([heads, np.flatnonzero(K._SPACE[b[:-1]]) + 1]))
+    wide, past = b.astype(K.U) + K.U(1), [np.zeros(n, K.U)]
+    past[0][1:] = wide[:-1]
+    past[0][2:] += wide[:-2] << K.U(9)
+    for k, order in enumerate(ORDERS[1:], 1):  # each is the one before and two bytes more
+        past.append(past[-1].copy())
+        past[k][order - 2 :] += past[0][: n - order + 2] << K.U(9 * (order - 2))
+    length = np.diff(at)
+    for d in range(max(ORDERS)):  # nothing of the text before
+        early = heads[length > d] + d
+        for k, order in enumerate(ORDERS):
+            if d < order:
+                past[k][early] &= K.U((1 << 9 * d) - 1)
+    out = [K.mix(p * K.BASE + K.U(order)) for p, order in zip(past, ORDERS, strict=True)]
+    opens = np.zeros(n + 1, bool)
+    opens[1:] = K._SPACE.take(b)
+    opens[heads] = True
+    starts = np.flatnonzero(opens[:n])
     power, inverse = K.powers(n + 1)
     sums = np.zeros(n + 1, K.U)
     np.cumsum(wide * power[:n], out=sums[1:])
@@ -195,10 +209,14 @@ def _counter(code: Code):
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(0))
             for lo, hi in K.row_slices(offsets, 1 << 20):
-                b, at = byte_stream(data, offsets[lo : hi + 1])
-                symbols = code.symbols(b, at).astype(K.U)
-                for kind, context in enumerate(context_hashes(b, at)):
-                    held[kind].add(_tally((context.astype(K.U) << K.U(14)) | symbols))
+                keys = [[] for _ in range(CONTEXTS)]
+                for first, last in K.row_slices(offsets[lo : hi + 1], SLICE // 2):
+                    b, at = byte_stream(data, offsets[lo + first : lo + last + 1])
+                    symbols = code.symbols(b, at).astype(K.U)
+                    for kind, context in enumerate(context_hashes(b, at)):
+                        keys[kind].append((context.astype(K.U) << K.U(14)) | symbols)
+                for kind, one in enumerate(keys):
+                    held[kind].add(_tally(np.concatenate(one)))
         group = TaskContext.get().partitionId() // GROUP
         for kind, one in enumerate(held):
             packed = one.whole()
@@ -303,49 +321,61 @@ class Model:
 
     def __init__(self, code: Code, tables: list[np.ndarray]):
         self.code, self.tables = code, tables
-        both = np.arange(1 << 16)
-        self.zeros, self.ones = LEVELS[both & 255].astype(np.float32), LEVELS[both >> 8].astype(np.float32)
-        total = self.zeros + self.ones
+        both = np.arange((1 << 16) + 1)
+        both[-1] = 0  # one more entry, of a context that a slot doesn't hold
+        zeros, ones = LEVELS[both & 255].astype(np.float32), LEVELS[both >> 8].astype(np.float32)
+        total = zeros + ones
         self.seen = ((total > 0).astype(np.uint8) + (total > 3) + (total > 30)).astype(np.uint8)
-
-    def predict(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(logits [contexts but the shortest, decisions], gate and bit of each decision, decisions of each byte)."""
-        places, size = self.code.spell(self.code.symbols(b, at))
-        node, m = self.code.node.take(places), len(places)
-        z, gate, p = np.empty((CONTEXTS - 1, m), np.float32), np.zeros(m, np.uint8), None
-        for c, context in enumerate(context_hashes(b, at)):
+        self.ones, self.zeros = ones, [zeros + np.float32(s) for s in PRIOR]  # with the prior's counts
+        half = np.float32(PRIOR[0]) / 2
+        odds = np.clip((ones + half) / (zeros + half), np.float32(LEAST_ODDS), np.float32(1 / LEAST_ODDS))
+        self.shortest = odds / (odds + 1)
+
+    def predict(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits against what came [contexts but the shortest, decisions], gate of each decision, decisions of each byte)."""
+        symbols, contexts = self.code.symbols(b, at), context_hashes(b, at)
+        size = self.code.size.take(symbols)
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        m = int(ends[-1])
+        z, gate = np.empty((CONTEXTS - 1, m), np.float32), np.zeros(m, np.uint8)
+        for lo in range(0, len(b), BLOCK):  # what a block needs stays near the processor
+            some = slice(lo, min(lo + BLOCK, len(b)))
+            where = slice(int(ends[lo]), int(ends[some.stop]))
+            self._predict(symbols[some], [h[some] for h in contexts], z[:, where], gate[where])
+        return z, gate, size
+
+    def _predict(self, symbols: np.ndarray, contexts: list[np.ndarray], z: np.ndarray, gate: np.ndarray) -> None:
+        places, size = self.code.spell(symbols)
+        node, sign, row, p = self.code.node.take(places), self.code.sign.take(places), spread(size), None
+        for c, context in enumerate(contexts):
             table = self.tables[c]
-            h = np.repeat(context, size)
+            h = context.take(row)
             h ^= node
-            entry = table.take(h >> U32(32 - len(table).bit_length()))
-            h ^= entry >> U32(16)
-            entry &= U32(0xFFFF)
-            entry *= (h & U32(0xFFFF)) == 0
+            entry = table.take((h >> U32(32 - len(table).bit_length())).astype(np.int64))
+            h <<= U32(16)
+            entry ^= h  # the counts alone, if the check bits agree
+            entry = np.minimum(entry, U32(1 << 16)).astype(np.int64)
             if c >= CONTEXTS - 2:
                 gate *= np.uint8(4)
                 gate += self.seen.take(entry)
-            zero, one = self.zeros.take(entry), self.ones.take(entry)
-            strength = np.float32(PRIOR[c])
             if p is None:
-                one += strength / 2
-                zero += strength / 2
-            else:
-                p *= strength
-                one += p
-                zero += strength
-                zero -= p
+                p = self.shortest.take(entry)
+                continue
+            p *= np.float32(PRIOR[c])
+            zero, one = self.zeros[c].take(entry), self.ones.take(entry)
+            one += p
+            zero -= p
             one /= zero
             np.clip(one, np.float32(LEAST_ODDS), np.float32(1 / LEAST_ODDS), out=one)
-            if c:
-                np.log(one, out=z[c - 1])
+            np.log(one, out=z[c - 1])
+            z[c - 1] *= sign
             if c < CONTEXTS - 1:
                 p = one / (one + 1)
-        return z, gate, self.code.bit.take(places), size
 
     def bits(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text of a byte stream under the mixed predictors; texts advance side by side."""
         texts = len(at) - 1
-        z, gate, bit, size = self.predict(b, at)
+        z, gate, size = self.predict(b, at)
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at]
         length = np.diff(ends)
         order = np.argsort(-length, kind="stable")
@@ -370,16 +400,11 @@ class Model:
                     more = ws[c].take(cell)
                     more *= zs[c]
                     mixed += more
-                sign = bit.take(spot).astype(np.float32)
-                sign *= -2
-                sign += 1
-                mixed *= sign
                 np.clip(mixed, -14, 14, out=mixed)
                 np.exp(mixed, out=mixed)
                 odds = mixed + 1
                 out[lo:hi] += np.add.reduceat(np.log(odds), first, dtype=np.float64)
                 mixed /= odds
-                mixed *= sign
                 for c in range(CONTEXTS - 1):
                     zs[c] *= mixed
                     ws[c] -= (np.bincount(cell, weights=zs[c], minlength=len(ws[c])) * (RATE / step**0.5)).astype(np.float32)
@@ -433,13 +458,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.text_buffers(batch.column(0))
         for lo, hi in K.row_slices(offsets, 2 << 20):
-            found = K.Words(data, offsets[lo : hi + 1])
-            words, counts = np.unique(found.hash, return_counts=True)
-            b, at = byte_stream(data, offsets[lo : hi + 1])
-            before = np.full(len(b), 0x20, np.int64)
-            before[1:] = b[:-1]
-            before[at[:-1]] = 0x20
-            total += np.bincount((before << 8) | b, minlength=1 << 16)
+            found = []
+            for first, last in K.row_slices(offsets[lo : hi + 1], SLICE // 2):
+                found.append(K.Words(data, offsets[lo + first : lo + last + 1]).hash)
+                b, at = byte_stream(data, offsets[lo + first : lo + last + 1])
+                before = np.full(len(b), 0x20, np.int64)
+                before[1:] = b[:-1]
+                before[at[:-1]] = 0x20
+                total += np.bincount((before << 8) | b, minlength=1 << 16)
+            words, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words) + 1, bool)), pa.array(np.append(words, K.U(END_TOKEN)).view(np.int64)), pa.array(np.append(counts, hi - lo).astype(np.int64))], ["is_byte", "word", "c"])
     pairs = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), bool)), pa.array(pairs), pa.array(total[pairs])], ["is_byte", "word", "c"])

@@ -925,3 +925,28 @@ def test_chunk_dedup_gives_an_occurrence_its_class_once(spark, monkeypatch):
     late = chunk_dedup._class_spans(staged[0].df, False)
     made = late.selectExpr("count(*) AS n", "sum(size(sources)) AS firsts").first()
     assert 0 < made["n"] <= members < made["firsts"]  # a row for each of them would be more rows than occurrences
+
+
+def test_scores_do_not_depend_on_blocks(monkeypatch):
+    """Predictions made block by block, and contexts hashed slice by slice, give the same numbers."""
+    import pyarrow as pa
+
+    from lumenframe.llm import textkit
+
+    texts = pa.array([words(n, k) for k, n in enumerate((3, 400, 0, 90, 1500, 41))] + ["", None, "é ñ", "zz" * 700])
+    data, offsets = textkit.text_buffers(texts)
+    b, at = lm_score.byte_stream(data, offsets)
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, (b[:-1], b[1:]), 1)
+    code, rng = lm_score.Code(pairs), np.random.default_rng(3)
+    model = lm_score.Model(code, [rng.integers(0, 1 << 32, 1 << 18, dtype=np.uint32) for _ in range(lm_score.CONTEXTS)])
+    for table, context in zip(model.tables, lm_score.context_hashes(b, at), strict=True):  # some entries that are found
+        h = np.repeat(context, code.spell(code.symbols(b, at))[1]) ^ code.node[code.spell(code.symbols(b, at))[0]]
+        table[h >> 13] = ((h & 0xFFFF) << 16) | rng.integers(0, 1 << 16, len(h), dtype=np.uint32)
+    whole, size = model.predict(b, at), []
+    for block in (7, 1000):
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        assert all((x == y).all() for x, y in zip(model.predict(b, at), whole, strict=True))
+    for i in range(len(at) - 1):
+        size.append(model.bits(b[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0])
+    assert model.bits(b, at).tolist() == pytest.approx(size, rel=1e-6)
