@@ -8,7 +8,8 @@ all bytes of the windows they stand for, are extended to both sides against the
 comparison, and where there are more than two, windows that differ from the first meet each other by
 a 128-bit digest, beside the first occurrence or, where an anchor has several parts, over all of them. There, occurrences
 with equal bytes are one class, whose windows go out once a part. Windows of one anchor all hold its gram, so a class has one
-span, with all documents where its windows stand first, and each occurrence gets that one row. Of the class's first occurrence
+span, with all documents where its windows stand first. A task lists the occurrences of a class, those of one document at equal
+distances as one entry, and a list meets its class in one row. Of the class's first occurrence
 alone, windows may stand first in itself; it gets the span of the others. So the spans are exactly the bytes in windows of ``run`` bytes that stand in an earlier
 document, whichever that is; shorter chance repeats stay. A text below ``run`` bytes is one window and a
 repeat if an earlier document equals it. An anchor's occurrences are dealt out in parts of about ``PART``,
@@ -37,7 +38,11 @@ MASK_BITS, LEAST, MOST, RUN = 5, 16, 192, 112
 GRAM, PART = 32, 1024
 #: Spans that a task joins before it passes them on.
 HELD = 1 << 17
+#: Entries of a list of occurrences.
+PACK = 1024
 MET = "doc_id long, begin int, stop int, source long, x long, y long, cx long, cy long, low int, last long, several boolean"
+PACKED = "cx long, cy long, docs array<long>, lows array<long>, steps array<long>, times array<long>"
+PLACED = "doc_id long, begin int, stop int, source long, sources array<long>"
 _GEAR = (K.seeds(256, 0x6EA4) >> K.U(32)).astype(np.uint32)
 
 
@@ -275,20 +280,75 @@ def _extender(run: int):
     return extend
 
 
-def _joined(held: list[tuple[int, int, int, int]], table) -> pa.RecordBatch:
+def _touching(doc: np.ndarray, source: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans (document, source, begin, stop), those of one document and source that touch as one."""
-    doc, source, begin, stop = np.array(held, np.int64).T
     order = np.lexsort((begin, source, doc))
     doc, source, begin, stop = (c[order] for c in (doc, source, begin, stop))
     group = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])) << 32
     reach = np.maximum.accumulate(stop + group)
     first = np.flatnonzero(np.concatenate([[True], begin[1:] + group[1:] > reach[:-1]]))
     last = np.append(first[1:], len(doc)) - 1
-    return table(doc_id=doc[first], begin=begin[first], stop=reach[last] - group[last], source=source[first])
+    return doc[first], source[first], begin[first], reach[last] - group[last]
+
+
+def _joined(held: list[tuple[int, int, int, int]], table) -> pa.RecordBatch:
+    doc, source, begin, stop = _touching(*np.array(held, np.int64).T)
+    return table(doc_id=doc, begin=begin, stop=stop, source=source)
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of the occurrences (cx, cy, document, low) of each class; those of a document at equal distances are one entry."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        cx, cy, doc, low = (rows.column(c).to_numpy().astype(np.int64) for c in range(4))
+        order = np.lexsort((low, doc, cy, cx))
+        cx, cy, doc, low = (c[order] for c in (cx, cy, doc, low))
+        fresh = np.concatenate([[True], (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])
+        start = fresh | np.concatenate([[True], doc[1:] != doc[:-1]])
+        step = np.diff(low, prepend=0)
+        start[2:] |= ~start[1:-1] & ~start[2:] & (step[2:] != step[1:-1])
+        first = np.flatnonzero(start)
+        times = np.diff(np.append(first, len(low)))
+        steps = np.where(times > 1, step[np.minimum(first + 1, len(step) - 1)], 0)
+        edges = np.flatnonzero(fresh[first])
+        cuts = np.concatenate([np.arange(a, z, PACK) for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(first)], strict=True)])
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(cuts, len(first)).astype(np.int32)), pa.array(x)) for x in (doc[first], low[first], steps, times)]
+        return pa.RecordBatch.from_arrays([pa.array(cx[first][cuts]), pa.array(cy[first][cuts]), *lists], [f.split()[0] for f in PACKED.split(", ")])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
+
+def _placer(inside: bool):
+    """The spans of listed occurrences: as ``all`` says, at the class's first occurrence as ``less`` says."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs, lows, steps, times = (batch.column(c)[row].values.to_numpy() for c in range(4))
+                head, spans = batch.column(4)[row].as_py(), [batch.column(c)[row].as_py() for c in (5, 6)]
+                entry = np.repeat(np.arange(len(docs)), times)
+                doc, low = docs[entry], lows[entry] + steps[entry] * (np.arange(len(entry)) - (np.cumsum(times) - times)[entry])
+                leads = (doc == head["doc_id"]) & ((low == head["low"]) | (not inside))
+                for span, some in zip(spans, (~leads, leads), strict=True):
+                    if span["begin"] is not None and some.any():
+                        at, _, begin, stop = _touching(doc[some], np.zeros(int(some.sum()), np.int64), low[some] + span["begin"], low[some] + span["stop"])
+                        sources = pa.array([span["sources"]], pa.list_(pa.int64())).take(pa.array(np.zeros(len(at), np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(len(at), pa.int64()), sources], [f.split()[0] for f in PLACED.split(", ")])
+
+    return place
 
 
 def _class_spans(met: DataFrame, inside: bool) -> DataFrame:
-    """(doc_id, begin, stop, source, sources): at most one row an occurrence, the span of its class and where its windows stand first."""
+    """(doc_id, begin, stop, source, sources): spans of occurrences as their classes have them, and where the windows stand first."""
     windows, key, name = met.where("x is not null"), ["x", "y"], ["cx", "cy"]
     if inside:
         place = F.struct("doc_id", (F.col("low") + F.col("begin")).alias("begin"))
@@ -303,10 +363,8 @@ def _class_spans(met: DataFrame, inside: bool) -> DataFrame:
     late = late.withColumn("less", F.filter("all", lambda s: (s["first"] != F.col("head.doc_id")) | (s["base"] != F.col("head.low"))))
     both = [F.struct(F.array_min(f"{c}.begin").alias("begin"), F.array_max(f"{c}.stop").alias("stop"), F.array_distinct(f"{c}.first").alias("sources")).alias(c) for c in ("all", "less")]
     late = late.select(*name, "head", *both)
-    members = met.where("x is null and cx is not null").select("doc_id", "low", *name).join(late, name)
-    leads = (F.col("doc_id") == F.col("head.doc_id")) & ((F.col("low") == F.col("head.low")) if inside else F.lit(True))
-    late = members.select("doc_id", "low", F.when(leads, F.col("less")).otherwise(F.col("all")).alias("span")).where("span.begin is not null")
-    return late.select("doc_id", (F.col("low") + F.col("span.begin")).alias("begin"), (F.col("low") + F.col("span.stop")).alias("stop"), F.lit(None).cast("long").alias("source"), "span.sources")
+    members = met.where("x is null and cx is not null").select(*name, "doc_id", "low").mapInArrow(_packer, PACKED).join(late, name)
+    return members.select("docs", "lows", "steps", "times", "head", "all", "less").mapInArrow(_placer(inside), PLACED)
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, inside: bool = False) -> DataFrame:

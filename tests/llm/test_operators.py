@@ -927,6 +927,30 @@ def test_chunk_dedup_gives_an_occurrence_its_class_once(spark, monkeypatch):
     assert 0 < made["n"] <= members < made["firsts"]  # a row for each of them would be more rows than occurrences
 
 
+@pytest.mark.parametrize("inside", [False, True])
+def test_chunk_dedup_lists_the_occurrences_of_a_class(spark, monkeypatch, inside):
+    """A line that documents repeat over and over makes a row for each list and each run of spans, not for each occurrence."""
+    monkeypatch.setattr(chunk_dedup, "PART", 20)
+    line = words(40, 83)[:90] + "\n"
+    rows = [(i, words(20, 4000 + i) + "\n" + line * (40 + i % 9) + words(5, 5000 + i) + "\n" + line * (i % 4)) for i in range(100)]
+    staged, held = [], chunk_dedup.Staged
+    monkeypatch.setattr(chunk_dedup, "Staged", lambda df, name: staged.append(held(df, name)) or staged[-1])
+    got = {}
+    for s in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), inside=inside).collect():
+        got.setdefault(s["doc_id"], set()).update(range(s["begin"], s["stop"]))
+    truth = {k: set(np.flatnonzero(v).tolist()) for k, v in brute_repeats(rows).items() if v.any()}
+    if inside:  # more windows repeat text of the same document
+        assert all(truth[k] <= got[k] for k in truth)
+    else:
+        assert got == truth
+    members = staged[0].df.where("x is null and cx is not null")
+    lists = members.select("cx", "cy", "doc_id", "low").coalesce(1).mapInArrow(chunk_dedup._packer, chunk_dedup.PACKED)
+    back = [(p["cx"], p["cy"], d, low + s * i) for p in lists.collect() for d, low, s, n in zip(p["docs"], p["lows"], p["steps"], p["times"], strict=True) for i in range(n)]
+    assert sorted(back) == sorted(members.select("cx", "cy", "doc_id", "low").collect())
+    assert lists.count() == members.select("cx", "cy").distinct().count() < len(back) / 5
+    assert chunk_dedup._class_spans(staged[0].df, inside).count() < len(back) / 2
+
+
 def test_scores_do_not_depend_on_blocks(monkeypatch):
     """Predictions made block by block, and contexts hashed slice by slice, give the same numbers."""
     import pyarrow as pa
