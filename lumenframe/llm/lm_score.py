@@ -44,7 +44,8 @@ LEAST_BITS, MAX_BITS, BLOCKS, GROUP, CLASSES = 16, 22, 256, 64, 64
 #: Bits of a number in a packed tally, beside 31 of a context, 6 of a class and 8 of a byte.
 PACKED = 19
 
-SLICE, BLOCK = 1 << 18, 1 << 13
+#: Bytes scored side by side, hashed at once and predicted at once; what hashes take stays near the processor and in memory that is held.
+SLICE, PIECE, BLOCK = 1 << 18, 1 << 15, 1 << 13
 END_BYTE = 0xFF
 HEAD = 1 << 19
 END_TOKEN = 0x0E4D
@@ -122,38 +123,40 @@ class Code:
     def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the code's lists of every decision, decisions of each byte)."""
         size = self.size.take(symbols)
-        ends = np.cumsum(size, dtype=np.int64)
-        out = (self.first.take(symbols) - (ends - size)).astype(np.int32).take(spread(size))
-        out += np.arange(len(out), dtype=np.int32)
-        return out, size
+        return self.places(symbols, size, spread(size)), size
+
+    def places(self, symbols: np.ndarray, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = (self.first.take(symbols) - (np.cumsum(size, dtype=np.int64) - size)).take(row, mode="wrap")
+        out += np.arange(len(out))
+        return out
 
 
 def context_hashes(b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """A 31-bit hash for each byte and context, of what stands before the byte in its text."""
     n, heads = len(b), at[:-1]
-    wide, past = b.astype(K.U) + K.U(1), [np.zeros(n, K.U)]
-    past[0][1:] = wide[:-1]
-    past[0][2:] += wide[:-2] << K.U(9)
-    for k, order in enumerate(ORDERS[1:], 1):  # each is the one before and two bytes more
-        past.append(past[-1].copy())
-        past[k][order - 2 :] += past[0][: n - order + 2] << K.U(9 * (order - 2))
+    wide = b.astype(K.U)
+    wide += K.U(1)
+    two = np.zeros(n, K.U)  # nine bits a byte
+    two[1:] = wide[:-1]
+    two[2:] += wide[:-2] << K.U(9)
+    past = two.copy()
+    for shift in range(2, max(ORDERS), 2):
+        past[shift:] += two[:-shift] << K.U(9 * shift)
     length = np.diff(at)
     for d in range(max(ORDERS)):  # nothing of the text before
-        early = heads[length > d] + d
-        for k, order in enumerate(ORDERS):
-            if d < order:
-                past[k][early] &= K.U((1 << 9 * d) - 1)
-    out = [K.mix(p * K.BASE + K.U(order)) for p, order in zip(past, ORDERS, strict=True)]
+        past[heads[length > d] + d] &= K.U((1 << 9 * d) - 1)
     opens = np.zeros(n + 1, bool)
     opens[1:] = K._SPACE.take(b)
     opens[heads] = True
     starts = np.flatnonzero(opens[:n])
     power, inverse = K.powers(n + 1)
     sums = np.zeros(n + 1, K.U)
-    np.cumsum(wide * power[:n], out=sums[1:])
+    wide *= power[:n]
+    np.cumsum(wide, out=sums[1:])
     run = np.diff(np.append(starts, n))
     word = sums[:n] - np.repeat(sums[starts], run)
     word *= np.repeat(inverse[starts], run)
+    out = [K.mix((past & K.U((1 << 9 * order) - 1)) * K.BASE + K.U(order)) for order in ORDERS]
     return [(h >> K.U(33)).astype(U32) for h in (*out, K.mix(word))]
 
 
@@ -210,7 +213,7 @@ def _counter(code: Code):
             data, offsets = K.text_buffers(batch.column(0))
             for lo, hi in K.row_slices(offsets, 1 << 20):
                 keys = [[] for _ in range(CONTEXTS)]
-                for first, last in K.row_slices(offsets[lo : hi + 1], SLICE // 2):
+                for first, last in K.row_slices(offsets[lo : hi + 1], PIECE):
                     b, at = byte_stream(data, offsets[lo + first : lo + last + 1])
                     symbols = code.symbols(b, at).astype(K.U)
                     for kind, context in enumerate(context_hashes(b, at)):
@@ -333,44 +336,53 @@ class Model:
 
     def predict(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits against what came [contexts but the shortest, decisions], gate of each decision, decisions of each byte)."""
-        symbols, contexts = self.code.symbols(b, at), context_hashes(b, at)
+        symbols = self.code.symbols(b, at)
         size = self.code.size.take(symbols)
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         m = int(ends[-1])
         z, gate = np.empty((CONTEXTS - 1, m), np.float32), np.zeros(m, np.uint8)
-        for lo in range(0, len(b), BLOCK):  # what a block needs stays near the processor
-            some = slice(lo, min(lo + BLOCK, len(b)))
-            where = slice(int(ends[lo]), int(ends[some.stop]))
-            self._predict(symbols[some], [h[some] for h in contexts], z[:, where], gate[where])
+        for first, last in K.row_slices(at, PIECE):
+            begin, stop = int(at[first]), int(at[last])
+            contexts = context_hashes(b[begin:stop], at[first : last + 1] - begin)
+            for lo in range(begin, stop, BLOCK):
+                hi = min(lo + BLOCK, stop)
+                where = slice(int(ends[lo]), int(ends[hi]))
+                self._predict(symbols[lo:hi], size[lo:hi], [h[lo - begin : hi - begin] for h in contexts], z[:, where], gate[where])
         return z, gate, size
 
-    def _predict(self, symbols: np.ndarray, contexts: list[np.ndarray], z: np.ndarray, gate: np.ndarray) -> None:
-        places, size = self.code.spell(symbols)
-        node, sign, row, p = self.code.node.take(places), self.code.sign.take(places), spread(size), None
+    def _predict(self, symbols: np.ndarray, size: np.ndarray, contexts: list[np.ndarray], z: np.ndarray, gate: np.ndarray) -> None:
+        """All places are within their tables, so none is checked (mode wrap)."""
+        row, p = spread(size), None
+        places = self.code.places(symbols, size, row)
+        node, sign = self.code.node.take(places, mode="wrap"), self.code.sign.take(places, mode="wrap")
+        least, most = np.float32(LEAST_ODDS), np.float32(1 / LEAST_ODDS)
         for c, context in enumerate(contexts):
             table = self.tables[c]
-            h = context.take(row)
+            h = context.take(row, mode="wrap")
             h ^= node
-            entry = table.take((h >> U32(32 - len(table).bit_length())).astype(np.int64))
+            entry = table.take((h >> U32(32 - len(table).bit_length())).astype(np.int64), mode="wrap")
             h <<= U32(16)
             entry ^= h  # the counts alone, if the check bits agree
-            entry = np.minimum(entry, U32(1 << 16)).astype(np.int64)
+            np.minimum(entry, U32(1 << 16), out=entry)
+            entry = entry.astype(np.int64)
             if c >= CONTEXTS - 2:
                 gate *= np.uint8(4)
-                gate += self.seen.take(entry)
+                gate += self.seen.take(entry, mode="wrap")
             if p is None:
-                p = self.shortest.take(entry)
+                p = self.shortest.take(entry, mode="wrap")
                 continue
             p *= np.float32(PRIOR[c])
-            zero, one = self.zeros[c].take(entry), self.ones.take(entry)
+            zero, one = self.zeros[c].take(entry, mode="wrap"), self.ones.take(entry, mode="wrap")
             one += p
             zero -= p
             one /= zero
-            np.clip(one, np.float32(LEAST_ODDS), np.float32(1 / LEAST_ODDS), out=one)
-            np.log(one, out=z[c - 1])
-            z[c - 1] *= sign
+            np.maximum(one, least, out=one)
+            np.minimum(one, most, out=one)
+            np.log(one, out=zero)
+            np.multiply(zero, sign, out=z[c - 1])
             if c < CONTEXTS - 1:
-                p = one / (one + 1)
+                np.add(one, 1, out=p)
+                np.divide(one, p, out=p)
 
     def bits(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text of a byte stream under the mixed predictors; texts advance side by side."""
@@ -392,15 +404,16 @@ class Model:
                 spot = np.repeat(begin[lo:hi] + t - first, n)
                 spot += np.arange(len(spot))
                 cell = np.repeat(np.arange(hi - lo) * gates, n)
-                cell += gate.take(spot)
-                zs, ws = [row.take(spot) for row in z], [w[lo * gates : hi * gates] for w in weights]
-                mixed = ws[0].take(cell)
+                cell += gate.take(spot, mode="wrap")
+                zs, ws = [row.take(spot, mode="wrap") for row in z], [w[lo * gates : hi * gates] for w in weights]
+                mixed = ws[0].take(cell, mode="wrap")
                 mixed *= zs[0]
                 for c in range(1, CONTEXTS - 1):
-                    more = ws[c].take(cell)
+                    more = ws[c].take(cell, mode="wrap")
                     more *= zs[c]
                     mixed += more
-                np.clip(mixed, -14, 14, out=mixed)
+                np.maximum(mixed, -14, out=mixed)
+                np.minimum(mixed, 14, out=mixed)
                 np.exp(mixed, out=mixed)
                 odds = mixed + 1
                 out[lo:hi] += np.add.reduceat(np.log(odds), first, dtype=np.float64)
@@ -459,7 +472,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = K.text_buffers(batch.column(0))
         for lo, hi in K.row_slices(offsets, 2 << 20):
             found = []
-            for first, last in K.row_slices(offsets[lo : hi + 1], SLICE // 2):
+            for first, last in K.row_slices(offsets[lo : hi + 1], PIECE):
                 found.append(K.Words(data, offsets[lo + first : lo + last + 1]).hash)
                 b, at = byte_stream(data, offsets[lo + first : lo + last + 1])
                 before = np.full(len(b), 0x20, np.int64)
@@ -491,28 +504,24 @@ def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scorer(model, base: float):
-    loaded: list = []
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            mixed, keys, counts = model.value
-            loaded.extend([mixed, Head(keys, counts)])
-        mixed, head = loaded
+        mixed, head = model.value
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
             for lo, hi in K.row_slices(offsets, SLICE):
-                words, n = K.Words(data, offsets[lo : hi + 1]), hi - lo
-                doc = np.repeat(np.arange(n), words.counts)
-                c = head.find(words.hash)
+                n, pieces = hi - lo, [K.Words(data, offsets[lo + a : lo + z + 1]) for a, z in K.row_slices(offsets[lo : hi + 1], PIECE)]
+                words, per = (np.concatenate([getattr(w, x) for w in pieces]) for x in ("hash", "counts"))
+                doc = np.repeat(np.arange(n), per)
+                c = head.find(words)
                 known, end = np.bincount(doc, weights=c > 0, minlength=n).astype(np.int64), head.find(np.array([END_TOKEN], K.U))
                 sums = np.bincount(doc, weights=np.log10(c + 1.0), minlength=n) + np.log10(end[0] + 1.0)
                 b, at = byte_stream(data, offsets[lo : hi + 1])
                 bits = mixed.bits(b, at)
                 rare = c == 0
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(words.hash[rare].view(np.int64)))
+                tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(words[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(words.counts.astype(np.int64) + 1), pa.array(known + (end[0] > 0)), pa.array(sums - (words.counts + 1) * base), pa.array(bits), pa.array(np.diff(at)), tail],
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(per.astype(np.int64) + 1), pa.array(known + (end[0] > 0)), pa.array(sums - (per + 1) * base), pa.array(bits), pa.array(np.diff(at)), tail],
                     ["row", "key", "n_tokens", "known", "base", "bits", "n_bytes", "tail"],
                 )
 
@@ -536,7 +545,7 @@ def score_texts(docs: DataFrame, training: str) -> DataFrame:
     words = found.where("not is_byte").drop("is_byte")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     keys, counts = _head(words)
-    model = spark.sparkContext.broadcast((learn(known, code), keys, counts))
+    model = spark.sparkContext.broadcast((learn(known, code), Head(keys, counts)))
     base = float(np.log10(total["n"] + total["v"] + 1))
 
     kind = "row long, key long, n_tokens long, known long, base double, bits double, n_bytes long, tail array<long>"

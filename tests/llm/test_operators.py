@@ -951,6 +951,27 @@ def test_chunk_dedup_lists_the_occurrences_of_a_class(spark, monkeypatch, inside
     assert chunk_dedup._class_spans(staged[0].df, inside).count() < len(back) / 2
 
 
+def test_contexts_are_hashed_in_pieces(monkeypatch):
+    """Many texts are hashed a few at a time, one long text whole, to the same predictions as all at once."""
+    import pyarrow as pa
+
+    from lumenframe.llm import textkit
+
+    data, offsets = textkit.text_buffers(pa.array([words(n, k) for k, n in enumerate((30, 900, 0, 90, 200, 41) * 4)]))
+    b, at = lm_score.byte_stream(data, offsets)
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, (b[:-1], b[1:]), 1)
+    rng = np.random.default_rng(5)
+    model = lm_score.Model(lm_score.Code(pairs), [rng.integers(0, 1 << 16, 1 << 18, dtype=np.uint32) for _ in range(lm_score.CONTEXTS)])
+    monkeypatch.setattr(lm_score, "PIECE", len(b))
+    whole, hashed, plain = model.predict(b, at), [], lm_score.context_hashes
+    monkeypatch.setattr(lm_score, "PIECE", 2000)
+    monkeypatch.setattr(lm_score, "context_hashes", lambda b, at: hashed.append((len(b), len(at) - 1)) or plain(b, at))
+    assert all((x == y).all() for x, y in zip(model.predict(b, at), whole, strict=True))
+    assert sum(n for n, _ in hashed) == len(b) and sum(k for _, k in hashed) == len(at) - 1
+    assert all(n <= 2000 or k == 1 for n, k in hashed)
+
+
 def test_scores_do_not_depend_on_blocks(monkeypatch):
     """Predictions made block by block, and contexts hashed slice by slice, give the same numbers."""
     import pyarrow as pa
