@@ -642,3 +642,44 @@ def test_repeated_vectors_make_few_edges(spark, monkeypatch):
     groups = clustering.constrained_clusters(tracks, 0.6)
     assert {(r["group"], r["n"]) for r in groups.groupBy("group").agg(F.count("*").alias("n")).collect()} == {(0, 300), (1, 300)}
     assert seen == [2]
+
+
+def test_large_components_need_no_matrix(spark, monkeypatch):
+    """Tracks of few vectors are merged without a list of all their pairs, to the result of the matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    for d, n in ((6, 3000), (4, 400)):
+        x = unit(rng, 30, d) + np.eye(d)[0]
+        kind = np.sort(np.concatenate([np.arange(30), rng.integers(0, 30, n - 30)]))
+        video, start = rng.integers(0, n // 4, n), rng.integers(0, 50, n)
+        end = start + rng.integers(0, 6, n)
+        apart = (video[:, None] == video[None]) & (np.maximum(start[:, None], start[None]) <= np.minimum(end[:, None], end[None]))
+        np.fill_diagonal(apart, False)
+        want = clustering.merge_greedily((x @ x.T)[kind[:, None], kind[None]], apart, 0.6)
+        tracemalloc.start()
+        got = clustering.merge_sparsely(x, video, start, end, 0.6, kind)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert (got == want).all() and peak < 20
+        for pairs in (1, 40):
+            monkeypatch.setattr(clustering, "PAIRS", pairs)
+            assert (clustering.merge_sparsely(x, video, start, end, 0.6, kind) == want).all()
+        monkeypatch.undo()
+
+
+def test_components_above_the_matrix_bound(spark):
+    """The same groups by matrix and by bands; equal vectors go out once."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(unit(rng, 15, 3), 8, 0)
+    spans = [(f"v{rng.integers(9)}", int(s), int(s + rng.integers(1, 4))) for s in rng.integers(0, 30, len(x))]
+    tracks = frame(spark, x, ", video_name string, start_frame int, end_frame int", spans)
+    got = [{r["id"]: r["group"] for r in clustering.constrained_clusters(tracks, 0.3, dense).collect()} for dense in (1000, 5)]
+    assert got[0] == got[1] and len(set(got[0].values())) < len(x)
+
+
+def test_vector_sums_take_their_norm_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 0.0]), (1, [0.0, 4.0])], "k long, vector array<double>")
+    out = similarity.vector_sum(rows, ["k"], "vector")
+    assert out.first()["centroid"] == pytest.approx([0.6, 0.8])
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
